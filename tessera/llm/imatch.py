@@ -1,8 +1,8 @@
 """I-Match document fingerprints, with DataFrame functions only.
 
-Terms whose inverse document frequency lies in a band form the lexicon. Sixteen
-randomised subsets of it, holding from a half down to a 256th of its terms,
-each give one 32-bit part of a fingerprint: the digest of the set of distinct
+Terms whose inverse document frequency lies in a band form the lexicon.
+Twenty-four randomised subsets of it, three each holding from a half down to a
+256th of its terms, give one 32-bit part of a fingerprint: the digest of the set of distinct
 terms that a text has in the subset. Sparse subsets survive more edits, dense
 ones tell short texts apart. The digest of a set is the exclusive or of its
 terms' hashes, which is that of the sorted terms in any order, so no text's
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.runtime import checkpointed
 
-PARTS = 16
+PARTS, PER_LEVEL = 24, 3
 #: Terms in more than this share of all texts are dropped (a low inverse document frequency).
 COMMONEST = 0.2
 #: So are terms in fewer than this share, which bounds the lexicon, whatever the corpus: a text's mean number of terms over this share.
@@ -40,7 +40,7 @@ def lexicon(texts: DataFrame, text_col: str = "text", rarest: float = RAREST, co
     kept = df.where((F.col("count") >= rarest * n) & (F.col("count") <= max(1.0, commonest * n)))
 
     def half(j: int, side: int) -> Column:
-        level = (2 * j + side) // 2 + 1
+        level = (2 * j + side) // PER_LEVEL + 1
         drawn = F.xxhash64(F.lit(101 + 2 * j + side), "term").bitwiseAND(F.lit((1 << level) - 1)) == 0
         h = F.shiftrightunsigned(F.xxhash64(F.lit(2 * j + side), "term"), 32)
         return F.when(drawn, F.shiftleft(h, 32) if side else h).otherwise(F.lit(0).cast("long"))
@@ -49,7 +49,7 @@ def lexicon(texts: DataFrame, text_col: str = "text", rarest: float = RAREST, co
 
 
 def fingerprints(rows: DataFrame, text_cols: list[str], words: DataFrame) -> DataFrame:
-    """``rows`` with ``<column>_fp`` in place of each text column: 128 hexadecimal digits, eight for each part.
+    """``rows`` with ``<column>_fp`` in place of each text column: 192 hexadecimal digits, eight for each part.
 
     A part is zero if a text has no term in its subset. If that holds for all parts, they all hold a hash of the
     whole text, so equal texts always have equal fingerprints, empty ones too. Null texts count as empty. Repeated
