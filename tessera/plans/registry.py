@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import retrieval
+from tessera.plans import links, retrieval, rollups, scalars
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retrieval,)
+MODULES = (retrieval, scalars, rollups, links)
 
 
 def queries() -> dict[str, Query]:
