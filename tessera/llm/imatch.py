@@ -49,7 +49,7 @@ def lexicon(texts: DataFrame, text_col: str = "text", rarest: float = RAREST, co
 
 
 def fingerprints(rows: DataFrame, text_cols: list[str], words: DataFrame) -> DataFrame:
-    """``rows`` with ``<column>_fp`` in place of each text column: 192 hexadecimal digits, eight for each part.
+    """``rows`` with ``<column>_fp`` in place of each text column: 96 bytes, four for each part.
 
     A part is zero if a text has no term in its subset. If that holds for all parts, they all hold a hash of the
     whole text, so equal texts always have equal fingerprints, empty ones too. Null texts count as empty. Repeated
@@ -69,19 +69,20 @@ def fingerprints(rows: DataFrame, text_cols: list[str], words: DataFrame) -> Dat
     sums = [F.bit_xor(F.when(F.col("__side") == i, F.coalesce(F.col(v), zero)).otherwise(zero)).alias(f"__s{i}{v}") for i in range(len(text_cols)) for v in LONGS]
     groups = ["__row", *keys, *[f"__x_{c}" for c in text_cols]]
     found = joined.groupBy(*groups).agg(*sums)
-    digits = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
+    digits = lambda c: F.lpad(F.hex(c), 16, "0")
     out = []
     for i, c in enumerate(text_cols):
         own = [F.col(f"__s{i}{v}") for v in LONGS]
         none = own[0] == 0
         for x in own[1:]:
             none = none & (x == 0)
-        out.append(F.when(none, F.repeat(digits(F.col(f"__x_{c}")), len(LONGS))).otherwise(F.concat(*map(digits, own))).alias(f"{c}_fp"))
+        shown = F.when(none, F.repeat(digits(F.col(f"__x_{c}")), len(LONGS))).otherwise(F.concat(*map(digits, own)))
+        out.append(F.unhex(shown).alias(f"{c}_fp"))
     return found.select(*keys, *out)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal parts among those that are not zero in both: 1 for equal fingerprints, 0 if no part is shared."""
+    """Of two fingerprints in hexadecimal digits, the share of equal parts among those that are not zero in both: 1 for equal fingerprints, 0 if no part is shared."""
     same, either = F.lit(0), F.lit(0)
     for k in range(PARTS):
         x, y = F.substring(a, 8 * k + 1, 8), F.substring(b, 8 * k + 1, 8)
@@ -113,9 +114,10 @@ def edited_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     the smallest; a null id sorts first. Rows that share an id share the next document; of several rows that share
     the next id, the text that sorts first counts. Null texts are empty.
     """
+    # both joins below read these columns and no others, so that the texts are shuffled once for the two
+    none = F.lit(-(2**63))
     base = docs.select(
-        F.col(id_col).alias("id"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("__key"),
+        F.coalesce(F.col(id_col).cast("long"), none).alias("__key"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
     cut = F.floor(F.length("text") / share).cast("int")
@@ -126,21 +128,22 @@ def edited_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     heads = heads.groupBy("__key").agg(F.min("__head").alias("__head"))
     n = F.length("text")
     edited = F.concat(F.col("text").substr(F.lit(1), n - cut), F.col("__head").substr(F.lit(1), cut))
-    return base.join(order, "__key").join(heads, "__key").select("__key", F.col("next_key").alias("__next"), "id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    return base.join(order, "__key").join(heads, "__key").select("__key", F.col("next_key").alias("__next"), F.nullif("__key", none).cast(docs.schema[id_col].dataType).alias("id"), n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edit, and how near they and the next document's are."""
     words = checkpointed(lexicon(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))))
-    rows = edited_with_next(docs, id_col, text_col).withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256))
+    rows = edited_with_next(docs, id_col, text_col).withColumn("edited_sha256", F.unhex(F.sha2(F.encode("edited", "UTF-8"), 256)))
     done = checkpointed(fingerprints(rows, ["text", "edited"], words))
     following = done.groupBy(F.col("__key").alias("__next")).agg(F.min("text_fp").alias("__next_fp"))
+    shown = lambda c: F.lower(F.hex(c))
     return done.join(following, "__next").select(
         F.col("id").alias(id_col),
         "n_chars",
-        "edited_sha256",
-        F.col("text_fp").alias("fingerprint"),
-        F.col("edited_fp").alias("edited_fingerprint"),
-        likeness(F.col("text_fp"), F.col("edited_fp")).alias("near_edited"),
-        likeness(F.col("text_fp"), F.col("__next_fp")).alias("near_next"),
+        shown("edited_sha256").alias("edited_sha256"),
+        shown("text_fp").alias("fingerprint"),
+        shown("edited_fp").alias("edited_fingerprint"),
+        likeness(F.hex("text_fp"), F.hex("edited_fp")).alias("near_edited"),
+        likeness(F.hex("text_fp"), F.hex("__next_fp")).alias("near_next"),
     )
