@@ -5,7 +5,7 @@ gives each role its opening marker and all turns one closing marker; texts are
 escaped so that no marker can appear inside one, and can be read back.
 
 Escapes: a backslash becomes two, ``###`` becomes ``\h`` and ``</turn>``
-becomes ``\e``. In an escaped text each backslash therefore starts a pair, and
+becomes ``\e``; in roles, a colon becomes ``\c``. In an escaped text each backslash therefore starts a pair, and
 pairs are told apart by splitting at double backslashes, leftmost first.
 """
 
@@ -36,6 +36,8 @@ class Template:
 
 DEFAULT = Template()
 HASHES, END, BACK = "###", "</turn>", "\\"
+#: Stands before a role that the template has no label for.
+UNLABELLED = BACK + "r"
 
 
 def escape(text: Column) -> Column:
@@ -46,14 +48,14 @@ def escape(text: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """The text that :func:`escape` got."""
-    plain = lambda x: F.replace(F.replace(x, F.lit(BACK + "h"), F.lit(HASHES)), F.lit(BACK + "e"), F.lit(END))
+    plain = lambda x: F.replace(F.replace(F.replace(x, F.lit(BACK + "h"), F.lit(HASHES)), F.lit(BACK + "e"), F.lit(END)), F.lit(BACK + "c"), F.lit(":"))
     return F.array_join(F.transform(F.split(text, r"\\\\"), plain), BACK)
 
 
 def _opening(role: Column, template: Template) -> Column:
-    """The opening marker of a role. A role without a label shows itself, escaped; a null role nothing."""
+    """The opening marker of a role. A role without a label shows itself, marked and escaped, colons too; a null role is an empty one."""
     label = F.coalesce(role, F.lit(""))
-    shown = escape(label)
+    shown = F.concat(F.lit(UNLABELLED), F.replace(escape(label), F.lit(":"), F.lit(BACK + "c")))
     for name, said in template.labels.items():
         shown = F.when(label == name, F.lit(said)).otherwise(shown)
     before, after = template.opening.split("{role}")
@@ -104,7 +106,7 @@ def read_back(formatted: DataFrame, template: Template = DEFAULT) -> DataFrame:
         body = x.substr(F.lit(len(before) + 1), F.length(x))
         cut = F.instr(body, after)
         label = body.substr(F.lit(1), cut - 1)
-        role = unescape(label)
+        role = unescape(label.substr(F.lit(len(UNLABELLED) + 1), F.length(label)))
         for name, said in template.labels.items():
             role = F.when(label == said, F.lit(name)).otherwise(role)
         return F.struct(role.alias("role"), unescape(body.substr(cut + len(after), F.length(body))).alias("text"))

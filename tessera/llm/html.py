@@ -28,6 +28,8 @@ PUNCTUATION = ".,;:!?…。，、；：！？¿¡"
 
 #: Elements whose content is never text; what is inside them is not markup either.
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes")
+#: Those of them that also end a block.
+ENDS_BLOCK = ("textarea", "title", "xmp")
 #: Elements that have no content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that run along in a line and neither end a block nor count in paths.
@@ -133,7 +135,7 @@ def blocks(page: str) -> list[Block]:
         if tag in RAW and not m[0].endswith("/>"):
             close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else size
-            if tag not in INLINE:
+            if tag in ENDS_BLOCK:
                 now = None
             continue
         if tag not in INLINE:
