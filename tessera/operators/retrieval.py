@@ -23,10 +23,12 @@ def ranked(scored: DataFrame, score: str, tie: str, k: int, by: str = "query_id"
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, dl, term, tf)``; documents without tokens have no row."""
+def postings(docs: DataFrame, id_col: str, text_col: str, only: DataFrame | None = None) -> DataFrame:
+    """``(doc, dl, term, tf)``, of the terms in ``only`` if given; documents without tokens have no row."""
     each = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("t"))
-    return each.where(F.size("t") > 0).select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+    rows = each.where(F.size("t") > 0).select("doc", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    rows = rows if only is None else rows.join(only.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 30, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
@@ -38,13 +40,14 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    index = postings(docs, id_col, text_col)
+    wanted = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    # other terms' rows go before anything is shuffled; document frequencies need one row a document and term, summed in each task
+    index = postings(docs, id_col, text_col, wanted)
     sizes = docs.select(F.size(tokens(F.col(text_col))).alias("dl")).where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(sizes)
+    df = docs.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(sizes)
     raw = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg((F.avg("idf") * epsilon).alias("floor"))
     idf = raw.crossJoin(mean).select("term", "avgdl", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    wanted = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     weight = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = index.join(wanted.join(idf, "term"), "term").groupBy("query_id", "doc").agg(F.round(F.sum(weight), 4).alias("score"))
     return ranked(scored, "score", "doc", k)
@@ -56,7 +59,7 @@ def term_cosine(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", tex
     norms = index.groupBy("doc").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
     wanted = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     own = wanted.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qnorm"))
-    dots = index.join(wanted, "term").groupBy("query_id", "doc").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
+    dots = postings(docs, id_col, text_col, wanted).join(wanted, "term").groupBy("query_id", "doc").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
     scored = dots.join(norms, "doc").join(own, "query_id").select("query_id", "doc", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
     return ranked(scored, "score", "doc", k)
 
