@@ -5,17 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Families of corpus-wide questions with their patterns, first match wins.
+# The families of corpus-wide questions, first match wins, and the openers of questions.
+SOURCE_NOUN = r"(?:videos?|transcripts?|episodes?|channels?|creators?|speakers?|corpus|corpora)"
 CORPUS_WIDE = (
-    ("corpus", r"\b(corpus|entire collection|whole collection|all (the )?documents)\b"),
-    ("all_sources", r"\b(all|every|each) (of the )?(sources?|videos?|channels?|speakers?)\b"),
-    ("across_sources", r"\bacross (the )?(sources?|videos?|channels?|speakers?|corpus)\b"),
-    ("aggregate", r"\b(how many|how often|most common|in total|overall)\b"),
-    ("over_time", r"\b(over time|trend|evolved?|changed? since)\b"),
+    ("corpus", r"\bcorp(?:us|ora)\b"),
+    (
+        "all-sources",
+        rf"\b(?:all|every|each|both|these|those)\s+(?:of\s+)?(?:the\s+)?(?:\w+[- ])?{SOURCE_NOUN}\b"
+        r"|\bthe\s+(?:\w+-\w+|\w+)\s+(?:videos|transcripts|episodes|channels)\b"
+        r"|\bthe\s+(?:videos|transcripts|episodes|channels)\b",
+    ),
+    (
+        "across-sources",
+        r"\b(?:across|throughout|among|amongst|between|within|in)\s+"
+        rf"(?:all\s+|both\s+|these\s+|those\s+|this\s+|the\s+|your\s+|our\s+)*{SOURCE_NOUN}\b",
+    ),
+    (
+        "aggregate",
+        r"\b(?:recurring|recurrent|repeatedly|in\s+common|common\s+(?:themes?|threads?|advice|ground)"
+        r"|(?:main|key|central|overall|broad|overarching)\s+(?:themes?|threads?|takeaways?)"
+        r"|consensus|(?:generally|widely)\s+agree|across\s+the\s+board"
+        r"|(?:repeat|agree|disagree|converge|differ)s?\s+(?:on|about|across)|how\s+often)\b",
+    ),
+    (
+        "over-time",
+        r"\b(?:evolve[ds]?|evolving|evolution|over\s+time|change[ds]?\s+over"
+        r"|shift(?:ed|s)?\s+(?:over|between|across)|trend(?:s|ed)?\s+(?:over|across)|develop(?:ed|s)?\s+over)\b",
+    ),
+)
+QUESTION_LEAD = (
+    r"^(?:so|and|but|well|like|now|i mean|you know|right|okay|ok)?[\s,]*"
+    r"(?:what|who|whom|whose|which|when|where|why|how|is|are|was|were|do|does|did|"
+    r"has|have|had|can|could|should|would|will|shall|am|any(?:one|body))\b"
 )
-QUESTION_LEAD = r"(?i)^\s*(who|what|when|where|why|how|which|is|are|was|were|do|does|did|can|could|should|would|will)\b"
 URL = r"https?://[^\s<>\"')\]]+"
-VIDEO_HOSTS = ("youtube.com", "youtu.be", "vimeo.com")
+VIDEO_HOSTS = ("youtube.com", "m.youtube.com", "youtu.be", "music.youtube.com")
 
 
 def tokens(text: Column) -> Column:
@@ -105,8 +129,8 @@ def corpus_wide_signal(question: Column) -> Column:
 
 def states_a_position(text: Column) -> Column:
     """False for blank texts and questions."""
-    said = F.trim(F.coalesce(text, F.lit("")))
-    return (said != "") & ~said.endswith("?") & ~said.rlike(QUESTION_LEAD)
+    said = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    return (said != "") & ~said.endswith("?") & ~F.lower(said).rlike(QUESTION_LEAD)
 
 
 def urls(text: Column) -> Column:

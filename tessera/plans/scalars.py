@@ -62,9 +62,11 @@ QUERIES = {f.__name__: f for f in (text_tokens, text_identities, text_previews,
 _CHUNK = "'chunk:' || source || ':' || doc_id"
 _TS = "CASE WHEN {s} IS NULL THEN 'unknown' ELSE CASE WHEN floor(greatest({s}, 0)) >= 3600 THEN lpad(CAST(floor(floor(greatest({s}, 0)) / 3600)::INT AS VARCHAR), 2, '0') || ':' ELSE '' END || lpad(CAST(floor(floor(greatest({s}, 0)) / 60)::INT % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(floor(greatest({s}, 0))::INT % 60 AS VARCHAR), 2, '0') END"
 _SIGNAL = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in tx.CORPUS_WIDE) + " END"
+_BARE = r"regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')"
+_STATES = f"{_BARE} <> '' AND NOT ends_with({_BARE}, '?') AND NOT regexp_matches(lower({_BARE}), '{tx.QUESTION_LEAD}')"
 _URLS = r"list_transform(regexp_extract_all({t}, 'https?://[^\s<>\"'')\]]+'), lambda u: regexp_replace(u, '[.,;:!?]+$', ''))"
 _HOST = r"lower(regexp_extract({u}, '^https?://(?:www\.)?([^/?#:]+)', 1))"
-_DOC = "list_filter(" + _URLS + ", lambda u: " + _HOST.format(u="u") + " NOT IN ('youtube.com', 'youtu.be', 'vimeo.com'))[1]"
+_DOC = "list_filter(" + _URLS + ", lambda u: " + _HOST.format(u="u") + " NOT IN ('youtube.com', 'm.youtube.com', 'youtu.be', 'music.youtube.com'))[1]"
 _SAID = "('see ' || url || ', or https://youtu.be/abcdefghijk.')"
 _DT = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _HITS = {n: f"len(list_intersect(list_distinct({_DT}), [{', '.join(repr(x) for x in w)}]))" for n, w in (("en", ["the", "and", "of"]), ("fr", ["le", "de", "que"]), ("de", ["der", "die", "und"]), ("es", ["el", "los", "del"]))}
@@ -76,7 +78,7 @@ ORACLE = {
       'claim:' || substr(sha256({_CHUNK} || chr(10) || trim(text)), 1, 16) AS claim, 'doc:' || substr(sha256('https://x.example/' || doc_id), 1, 16) AS document FROM documents""",
     "text_previews": "SELECT doc_id, CASE WHEN length(text) > 220 THEN substr(text, 1, 220) || '…' ELSE text END AS clipped, CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '…' ELSE text END AS traced FROM documents WHERE text IS NOT NULL",
     "text_headers": f"SELECT doc_id, '[' || concat_ws(' — ', source, nullif(lang, 'en')) || ' @ ' || {_TS.format(s='(doc_id * 7.5::DOUBLE)')} || '-' || {_TS.format(s='(doc_id * 7.5::DOUBLE + n_chars / 10)')} || ']' AS header, {_TS.format(s='(doc_id * 7.5::DOUBLE - 100)')} AS at FROM documents",
-    "text_signals": rf"""SELECT doc_id, {_SIGNAL} AS signal, trim(coalesce(text, '')) <> '' AND NOT ends_with(trim(text), '?') AND NOT regexp_matches(trim(text), '^\s*(who|what|when|where|why|how|which|is|are|was|were|do|does|did|can|could|should|would|will)\b', 'i') AS states,
+    "text_signals": rf"""SELECT doc_id, {_SIGNAL} AS signal, {_STATES} AS states,
       len({_URLS.format(t='text')}) AS urls, {_DOC.format(t='text')} AS url FROM documents""",
     "page_urls": f"SELECT page_id, array_to_string({_URLS.format(t=_SAID)}, ' ') AS urls, {_DOC.format(t=_SAID)} AS document, {_HOST.format(u='url')} AS host, 'abcdefghijk' AS video FROM pages",
     "query_normal_forms": r"SELECT item_id, regexp_replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '[\s?.!,;:]+$', '') AS normal, levenshtein(regexp_replace(text, '[^a-z]', '', 'g'), regexp_replace(substr(text, 2, 10000), '[^a-z]', '', 'g')) AS edits FROM benchmark",

@@ -164,11 +164,11 @@ def test_text_scalars(spark):
     row = spark.range(1).select(
         tx.slug(F.lit(" The A.T.O.! ")).alias("slug"), tx.slug(F.lit("!!")).alias("none"), tx.chunk_index(F.lit("chunk:v:12")).alias("i"), tx.chunk_index(F.lit("v:12")).alias("z"),
         tx.timestamp(F.lit(3725.0)).alias("t"), tx.timestamp(F.lit(-3.0)).alias("neg"), tx.timestamp(F.lit(None).cast("double")).alias("nul"),
-        tx.video_id(F.lit("https://youtu.be/abcdefghijk?t=1")).alias("v"), tx.label_number(F.lit("[s1.3]")).alias("l"), tx.corpus_wide_signal(F.lit("How many sources?")).alias("w"),
+        tx.video_id(F.lit("https://youtu.be/abcdefghijk?t=1")).alias("v"), tx.label_number(F.lit("[s1.3]")).alias("l"), tx.corpus_wide_signal(F.lit("What themes recur across these videos?")).alias("w"), tx.corpus_wide_signal(F.lit("every step of the workflow")).alias("x"), tx.corpus_wide_signal(F.lit("How did it change over the years?")).alias("y"),
         tx.states_a_position(F.lit("Is it?")).alias("q"), tx.document_url(F.lit("https://youtu.be/x https://a.example/y.")).alias("d"), tx.normal_query(F.lit("  What  IS it?! ")).alias("n"),
     ).first()
     assert (row.slug, row.none, row.i, row.z, row.t, row.neg, row.nul) == ("the-a-t-o", "unknown", 12, 0, "01:02:05", "00:00", "unknown")
-    assert (row.v, row.l, row.w, row.q, row.d, row.n) == ("abcdefghijk", 3, "aggregate", False, "https://a.example/y", "what is it")
+    assert (row.v, row.l, row.w, row.x, row.y, row.q, row.d, row.n) == ("abcdefghijk", 3, "all-sources", None, "over-time", False, "https://a.example/y", "what is it")
 
 
 def test_modes(spark):
