@@ -43,11 +43,18 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of a node gets an edge to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return _joined(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+
+
+def _joined(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """Join on ``u``. The hash beside it makes Spark shuffle both sides for the join alone, so it can split a hub's rows;
+    were the aggregation's partitioning reused, all of them would stay in one task."""
+    h = F.xxhash64("u")
+    return edges.withColumn("h", h).join(low.withColumn("h", h), ["u", "h"])
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours get an edge to the smallest of them. ``edges`` point downwards."""
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _joined(edges, low).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
