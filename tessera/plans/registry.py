@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import decisions, links, retrieval, rollups, scalars
+from tessera.plans import decisions, links, packs, retrieval, rollups, scalars
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retrieval, scalars, rollups, links, decisions)
+MODULES = (retrieval, scalars, rollups, links, decisions, packs)
 
 
 def queries() -> dict[str, Query]:
