@@ -313,7 +313,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = connected_components(links(reps, plan), "a", "b").withColumnRenamed("node", "fp")
     classes = reps.join(found, "fp", "left").withColumn("class", F.coalesce("component", "fp"))
     least = classes.groupBy("class").agg(F.min("low").alias("component_id"))
-    return docs_fp.join(classes.join(least, "class").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    # the hash makes Spark shuffle for this join alone, so that it can split a class that holds much of the input
+    h = F.xxhash64("class").alias("h")
+    named = classes.select("*", h).join(least.select("*", h), ["class", "h"]).select("fp", "component_id")
+    return docs_fp.join(named, "fp").select("id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan = NEAR_COPIES) -> DataFrame:
