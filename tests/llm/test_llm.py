@@ -332,3 +332,17 @@ def test_pipeline(spark, tmp_path):
     rows = {r.doc_id: r for r in bpe.decode(corpus_pipeline.run(spark, str(tmp_path)), queries.vocabulary()).collect()}
     assert set(rows) == {*range(40), 44, 45}
     assert rows[44].decoded.endswith(secrets.PLACEHOLDER) and rows[7].decoded == texts[7]
+
+
+def test_pipeline_stages_take_nulls_repeats_and_empty_tables(spark, tmp_path):
+    item = prose(500, 40)
+    plain = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, prose(1, 90), None, None, None), (1, prose(1, 90), None, None, None), (None, prose(2, 90), "en", None, 1), (None, item, "en", "s", None), (3, None, None, "s", 0)]
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    spark.createDataFrame([], plain).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([(0, item), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/some/benchmark.parquet")
+    # a column more than documents has goes, and does not clash with the stages' own names
+    spark.createDataFrame(rows, plain).withColumn("id", F.lit("x")).write.parquet(f"{tmp_path}/some/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    kept = [r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/some").collect()]
+    assert sorted(kept, key=str) == [1, 3, None]
