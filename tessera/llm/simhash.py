@@ -7,6 +7,10 @@ most ``t`` bits, the second lies within ``3 + t`` of the first one's home, so
 replicating each value to all anchors within that distance makes every such
 pair meet, at the home of either. With ``p`` parts and a limit of ``d`` bits
 over all of them, some part differs by at most ``d // p`` bits.
+
+Near copies are found in another way: minima of hashed shingles, in bands, say
+which texts meet, SimHash drops what is far apart, and the shingles themselves
+decide.
 """
 
 from __future__ import annotations
@@ -51,7 +55,8 @@ class Plan:
     The first ``key_bits`` bits are cut into parts of up to 23 bits, which must
     differ by at most ``part_limit`` bits in one part to be compared. They link
     if the key differs by at most ``key_limit`` bits and the words after the
-    key's by at most ``check_limit``.
+    key's by at most ``check_limit``. ``spare`` words after all these only tell
+    values apart.
     """
 
     sketches: tuple[Sketch, ...]
@@ -59,6 +64,7 @@ class Plan:
     part_limit: int
     key_limit: int
     check_limit: int = 0
+    spare: int = 0
 
     @property
     def key_words(self) -> int:
@@ -66,16 +72,21 @@ class Plan:
 
     @property
     def words(self) -> int:
-        return sum(s.words for s in self.sketches)
+        return sum(s.words for s in self.sketches) + self.spare
 
 
 #: Four-word shingles, 64 bits, links at 4 or fewer: three parts, one of which differs by at most one bit.
 EXACT = Plan((Sketch(4),), key_bits=64, part_limit=1, key_limit=4)
 
-#: For removing near copies. Five-word shingles of Jaccard similarity s differ in a share acos(2s / (1 + s)) / pi of
-#: the bits, 39 of 256 at 0.8; the check takes 1.5 standard deviations more. Such texts share nearly all distinct
-#: words, so the 115-bit key over these meets in one of five parts in all but about one case in fifty.
-NEAR_COPIES = Plan((Sketch(1, 2, True), Sketch(5, 4, True)), key_bits=115, part_limit=1, key_limit=22, check_limit=48)
+#: For removing near copies: texts whose sets of distinct five-word shingles have at least this Jaccard similarity.
+ALIKE, SHINGLE = 0.8, 5
+#: Minima in each of so many bands. Two texts meet if all minima of one band are equal: a pair at 0.8 misses all bands
+#: in one of 38,000 cases, wherever its edits are.
+BANDS, MINIMA = 20, 4
+MULTIPLIERS = np.random.default_rng(SEED).integers(1 << 63, size=(BANDS * MINIMA, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: SimHash over the same shingles, and a digest of their set. Texts at 0.8 differ in 39 of 255 bits, or fewer; the limit
+#: is more than five standard deviations above, since it only spares comparing shingles.
+NEAR_COPIES = Plan((Sketch(SHINGLE, 4, True),), key_bits=255, part_limit=0, key_limit=72, spare=2)
 
 
 def _mixed(h: np.ndarray, j: int) -> np.ndarray:
@@ -235,8 +246,8 @@ class _Anchor:
                 x = part[:, j, None] ^ self.words[None, :, j]
                 d += np.bitwise_count(x & ~tail if j == k - 1 else x)
             a, b = np.nonzero(d <= plan.key_limit)
-            if len(a) and plan.words > k:
-                ok = sum(np.bitwise_count(part[a, j] ^ self.words[b, j]).astype(np.int64) for j in range(k, plan.words)) <= plan.check_limit
+            if len(a) and plan.words - plan.spare > k:
+                ok = sum(np.bitwise_count(part[a, j] ^ self.words[b, j]).astype(np.int64) for j in range(k, plan.words - plan.spare)) <= plan.check_limit
                 a, b = a[ok], b[ok]
             cut = np.flatnonzero(np.diff(a)) + 1
             for rows, homes in zip(np.split(a, cut), np.split(b, cut), strict=True):
@@ -310,7 +321,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs_fp = checkpointed(fingerprints(docs, id_col, text_col, plan))
     reps = checkpointed(docs_fp.groupBy("fp").agg(F.min("id").alias("low")))
-    found = connected_components(links(reps, plan), "a", "b").withColumnRenamed("node", "fp")
+    return _named(docs_fp, reps, links(reps, plan))
+
+
+def _named(docs_fp: DataFrame, reps: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(id, fp, component_id)``: the smallest id of each component of fingerprints."""
+    found = connected_components(edges, "a", "b").withColumnRenamed("node", "fp")
     classes = reps.join(found, "fp", "left").withColumn("class", F.coalesce("component", "fp"))
     least = classes.groupBy("class").agg(F.min("low").alias("component_id"))
     # the hash makes Spark shuffle for this join alone, so that it can split a class that holds much of the input
@@ -319,12 +335,171 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs_fp.join(named, "fp").select("id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan = NEAR_COPIES) -> DataFrame:
+# --- Near copies
+
+
+def shingles(text: str | None) -> set[bytes]:
+    """Distinct five-word shingles in small letters; the whole of a shorter text, nothing of a blank one."""
+    split = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    k = min(SHINGLE, len(split))
+    return {b" ".join(split[i : i + k]) for i in range(len(split) - k + 1)} if split else set()
+
+
+def _hashes(text: str | None) -> np.ndarray:
+    found = shingles(text)
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in found), dtype=np.uint64, count=len(found)))
+
+
+def _digest(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh128_digest(hashes.tobytes(), SEED) if len(hashes) else bytes(16)
+
+
+def sketch(text: str | None) -> tuple[bytes, bytes]:
+    """A text's fingerprint by ``NEAR_COPIES``, its last 16 bytes being the digest, and its bands, eight bytes each; none for blank texts."""
+    hashes = _hashes(text)
+    if not len(hashes):
+        return bytes(8 * NEAR_COPIES.words), b""
+    minima = np.full(BANDS * MINIMA, np.uint64(2**64 - 1))
+    for at in range(0, len(hashes), 4096):
+        minima = np.minimum(minima, (hashes[at : at + 4096] * MULTIPLIERS).min(axis=1))
+    bands = b"".join(xxhash.xxh64_digest(x.tobytes(), i) for i, x in enumerate(minima.reshape(BANDS, MINIMA)))
+    words = _majority(iter(hashes.tolist()), NEAR_COPIES.words - NEAR_COPIES.spare)
+    return b"".join(w.to_bytes(8, "big") for w in words) + _digest(hashes), bands
+
+
+def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches):
+        for batch in slices(batches):
+            out = [sketch(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["id", "fp", "bands"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp binary, bands binary")
+
+
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """``(digest, text)``: one text for each set of shingles."""
+
+    def run(batches):
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(_hashes(t)) for t in batch.column(0).to_pylist()], pa.binary()), batch.column(0)], ["digest", "text"])
+
+    rows = docs.select(F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "digest binary, text string").groupBy("digest").agg(F.first("text").alias("text"))
+
+
+def _banded(blocks: dict[int, int]):
+    """Rows ``(bucket, probe, fp, class)``; a full bucket is split into blocks, each met by the rows of later ones too."""
+
+    def run(batches):
+        for batch in slices(batches, 8192):
+            index, bucket, probe = [], [], []
+            salts = [int.from_bytes(x[-8:], "big") for x in batch.column(0).to_pylist()]
+            for i, bands in enumerate(batch.column(1).to_pylist()):
+                for b in np.frombuffer(bands, dtype=">i8").tolist():
+                    own = salts[i] % blocks.get(b, 1)
+                    for block in range(own + 1):
+                        index.append(i)
+                        bucket.append((b + block * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63)
+                        probe.append(block < own)
+            at = pa.array(index, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(probe, pa.bool_()), batch.column(0).take(at), batch.column(2).take(at)], ["bucket", "probe", "fp", "class"])
+
+    return run
+
+
+def _across(plan: Plan):
+    """All pairs of each bucket that ``plan`` links and whose classes differ. Rows come as for ``_compare``."""
+
+    def run(batches):
+        now, at, classes = None, None, np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            bucket, probe = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            words, own_class = _words(batch.column(2), plan.words), batch.column(3).to_numpy()
+            cut = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(probe.astype(np.int8)) != 0)) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)], strict=True):
+                if bucket[a] != at:
+                    now, at, classes = _Anchor(plan), bucket[a], np.zeros(0, dtype=np.int64)
+                own, n = words[a:b], len(now.words)
+                if not probe[a]:
+                    now.words, classes = np.concatenate((now.words, own)), np.concatenate((classes, own_class[a:b]))
+                for row, homes in now.near(own) if len(now.words) else ():
+                    homes = homes[(classes[homes] != own_class[a + row]) & (probe[a] | (homes < n + row))]
+                    if len(homes):
+                        left = own[row].astype(">u8").tobytes()
+                        right = [x.tobytes() for x in now.words[homes].astype(">u8")]
+                        yield pa.RecordBatch.from_arrays([pa.array([left] * len(right), pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+
+    return run
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(a, b, alike)`` of distinct pairs: whether the Jaccard similarity of their shingles is at least ``ALIKE``."""
+    pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).select(F.substring("a", -16, 16).alias("digest")).distinct()
+    known = checkpointed(texts.join(ends, "digest", "left_semi"))
+    for x in ("a", "b"):
+        # the hash makes Spark shuffle for each join alone, so that it can split the pairs of a hub
+        side = known.select(F.col("digest").alias("d"), F.xxhash64("digest", F.lit(x)).alias("h"), F.col("text").alias(f"text_{x}"))
+        pairs = pairs.withColumn("d", F.substring(x, -16, 16)).withColumn("h", F.xxhash64("d", F.lit(x))).join(side, ["d", "h"]).drop("d", "h")
+
+    def run(batches):
+        for batch in slices(batches):
+            alike, last, ours = [], None, set()
+            for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if t != last:
+                    last, ours = t, shingles(t)
+                other = shingles(s)
+                same = len(ours & other)
+                # in whole numbers: 0.8 itself counts
+                alike.append(5 * same >= 4 * (len(ours) + len(other) - same))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.bool_())], ["a", "b", "alike"])
+
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, alike boolean")
+
+
+def copy_links(reps: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Edges ``(a, b)`` that connect all pairs that meet in a band, are near by SimHash and alike by their shingles.
+
+    ``reps`` has distinct ``fp`` and their ``bands``. First a spanning forest of each bucket is confirmed. Only where a
+    pair of it is not alike can anything be missed; there all pairs between what is connected so far are confirmed.
+    """
+    keys = reps.select(F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("i"), "bands").where("length(bands) > 0")
+    keys = keys.select(F.conv(F.hex(F.expr("substring(bands, 8 * i + 1, 8)")), 16, -10).cast("long").alias("at"))
+    blocks = {r["at"]: -(-r["n"] // block) for r in keys.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > block).collect()}
+
+    def met(rows: DataFrame, found, kind: str) -> DataFrame:
+        placed = rows.mapInArrow(_banded(blocks), "bucket long, probe boolean, fp binary, class long")
+        return placed.repartition("bucket").sortWithinPartitions("bucket", "probe", "fp").mapInArrow(found, kind)
+
+    edges = "a binary, b binary"
+    first = checkpointed(_confirmed(met(reps.select("fp", "bands", F.lit(0).cast("long").alias("class")), _compare(NEAR_COPIES), edges), texts))
+    sure, doubtful = first.where("alike").select("a", "b"), first.where("not alike")
+    if doubtful.isEmpty():
+        return sure
+    found = connected_components(sure, "a", "b").withColumnRenamed("node", "fp")
+    classes = checkpointed(reps.select("fp", "bands").join(found, "fp", "left").select("fp", "bands", F.xxhash64(F.coalesce("component", "fp")).alias("class")))
+    ends = doubtful.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    touched = checkpointed(classes.join(ends, "fp").select("class").distinct())
+    h = F.xxhash64("class").alias("h")
+    again = classes.select("*", h).join(touched.select("*", h), ["class", "h"]).select("fp", "bands", "class")
+    return sure.unionByName(_confirmed(met(again, _across(NEAR_COPIES), edges), texts).where("alike").select("a", "b"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``near_duplicates``, for texts that are alike by their five-word shingles; all blank texts are one component."""
+    docs_fp = checkpointed(_sketches(docs, id_col, text_col))
+    reps = checkpointed(docs_fp.groupBy("fp", "bands").agg(F.min("id").alias("low")))
+    return _named(docs_fp, reps, copy_links(reps, _texts(docs, text_col)))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that have the smallest id of their group of near copies, one for each group.
 
     Of repeated rows with one id, one stays. Rows with a null id stay: nothing says which of them is first.
     """
-    found = near_duplicates(docs, id_col, text_col, plan)
+    found = near_copies(docs, id_col, text_col)
     ids = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("__kept")).distinct()
     kept = docs.where(F.col(id_col).isNotNull()).join(ids, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

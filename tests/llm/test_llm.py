@@ -105,6 +105,28 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept == {*range(30), 46}
 
 
+def test_near_copies_by_passage_are_those_of_all_pairs(spark):
+    r = random.Random(3)
+    texts = []
+    for i in range(40):
+        w = prose(1000 + i, 200).split()
+        n = r.randint(15, 48)
+        extra = prose(2000 + i, n)
+        texts += [" ".join(w), " ".join(w) + " " + extra, " ".join([*w[:60], *extra.split()[: n // 2], *w[60 + n // 2 :]])]
+    group = prose(3000, 200).split()
+    texts += [" ".join([*group[: 4 * i], prose(3100 + i, 12), *group[4 * i :]]) for i in range(40)]
+    sets = [simhash.shingles(t) for t in texts]
+    near = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = plain_components(near, range(len(texts)))
+    assert 50 < len(near) and len({*want.values()}) > 50
+    assert {x.id: x.component_id for x in simhash.near_copies(docs(spark, texts)).collect()} == want
+    reps = spark.createDataFrame([tuple(map(bytearray, simhash.sketch(t))) for t in dict.fromkeys(texts)], "fp binary, bands binary")
+    edges = simhash.copy_links(reps, simhash._texts(docs(spark, texts), "text"), block=4).collect()
+    prints = [simhash.sketch(t)[0] for t in texts]
+    assert {(min(x), max(x)) for x in edges} <= {(min(prints[a], prints[b]), max(prints[a], prints[b])) for a, b in near}
+    assert len({*plain_components([(bytes(e.a), bytes(e.b)) for e in edges], prints).values()}) == len({*want.values()})
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)] + [(5, 5), (None, 3)]
     found = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
