@@ -8,6 +8,7 @@ co-occur in its scope, found by an interval join of the parts' windows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,17 +45,30 @@ def strong(text: str) -> list[Span]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def _near(parts: list[Span], others: list[Span], text: str) -> list[tuple[Span, Span]]:
-    """Pairs of a part with the nearest other part before and after it in reach, both lists sorted by start."""
-    pairs, at = [], 0
+def _linked(parts: list[Span], others: list[Span], text: str) -> set[Span]:
+    """All parts and all others that are in reach and scope of each other without overlapping.
+
+    Spans of one kind never overlap, so that few of them fit into the reach of a part, however long the text is.
+    """
+    by_kind: dict[str, list[Span]] = {}
+    for q in sorted(others, key=lambda s: s[1]):
+        by_kind.setdefault(q[0], []).append(q)
+    kinds = [(own, [q[1] for q in own], [q[2] for q in own]) for own in by_kind.values()]
+    found: set[Span] = set()
     for p in parts:
-        while at < len(others) and others[at][1] < p[1]:
-            at += 1
-        for q in others[max(0, at - 1) : at + 1]:
-            low, high = (q, p) if q[1] < p[1] else (p, q)
-            if low[2] <= high[1] <= low[2] + REACH and "\n\n" not in text[low[2] : high[1]]:
-                pairs.append((p, q))
-    return pairs
+        _, start, end = p
+        low, high = max(0, start - REACH), end + REACH
+        # an empty line ends the scope
+        if (at := text.rfind("\n\n", low, start)) >= 0:
+            low = at + 1
+        if (at := text.find("\n\n", end, high)) >= 0:
+            high = at + 1
+        for own, starts, ends in kinds:
+            before = own[bisect_left(ends, low) : bisect_right(ends, start)]
+            after = own[bisect_left(starts, end) : bisect_right(starts, high)]
+            if before or after:
+                found.update((p, *before, *after))
+    return found
 
 
 def scan(text: str | None) -> list[Span]:
@@ -66,15 +80,13 @@ def scan(text: str | None) -> list[Span]:
     if "_id" in low or "user" in low:
         ids += [("linked_id", m.start(), m.end()) for m in IDENTIFIER.finditer(text)]
     if ids:
-        ids.sort(key=lambda s: s[1])
         taken = sorted((s[1], s[2]) for s in found)
         weak = [("linked_secret", m.start(), m.end()) for m in UNLABELLED.finditer(text) if _mixed(m[0])]
         weak = [w for w in weak if not any(a < w[2] and w[1] < b for a, b in taken)]
-        secrets = sorted([*weak, *(s for s in found if s[0] != "access")], key=lambda s: s[1])
-        pairs = _near(secrets, ids, text)
-        whole = sorted({x for pair in pairs for x in pair}, key=lambda s: s[1])
+        secrets = [*weak, *(s for s in found if s[0] != "access")]
+        whole = _linked(secrets, ids, text)
         ends = [("linked_endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)] if whole and "://" in text else []
-        linked = {*whole, *(e for e, _ in _near(ends, whole, text))}
+        linked = {*whole, *(_linked(ends, list(whole), text).intersection(ends))}
         found += [s for s in linked if s[0].startswith("linked")]
     return sorted(found, key=lambda s: (s[1], ORDER[s[0]], s[2]))
 

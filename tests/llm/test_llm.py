@@ -211,6 +211,27 @@ def test_weak_parts_need_each_other():
     assert secrets.redact(text, secrets.scan(text)) == f"a {secrets.PLACEHOLDER} b" and secrets.redact(None, []) is None
 
 
+def test_every_part_in_reach_is_linked():
+    key = "wJalrXUtnFEMI7K7MDENGbPxRfiCYEXAMPLEKEY1"
+    text = f"account_id: 4711aaaa client_id: 0815bbbb {key} and user_id: later12"
+    assert secrets.redact(text, secrets.scan(text)) == "{0} {0} {0} and {0}".format(secrets.PLACEHOLDER)
+    # the nearest identifier holds the hexadecimal run itself
+    spans = secrets.scan("client_id: 0815bbbb user_id: " + "0123456789abcdef" * 2)
+    assert [s[0] for s in spans] == ["linked_id", "hex"]
+    # reach and scope, against all pairs
+    r = random.Random(6)
+    pieces = [f" {key} ", " user_id: abcd1234 ", " client_id=zzzz ", "\n\n", "\n", " " * 70, "x" * 90, " https://a.example/b ", " AKIA" + "Q" * 16 + " "]
+    for _ in range(300):
+        text = "".join(r.choice(pieces) for _ in range(r.randint(2, 12)))
+        meet = lambda x, y: x[2] <= y[1] <= x[2] + secrets.REACH and "\n\n" not in text[x[2] : y[1]]
+        spans = lambda kind, p: [(kind, m.start(), m.end()) for m in p.finditer(text)]
+        ids = [*spans("access", secrets.ACCESS), *spans("linked_id", secrets.IDENTIFIER)]
+        keys = spans("linked_secret", re.compile(key))
+        whole = {z for x in keys for y in ids if meet(x, y) or meet(y, x) for z in (x, y)}
+        ends = {x for x in spans("linked_endpoint", secrets.ENDPOINT) if any(meet(x, y) or meet(y, x) for y in whole)}
+        assert {s for s in secrets.scan(text) if s[0] != "access"} == {s for s in whole | ends if s[0] != "access"}
+
+
 # --- Chat
 
 
