@@ -22,7 +22,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 IDENTIFIER = re.compile(r"""(?ai:access_key_id|client_id|account_id|user_?name|user_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{4,})""")
-UNLABELLED = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=_-])")
+#: A token of 32 or more, of the URL-safe alphabet too, or of 20 or more letters and digits.
+UNLABELLED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{32,}={0,2}|[A-Za-z0-9]{20,})(?![A-Za-z0-9+/=_-])")
+#: A value under a name that has a keyword anywhere, as in SECRET_ACCESS_KEY=. Names are taken whole.
+NAMED = re.compile(r"""(?a:(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]{8,}))""")
 ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+""")
 #: Kinds in the order in which spans that begin together are listed; the first three are strong.
 KINDS = ("assign", "access", "hex", "linked_id", "linked_secret", "linked_endpoint")
@@ -81,7 +84,11 @@ def scan(text: str | None) -> list[Span]:
         ids += [("linked_id", m.start(), m.end()) for m in IDENTIFIER.finditer(text)]
     if ids:
         taken = sorted((s[1], s[2]) for s in found)
-        weak = [("linked_secret", m.start(), m.end()) for m in UNLABELLED.finditer(text) if _mixed(m[0])]
+        named = [("linked_secret", m.start(), m.end()) for m in NAMED.finditer(text) if _named(m[1], m[2])] if any(k in low for k in KEYWORDS) else []
+        starts = [s[1] for s in named]
+        # a value belongs to its name's span
+        inside = lambda m: (i := bisect_right(starts, m.start())) and m.end() <= named[i - 1][2]
+        weak = [*named, *(("linked_secret", m.start(), m.end()) for m in UNLABELLED.finditer(text) if _mixed(m[0]) and not inside(m))]
         weak = [w for w in weak if not any(a < w[2] and w[1] < b for a, b in taken)]
         secrets = [*weak, *(s for s in found if s[0] != "access")]
         whole = _linked(secrets, ids, text)
@@ -96,6 +103,12 @@ def _mixed(token: str) -> bool:
     return any(c.islower() for c in token) and any(c.isupper() for c in token) and any(c.isdigit() for c in token)
 
 
+def _named(name: str, value: str) -> bool:
+    """Whether a name is that of a secret and the value has letters and digits."""
+    name = name.lower()
+    return any(k in name for k in KEYWORDS) and any(c.isalpha() for c in value) and any(c.isdigit() for c in value)
+
+
 def redact(text: str | None, spans: list[Span]) -> str | None:
     """The text with each maximal run of overlapping spans replaced by a placeholder."""
     if not spans or text is None:

@@ -211,6 +211,20 @@ def test_weak_parts_need_each_other():
     assert secrets.redact(text, secrets.scan(text)) == f"a {secrets.PLACEHOLDER} b" and secrets.redact(None, []) is None
 
 
+def test_env_files_and_url_safe_keys():
+    access, key = "AKIA" + "Q" * 16, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    shown = lambda text: secrets.redact(text, secrets.scan(text)).replace(secrets.PLACEHOLDER, "#")
+    assert shown(f"AWS_ACCESS_KEY_ID={access}\nAWS_SECRET_ACCESS_KEY={key}\n") == "AWS_#\n#\n"
+    assert shown(f"AWS_ACCESS_KEY_ID = {access}\nAWS_SECRET_ACCESS_KEY = {key}\n") == "AWS_#\n#\n"
+    assert shown(f"{access}\nKEY={key}\n") == "#\nKEY=#\n"
+    for value in ("a-B3_" * 8, "_Ab3" * 8, "Ab3d" * 5, "aB3/+" * 7 + "=="):
+        assert shown(f"client_id: 0815bbbb x={value} y") == "# x=# y" and shown(f"client_id: 0815bbbb {value}.") == "# #."
+        assert shown(f"x={value} y") == f"x={value} y"
+    assert shown("client_id=0815bbbb client_secret_key=short-1234") == "# #"
+    assert shown("client_id: 0815bbbb token_type: Bearertype") == "client_id: 0815bbbb token_type: Bearertype"
+    assert len(secrets.scan("user_id: abcd " + "secret" * 100_000)) == 0
+
+
 def test_every_part_in_reach_is_linked():
     key = "wJalrXUtnFEMI7K7MDENGbPxRfiCYEXAMPLEKEY1"
     text = f"account_id: 4711aaaa client_id: 0815bbbb {key} and user_id: later12"
