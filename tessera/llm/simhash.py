@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -87,6 +87,8 @@ MULTIPLIERS = np.random.default_rng(SEED).integers(1 << 63, size=(BANDS * MINIMA
 #: SimHash over the same shingles, and a digest of their set. Texts at 0.8 differ in 39 of 255 bits, or fewer; the limit
 #: is more than five standard deviations above, since it only spares comparing shingles.
 NEAR_COPIES = Plan((Sketch(SHINGLE, 4, True),), key_bits=255, part_limit=0, key_limit=72, spare=2)
+#: Pairs that differ in fewer bits are confirmed first; most others are then known to be connected.
+LIMITS = (24, 32, 40, NEAR_COPIES.key_limit)
 
 
 def _mixed(h: np.ndarray, j: int) -> np.ndarray:
@@ -409,14 +411,16 @@ def _banded(blocks: dict[int, int]):
     return run
 
 
-def _across(plan: Plan):
-    """All pairs of each bucket that ``plan`` links and whose classes differ. Rows come as for ``_compare``."""
+def _across(plan: Plan, forest: bool):
+    """Pairs of each bucket that ``plan`` links and whose classes differ: all, or a spanning forest of the classes. Rows come as for ``_compare``."""
 
     def run(batches):
         now, at, classes = None, None, np.zeros(0, dtype=np.int64)
         for batch in batches:
             bucket, probe = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             words, own_class = _words(batch.column(2), plan.words), batch.column(3).to_numpy()
+            lefts: list[bytes] = []
+            rights: list[bytes] = []
             cut = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(probe.astype(np.int8)) != 0)) + 1
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)], strict=True):
                 if bucket[a] != at:
@@ -425,11 +429,22 @@ def _across(plan: Plan):
                 if not probe[a]:
                     now.words, classes = np.concatenate((now.words, own)), np.concatenate((classes, own_class[a:b]))
                 for row, homes in now.near(own) if len(now.words) else ():
-                    homes = homes[(classes[homes] != own_class[a + row]) & (probe[a] | (homes < n + row))]
+                    mine = own_class[a + row] if probe[a] else classes[n + row]
+                    homes = homes[(classes[homes] != mine) & (probe[a] | (homes < n + row))]
+                    if forest and len(homes):
+                        merged, first = np.unique(classes[homes], return_index=True)
+                        homes = homes[first]
+                        classes[np.isin(classes, merged)] = mine
                     if len(homes):
                         left = own[row].astype(">u8").tobytes()
                         right = [x.tobytes() for x in now.words[homes].astype(">u8")]
-                        yield pa.RecordBatch.from_arrays([pa.array([left] * len(right), pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+                        lefts += [left] * len(right)
+                        rights += right
+                    if len(lefts) > 8192:
+                        yield pa.RecordBatch.from_arrays([pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())], ["a", "b"])
+                        lefts, rights = [], []
+            if lefts:
+                yield pa.RecordBatch.from_arrays([pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())], ["a", "b"])
 
     return run
 
@@ -462,29 +477,39 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def copy_links(reps: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
     """Edges ``(a, b)`` that connect all pairs that meet in a band, are near by SimHash and alike by their shingles.
 
-    ``reps`` has distinct ``fp`` and their ``bands``. First a spanning forest of each bucket is confirmed. Only where a
-    pair of it is not alike can anything be missed; there all pairs between what is connected so far are confirmed.
+    ``reps`` has distinct ``fp`` and their ``bands``. A spanning forest of each bucket is confirmed, nearest pairs first.
+    Only where a pair of it is not alike can anything be missed; there all pairs between what is connected so far are
+    confirmed, which may be as many as the square of a bucket's distinct texts.
     """
     keys = reps.select(F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("i"), "bands").where("length(bands) > 0")
     keys = keys.select(F.conv(F.hex(F.expr("substring(bands, 8 * i + 1, 8)")), 16, -10).cast("long").alias("at"))
     blocks = {r["at"]: -(-r["n"] // block) for r in keys.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > block).collect()}
 
-    def met(rows: DataFrame, found, kind: str) -> DataFrame:
-        placed = rows.mapInArrow(_banded(blocks), "bucket long, probe boolean, fp binary, class long")
-        return placed.repartition("bucket").sortWithinPartitions("bucket", "probe", "fp").mapInArrow(found, kind)
+    h = F.xxhash64("class").alias("h")
+    none = reps.sparkSession.createDataFrame([], "a binary, b binary")
+
+    def classed(sure: DataFrame) -> DataFrame:
+        found = connected_components(sure, "a", "b").withColumnRenamed("node", "fp")
+        return checkpointed(reps.select("fp", "bands").join(found, "fp", "left").select("fp", "bands", F.xxhash64(F.coalesce("component", "fp")).alias("class")))
 
-    edges = "a binary, b binary"
-    first = checkpointed(_confirmed(met(reps.select("fp", "bands", F.lit(0).cast("long").alias("class")), _compare(NEAR_COPIES), edges), texts))
-    sure, doubtful = first.where("alike").select("a", "b"), first.where("not alike")
+    def tried(rows: DataFrame, limit: int, forest: bool) -> DataFrame:
+        placed = rows.mapInArrow(_banded(blocks), "bucket long, probe boolean, fp binary, class long")
+        met = placed.repartition("bucket").sortWithinPartitions("bucket", "probe", "fp")
+        pairs = met.mapInArrow(_across(replace(NEAR_COPIES, key_limit=limit), forest), "a binary, b binary")
+        return checkpointed(_confirmed(pairs, texts))
+
+    sure, rows, found = none, reps.select("fp", "bands", F.xxhash64("fp").alias("class")), none
+    for limit in LIMITS:
+        found = tried(rows, limit, True)
+        sure = sure.unionByName(found.where("alike").select("a", "b"))
+        rows = classed(sure)
+    doubtful = found.where("not alike")
     if doubtful.isEmpty():
         return sure
-    found = connected_components(sure, "a", "b").withColumnRenamed("node", "fp")
-    classes = checkpointed(reps.select("fp", "bands").join(found, "fp", "left").select("fp", "bands", F.xxhash64(F.coalesce("component", "fp")).alias("class")))
     ends = doubtful.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    touched = checkpointed(classes.join(ends, "fp").select("class").distinct())
-    h = F.xxhash64("class").alias("h")
-    again = classes.select("*", h).join(touched.select("*", h), ["class", "h"]).select("fp", "bands", "class")
-    return sure.unionByName(_confirmed(met(again, _across(NEAR_COPIES), edges), texts).where("alike").select("a", "b"))
+    touched = checkpointed(rows.join(ends, "fp").select("class").distinct())
+    again = rows.select("*", h).join(touched.select("*", h), ["class", "h"]).select("fp", "bands", "class")
+    return sure.unionByName(tried(again, LIMITS[-1], False).where("alike").select("a", "b"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
