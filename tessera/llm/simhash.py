@@ -8,16 +8,17 @@ replicating each value to all anchors within that distance makes every such
 pair meet, at the home of either. With ``p`` parts and a limit of ``d`` bits
 over all of them, some part differs by at most ``d // p`` bits.
 
-Near copies are found in another way: minima of hashed shingles, in bands, say
-which texts meet, SimHash drops what is far apart, and the shingles themselves
-decide.
+Near copies at a similarity of 0.8 differ in about 15 of 100 bits, for which
+anchors would need some 160 replicas of each fingerprint. There, minima of
+hashed shingles, in bands, say which texts meet, and the distance of their
+SimHash fingerprints alone decides.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +36,7 @@ WIDTH, RADIUS = 23, 3
 GENERATOR = 0b110001110101
 #: Homes compared in one task at once; a fuller anchor is split into blocks of this size, compared block by block.
 BLOCK = 4096
-SHINGLES_AT_ONCE = 1 << 16
+SHINGLES_AT_ONCE = 1 << 12
 CELLS = 1 << 21
 
 
@@ -78,39 +79,43 @@ class Plan:
 #: Four-word shingles, 64 bits, links at 4 or fewer: three parts, one of which differs by at most one bit.
 EXACT = Plan((Sketch(4),), key_bits=64, part_limit=1, key_limit=4)
 
-#: For removing near copies: texts whose sets of distinct five-word shingles have at least this Jaccard similarity.
+#: For removing near copies: texts are near copies if their sets of distinct five-word shingles have about this Jaccard similarity, or more.
 ALIKE, SHINGLE = 0.8, 5
 #: Minima in each of so many bands. Two texts meet if all minima of one band are equal: a pair at 0.8 misses all bands
-#: in one of 38,000 cases, wherever its edits are.
-BANDS, MINIMA = 20, 4
+#: in one of 4,600 cases, wherever its edits are.
+BANDS, MINIMA = 16, 4
 MULTIPLIERS = np.random.default_rng(SEED).integers(1 << 63, size=(BANDS * MINIMA, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: SimHash over the same shingles, and a digest of their set. Texts at 0.8 differ in 39 of 255 bits, or fewer; the limit
-#: is more than five standard deviations above, since it only spares comparing shingles.
-NEAR_COPIES = Plan((Sketch(SHINGLE, 4, True),), key_bits=255, part_limit=0, key_limit=72, spare=2)
-#: Pairs that differ in fewer bits are confirmed first; most others are then known to be connected.
-LIMITS = (24, 32, 40, NEAR_COPIES.key_limit)
+#: 1,024 SimHash bits over the distinct shingles. Sets at 0.8 differ in 155 bits on average, with a standard deviation of
+#: 11.5; the limit leaves one such pair in 13 apart and links one at 0.7 (196 bits) in 40, and one at 0.6 practically never.
+NEAR_COPIES = Plan((Sketch(SHINGLE, 16, True),), key_bits=1024, part_limit=0, key_limit=171, spare=2)
 
 
-def _mixed(h: np.ndarray, j: int) -> np.ndarray:
+def _mixed(h: np.ndarray, j: np.ndarray | int) -> np.ndarray:
     """The j-th 64-bit value derived from each hash; the hash itself for j = 0."""
-    if not j:
-        return h
-    h = (h ^ np.uint64(0x9E3779B97F4A7C15 * j % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    j = np.atleast_1d(np.asarray(j, dtype=np.uint64))
+    x = (h ^ j * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.where(j == 0, h, x ^ (x >> np.uint64(31)))
 
 
-def _majority(hashes: Iterator[int], words: int) -> list[int]:
-    """Bits set in over half of the hashes, as ``words`` integers; zeros if there are none."""
+def _majority(parts: Iterator[np.ndarray], words: int) -> list[int]:
+    """Bits set in over half of the hashes, which come in arrays, as ``words`` integers; zeros if there are none."""
     total, n = np.zeros(64 * words, dtype=np.int64), 0
-    while len(part := np.fromiter(itertools.islice(hashes, SHINGLES_AT_ONCE), dtype=np.uint64)):
+    for part in parts:
         n += len(part)
-        for j in range(words):
-            bits = np.unpackbits(_mixed(part, j).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            total[64 * j : 64 * j + 64] += bits.sum(axis=0, dtype=np.int64)
+        bits = np.unpackbits(_mixed(part[:, None], np.arange(words)).astype(">u8").view(np.uint8), axis=1)
+        # up to 255 ones fit into a byte
+        even = len(bits) // 255 * 255
+        total += bits[:even].reshape(-1, 255, 64 * words).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        total += bits[even:].sum(axis=0, dtype=np.uint8)
     return np.packbits(2 * total > n).view(">u8").tolist()
 
 
+def _in_arrays(hashes: Iterator[int], at_once: int = SHINGLES_AT_ONCE) -> Iterator[np.ndarray]:
+    while len(part := np.fromiter(itertools.islice(hashes, at_once), dtype=np.uint64)):
+        yield part
+
+
 def fingerprint(text: str | None, plan: Plan = EXACT) -> bytes:
     """Big-endian words of the sketches of one text. Null and blank texts: all zero."""
     split = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -125,7 +130,7 @@ def fingerprint(text: str | None, plan: Plan = EXACT) -> bytes:
         pieces = (joined[a:b] for a, b in zip(starts[: len(split) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True))
         if sketch.distinct:
             pieces = set(pieces)
-        out += _majority((hashed(x, SEED) for x in pieces), sketch.words)
+        out += _majority(_in_arrays(hashed(x, SEED) for x in pieces), sketch.words)
     return b"".join(w.to_bytes(8, "big") for w in out)
 
 
@@ -189,8 +194,12 @@ def _words(column: pa.Array, n: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, n)
 
 
-def _replicate(plan: Plan, blocks: dict[int, int]):
-    """Rows ``(bucket, probe, fp)``: at its home a fingerprint is one of those compared with, elsewhere it probes."""
+def _replicate(plan: Plan, blocks: dict[int, tuple[int, int]]):
+    """Rows ``(bucket, probe, fp)``: at its home a fingerprint is one of those compared with, elsewhere it probes.
+
+    ``blocks`` says of full anchors into how many blocks their homes and their probes are split. Each pair of blocks
+    that can hold a link is a bucket of its own, so no bucket is larger than two blocks.
+    """
 
     def run(batches):
         for batch in slices(batches, 8192):
@@ -200,30 +209,32 @@ def _replicate(plan: Plan, blocks: dict[int, int]):
             index, bucket, probe = [], [], []
             for p, values in enumerate(_parts(words, plan.key_bits)):
                 of, anchor, home = anchors(values, RADIUS + plan.part_limit)
-                at = p * 4096 + anchor
-                n = np.array([blocks.get(x, 1) for x in range(p * 4096, p * 4096 + 4096)], dtype=np.int64)[anchor]
-                own = np.where(home, (salt[of] % n.astype(np.uint64)).astype(np.int64), n)
-                # a home row meets its own block as one of it, and earlier blocks as a probe; others probe every block
-                copies = np.where(home, own + 1, n)
+                split = np.array([blocks.get(x, (0, 0)) for x in range(p * 4096, p * 4096 + 4096)], dtype=np.int64)[anchor]
+                homes, probes = split[:, 0], split[:, 1]
+                n = np.maximum(np.where(home, homes, probes), 1)
+                own = (salt[of] % n.astype(np.uint64)).astype(np.int64) + np.where(home, 0, homes)
+                copies = np.maximum(np.where(home, homes + probes, homes), 1)
                 row = np.repeat(np.arange(len(of)), copies)
-                block = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+                met = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+                low, high = np.minimum(met, own[row]), np.maximum(met, own[row])
                 index.append(of[row])
-                bucket.append(at[row] * (1 << 24) + block)
-                probe.append(~home[row] | (block < own[row]))
+                bucket.append(((p * 4096 + anchor[row]) << 40) + (low << 20) + high)
+                probe.append(np.where(homes[row] > 0, met < own[row], ~home[row]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bucket)), pa.array(np.concatenate(probe)), fps.take(pa.array(np.concatenate(index)))], ["bucket", "probe", "fp"])
 
     return run
 
 
-def _homes(plan: Plan):
+def _filling(plan: Plan):
+    """Rows ``(at, homes, probes)``: how many fingerprints come to each anchor of each part."""
+
     def run(batches):
         for batch in slices(batches, 8192):
-            count = np.zeros(0, dtype=np.int64)
             for p, values in enumerate(_parts(_words(batch.column(0), plan.words), plan.key_bits)):
-                of, anchor, home = anchors(values, RADIUS)
-                count = np.concatenate((count, p * 4096 + anchor[home]))
-            at, n = np.unique(count, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.astype(np.int64))], ["at", "n"])
+                of, anchor, home = anchors(values, RADIUS + plan.part_limit)
+                homes, probes = (np.bincount(anchor[x], minlength=4096) for x in (home, ~home))
+                at = np.flatnonzero(homes + probes)
+                yield pa.RecordBatch.from_arrays([pa.array(p * 4096 + at), pa.array(homes[at]), pa.array(probes[at])], ["at", "homes", "probes"])
 
     return run
 
@@ -243,7 +254,7 @@ class _Anchor:
         step = max(1, CELLS // max(1, len(self.words)))
         for at in range(0, len(words), step):
             part = words[at : at + step]
-            d = np.zeros((len(part), len(self.words)), dtype=np.uint8)
+            d = np.zeros((len(part), len(self.words)), dtype=np.uint8 if plan.key_bits < 256 else np.uint16)
             for j in range(k):
                 x = part[:, j, None] ^ self.words[None, :, j]
                 d += np.bitwise_count(x & ~tail if j == k - 1 else x)
@@ -258,9 +269,11 @@ class _Anchor:
 
     def link(self, homes: np.ndarray) -> np.ndarray:
         """One home of each component among ``homes``, which are connected from now on."""
-        roots, first = np.unique(self.root[homes], return_index=True)
-        for r in roots[1:]:
-            self.root[self.root == r] = roots[0]
+        roots = self.root[homes]
+        if roots.min() == roots.max():
+            return homes[:1]
+        roots, first = np.unique(roots, return_index=True)
+        self.root[np.isin(self.root, roots[1:])] = roots[0]
         return homes[first]
 
 
@@ -288,8 +301,10 @@ def _compare(plan: Plan):
                     for row, homes in now.near(own):
                         homes = homes[homes < n + row]
                         if len(homes):
-                            for x in now.link(np.append(homes, n + row)):
+                            for x in now.link(homes):
                                 edges.append((own[row], now.words[x]))
+                            # the row has been compared with none before, so it was alone
+                            now.root[n + row] = now.root[homes[0]]
                 elif len(now.words):
                     for row, homes in now.near(own):
                         for x in now.link(homes):
@@ -305,11 +320,12 @@ def _compare(plan: Plan):
 def links(fps: DataFrame, plan: Plan = EXACT, block: int = BLOCK) -> DataFrame:
     """Edges ``(a, b)`` between distinct fingerprints that connect exactly what ``plan`` links.
 
-    ``fps`` has distinct values in column ``fp``. The table of homes per anchor has at most 4,096 rows a part, however
-    large the input, and goes to the driver; it says into how many blocks an anchor's homes are split.
+    ``fps`` has distinct values in column ``fp``. The table of full anchors has at most 4,096 rows a part, however
+    large the input, and goes to the driver; it says into how many blocks their homes and probes are split.
     """
-    counts = fps.select("fp").mapInArrow(_homes(plan), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    blocks = {r["at"]: -(-r["n"] // block) for r in counts.where(F.col("n") > block).collect()}
+    counts = fps.select("fp").mapInArrow(_filling(plan), "at long, homes long, probes long").groupBy("at").agg(F.sum("homes").alias("homes"), F.sum("probes").alias("probes"))
+    full = counts.where((F.col("homes") > block) | (F.col("probes") > 4 * block)).collect()
+    blocks = {r["at"]: (max(1, -(-r["homes"] // block)), max(1, -(-r["probes"] // (4 * block)))) for r in full}
     rows = fps.select("fp").mapInArrow(_replicate(plan, blocks), "bucket long, probe boolean, fp binary")
     return rows.repartition("bucket").sortWithinPartitions("bucket", "probe").mapInArrow(_compare(plan), "a binary, b binary")
 
@@ -327,14 +343,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _named(docs_fp: DataFrame, reps: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(id, fp, component_id)``: the smallest id of each component of fingerprints."""
+    """``docs_fp`` with ``component_id``, the smallest id of each component of fingerprints."""
     found = connected_components(edges, "a", "b").withColumnRenamed("node", "fp")
-    classes = reps.join(found, "fp", "left").withColumn("class", F.coalesce("component", "fp"))
+    classes = reps.select("fp", "low").join(found, "fp", "left").withColumn("class", F.coalesce("component", "fp"))
     least = classes.groupBy("class").agg(F.min("low").alias("component_id"))
     # the hash makes Spark shuffle for this join alone, so that it can split a class that holds much of the input
     h = F.xxhash64("class").alias("h")
     named = classes.select("*", h).join(least.select("*", h), ["class", "h"]).select("fp", "component_id")
-    return docs_fp.join(named, "fp").select("id", "fp", "component_id")
+    return docs_fp.join(named, "fp").select(*docs_fp.columns, "component_id")
 
 
 # --- Near copies
@@ -347,184 +363,81 @@ def shingles(text: str | None) -> set[bytes]:
     return {b" ".join(split[i : i + k]) for i in range(len(split) - k + 1)} if split else set()
 
 
-def _hashes(text: str | None) -> np.ndarray:
+def sketch(text: str | None) -> tuple[bytes, list[int]]:
+    """A text's fingerprint by ``NEAR_COPIES``, a digest of all this as its last 16 bytes, and its bands; none for blank texts."""
     found = shingles(text)
-    return np.sort(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in found), dtype=np.uint64, count=len(found)))
-
-
-def _digest(hashes: np.ndarray) -> bytes:
-    return xxhash.xxh128_digest(hashes.tobytes(), SEED) if len(hashes) else bytes(16)
-
-
-def sketch(text: str | None) -> tuple[bytes, bytes]:
-    """A text's fingerprint by ``NEAR_COPIES``, its last 16 bytes being the digest, and its bands, eight bytes each; none for blank texts."""
-    hashes = _hashes(text)
-    if not len(hashes):
-        return bytes(8 * NEAR_COPIES.words), b""
+    if not found:
+        return bytes(8 * NEAR_COPIES.words), []
+    hashes = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in found), dtype=np.uint64, count=len(found))
     minima = np.full(BANDS * MINIMA, np.uint64(2**64 - 1))
-    for at in range(0, len(hashes), 4096):
-        minima = np.minimum(minima, (hashes[at : at + 4096] * MULTIPLIERS).min(axis=1))
-    bands = b"".join(xxhash.xxh64_digest(x.tobytes(), i) for i, x in enumerate(minima.reshape(BANDS, MINIMA)))
-    words = _majority(iter(hashes.tolist()), NEAR_COPIES.words - NEAR_COPIES.spare)
-    return b"".join(w.to_bytes(8, "big") for w in words) + _digest(hashes), bands
+    for at in range(0, len(hashes), SHINGLES_AT_ONCE):
+        minima = np.minimum(minima, (hashes[at : at + SHINGLES_AT_ONCE] * MULTIPLIERS).min(axis=1))
+    bands = [xxhash.xxh64_intdigest(x.tobytes(), i) - 2**63 for i, x in enumerate(minima.reshape(BANDS, MINIMA))]
+    words = _majority((hashes[at : at + SHINGLES_AT_ONCE] for at in range(0, len(hashes), SHINGLES_AT_ONCE)), NEAR_COPIES.words - NEAR_COPIES.spare)
+    said = b"".join(w.to_bytes(8, "big") for w in words)
+    return said + xxhash.xxh128_digest(said + np.array(bands, dtype=np.int64).tobytes(), SEED), bands
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-
-    def run(batches):
-        for batch in slices(batches):
-            out = [sketch(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["id", "fp", "bands"])
-
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp binary, bands binary")
-
-
-def _texts(docs: DataFrame, text_col: str) -> DataFrame:
-    """``(digest, text)``: one text for each set of shingles."""
+    """``(id, text_hash, fp, sketch, bands)``: ``fp`` is the digest in the sketch, so texts with equal ones have sketch and bands in common."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(_hashes(t)) for t in batch.column(0).to_pylist()], pa.binary()), batch.column(0)], ["digest", "text"])
-
-    rows = docs.select(F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "digest binary, text string").groupBy("digest").agg(F.first("text").alias("text"))
+            out = [sketch(t) for t in batch.column(2).to_pylist()]
+            columns = [pa.array([x[0][-16:] for x in out], pa.binary()), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "text_hash", "fp", "sketch", "bands"])
 
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text_hash long, fp binary, sketch binary, bands array<long>")
 
-def _banded(blocks: dict[int, int]):
-    """Rows ``(bucket, probe, fp, class)``; a full bucket is split into blocks, each met by the rows of later ones too."""
-
-    def run(batches):
-        for batch in slices(batches, 8192):
-            index, bucket, probe = [], [], []
-            salts = [int.from_bytes(x[-8:], "big") for x in batch.column(0).to_pylist()]
-            for i, bands in enumerate(batch.column(1).to_pylist()):
-                for b in np.frombuffer(bands, dtype=">i8").tolist():
-                    own = salts[i] % blocks.get(b, 1)
-                    for block in range(own + 1):
-                        index.append(i)
-                        bucket.append((b + block * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63)
-                        probe.append(block < own)
-            at = pa.array(index, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(probe, pa.bool_()), batch.column(0).take(at), batch.column(2).take(at)], ["bucket", "probe", "fp", "class"])
-
-    return run
 
+def copy_links(reps: DataFrame, plan: Plan = NEAR_COPIES, block: int = BLOCK) -> DataFrame:
+    """Edges ``(a, b)`` that connect all of ``reps`` that share a band and that ``plan`` links.
 
-def _across(plan: Plan, forest: bool):
-    """Pairs of each bucket that ``plan`` links and whose classes differ: all, or a spanning forest of the classes. Rows come as for ``_compare``."""
-
-    def run(batches):
-        now, at, classes = None, None, np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            bucket, probe = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            words, own_class = _words(batch.column(2), plan.words), batch.column(3).to_numpy()
-            lefts: list[bytes] = []
-            rights: list[bytes] = []
-            cut = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(probe.astype(np.int8)) != 0)) + 1
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)], strict=True):
-                if bucket[a] != at:
-                    now, at, classes = _Anchor(plan), bucket[a], np.zeros(0, dtype=np.int64)
-                own, n = words[a:b], len(now.words)
-                if not probe[a]:
-                    now.words, classes = np.concatenate((now.words, own)), np.concatenate((classes, own_class[a:b]))
-                for row, homes in now.near(own) if len(now.words) else ():
-                    mine = own_class[a + row] if probe[a] else classes[n + row]
-                    homes = homes[(classes[homes] != mine) & (probe[a] | (homes < n + row))]
-                    if forest and len(homes):
-                        merged, first = np.unique(classes[homes], return_index=True)
-                        homes = homes[first]
-                        classes[np.isin(classes, merged)] = mine
-                    if len(homes):
-                        left = own[row].astype(">u8").tobytes()
-                        right = [x.tobytes() for x in now.words[homes].astype(">u8")]
-                        lefts += [left] * len(right)
-                        rights += right
-                    if len(lefts) > 8192:
-                        yield pa.RecordBatch.from_arrays([pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())], ["a", "b"])
-                        lefts, rights = [], []
-            if lefts:
-                yield pa.RecordBatch.from_arrays([pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())], ["a", "b"])
-
-    return run
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(a, b, alike)`` of distinct pairs: whether the Jaccard similarity of their shingles is at least ``ALIKE``."""
-    pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).select(F.substring("a", -16, 16).alias("digest")).distinct()
-    known = checkpointed(texts.join(ends, "digest", "left_semi"))
-    for x in ("a", "b"):
-        # the hash makes Spark shuffle for each join alone, so that it can split the pairs of a hub
-        side = known.select(F.col("digest").alias("d"), F.xxhash64("digest", F.lit(x)).alias("h"), F.col("text").alias(f"text_{x}"))
-        pairs = pairs.withColumn("d", F.substring(x, -16, 16)).withColumn("h", F.xxhash64("d", F.lit(x))).join(side, ["d", "h"]).drop("d", "h")
-
-    def run(batches):
-        for batch in slices(batches):
-            alike, last, ours = [], None, set()
-            for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if t != last:
-                    last, ours = t, shingles(t)
-                other = shingles(s)
-                same = len(ours & other)
-                # in whole numbers: 0.8 itself counts
-                alike.append(5 * same >= 4 * (len(ours) + len(other) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.bool_())], ["a", "b", "alike"])
-
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, alike boolean")
-
-
-def copy_links(reps: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Edges ``(a, b)`` that connect all pairs that meet in a band, are near by SimHash and alike by their shingles.
-
-    ``reps`` has distinct ``fp`` and their ``bands``. A spanning forest of each bucket is confirmed, nearest pairs first.
-    Only where a pair of it is not alike can anything be missed; there all pairs between what is connected so far are
-    confirmed, which may be as many as the square of a bucket's distinct texts.
+    ``reps`` has distinct ``fp`` with ``sketch`` and ``bands``. Each bucket gives a spanning forest, not its pairs. Bands
+    that one row alone has are left out before sketches are shuffled. Full buckets are split into blocks, and each pair
+    of blocks is a bucket of its own.
     """
-    keys = reps.select(F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("i"), "bands").where("length(bands) > 0")
-    keys = keys.select(F.conv(F.hex(F.expr("substring(bands, 8 * i + 1, 8)")), 16, -10).cast("long").alias("at"))
-    blocks = {r["at"]: -(-r["n"] // block) for r in keys.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > block).collect()}
-
-    h = F.xxhash64("class").alias("h")
-    none = reps.sparkSession.createDataFrame([], "a binary, b binary")
-
-    def classed(sure: DataFrame) -> DataFrame:
-        found = connected_components(sure, "a", "b").withColumnRenamed("node", "fp")
-        return checkpointed(reps.select("fp", "bands").join(found, "fp", "left").select("fp", "bands", F.xxhash64(F.coalesce("component", "fp")).alias("class")))
-
-    def tried(rows: DataFrame, limit: int, forest: bool) -> DataFrame:
-        placed = rows.mapInArrow(_banded(blocks), "bucket long, probe boolean, fp binary, class long")
-        met = placed.repartition("bucket").sortWithinPartitions("bucket", "probe", "fp")
-        pairs = met.mapInArrow(_across(replace(NEAR_COPIES, key_limit=limit), forest), "a binary, b binary")
-        return checkpointed(_confirmed(pairs, texts))
-
-    sure, rows, found = none, reps.select("fp", "bands", F.xxhash64("fp").alias("class")), none
-    for limit in LIMITS:
-        found = tried(rows, limit, True)
-        sure = sure.unionByName(found.where("alike").select("a", "b"))
-        rows = classed(sure)
-    doubtful = found.where("not alike")
-    if doubtful.isEmpty():
-        return sure
-    ends = doubtful.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    touched = checkpointed(rows.join(ends, "fp").select("class").distinct())
-    again = rows.select("*", h).join(touched.select("*", h), ["class", "h"]).select("fp", "bands", "class")
-    return sure.unionByName(tried(again, LIMITS[-1], False).where("alike").select("a", "b"))
+    keys = reps.select(F.explode("bands").alias("band"), "fp")
+    sizes = keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    h = F.xxhash64("band").alias("h")
+    shared = keys.select("*", h).join(sizes.select("*", h), ["band", "h"]).select("band", "fp", F.ceil(F.col("n") / block).alias("blocks"))
+    placed = shared.select("band", "fp", "blocks", F.pmod(F.xxhash64("fp"), F.col("blocks")).alias("own")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("met"))
+    bucket = F.xxhash64("band", F.least("own", "met"), F.greatest("own", "met")).alias("bucket")
+    rows = placed.select(bucket, (F.col("met") < F.col("own")).alias("probe"), "fp").join(reps.select("fp", "sketch"), "fp").select("bucket", "probe", "sketch")
+    edges = rows.repartition("bucket").sortWithinPartitions("bucket", "probe", "sketch").mapInArrow(_compare(plan), "a binary, b binary")
+    return edges.select(*(F.substring(x, -16, 16).alias(x) for x in ("a", "b")))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ``near_duplicates``, for texts that are alike by their five-word shingles; all blank texts are one component."""
-    docs_fp = checkpointed(_sketches(docs, id_col, text_col))
-    reps = checkpointed(docs_fp.groupBy("fp", "bands").agg(F.min("id").alias("low")))
-    return _named(docs_fp, reps, copy_links(reps, _texts(docs, text_col)))
+    """``(id, text_hash, fp, component_id)`` for every row: as ``near_duplicates``, for texts whose five-word shingles are alike.
+
+    Texts link if they share a band of minima and their sketches differ by at most ``NEAR_COPIES.key_limit`` bits. All
+    blank texts, null ones too, are one component.
+    """
+    sketched = checkpointed(_sketches(docs, id_col, text_col))
+    reps = checkpointed(sketched.groupBy("fp").agg(F.min("id").alias("low"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    return _named(sketched.select("id", "text_hash", "fp"), reps, copy_links(reps))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that have the smallest id of their group of near copies, one for each group.
+    """The rows of ``docs`` that are first of their group of near copies, one for each group.
 
-    Of repeated rows with one id, one stays. Rows with a null id stay: nothing says which of them is first.
+    The smallest id is first; of several texts with that id, the one with the smallest hash; of repeated rows, any, as
+    they have the same id and text. Two texts that share an id but are no copies both stay. Rows with a null id stay:
+    nothing says which of them is first.
     """
-    found = near_copies(docs, id_col, text_col)
-    ids = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("__kept")).distinct()
-    kept = docs.where(F.col(id_col).isNotNull()).join(ids, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    found = checkpointed(near_copies(docs, id_col, text_col).where("id is not null").groupBy("component_id", "id", "text_hash").agg(F.count("*").alias("n")))
+    first = found.groupBy("component_id").agg(F.min(F.struct("id", "text_hash")).alias("first"))
+    h = F.xxhash64("component_id").alias("h")
+    ranked = found.select("*", h).join(first.select("*", h), ["component_id", "h"])
+    goes = (F.col("id") > F.col("first.id")) | (F.col("text_hash") != F.col("first.text_hash"))
+    # what is first but repeated goes too, and comes back once
+    gone = ranked.where(goes | (F.col("n") > 1)).select(F.col("id").alias("key"), "text_hash")
+    twice = checkpointed(ranked.where(~goes & (F.col("n") > 1)).select(F.col("id").alias("key"), "text_hash"))
+    # the rows go along as one column, so that their names clash with none here
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
+    kept = rows.join(gone, ["key", "text_hash"], "left_anti").select("row.*")
+    if twice.isEmpty():
+        return kept
+    return kept.unionByName(rows.join(twice, ["key", "text_hash"], "left_semi").dropDuplicates(["key", "text_hash"]).select("row.*"))

@@ -105,26 +105,65 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept == {*range(30), 46}
 
 
-def test_near_copies_by_passage_are_those_of_all_pairs(spark):
+def test_rows_that_share_an_id_stay_unless_they_are_copies(spark):
+    a, b = prose(1, 90), prose(2, 90)
+    rows = docs(spark, [a, a, b, "x " + b, None, None, a], [7, 7, 7, 3, None, None, None])
+    kept = sorted((str(r.doc_id), r.text or "") for r in simhash.keep_first(rows.withColumn("key", F.lit(1)).withColumn("text_hash", F.lit(2))).collect())
+    assert kept == sorted([("7", a), ("3", "x " + b), ("None", ""), ("None", ""), ("None", a)])
+    assert simhash.keep_first(docs(spark, [])).count() == 0
+
+
+def passages(r, n, similarity):
+    """Pairs of texts of 300 words at just over a similarity: a passage appended, one replaced, single words changed."""
+    for i in range(n):
+        w = prose(r.randrange(10**9), 300).split()
+        new = prose(r.randrange(10**9), 300).split()
+        k = int(300 * (1 - similarity) / (1 + similarity))
+        at = r.randrange(300 - k)
+        yield w, w + new[: int(296 * (1 / similarity - 1))]
+        yield w, [*w[:at], *new[: k - 5], *w[at + k - 5 :]]
+        changed = list(w)
+        for spot in range(2, 300, 300 // max(1, (k // 5))):
+            changed[spot] = "changed"
+        yield w, changed
+
+
+def test_near_copies_at_the_limit_are_found_wherever_the_edits_are():
     r = random.Random(3)
-    texts = []
-    for i in range(40):
-        w = prose(1000 + i, 200).split()
-        n = r.randint(15, 48)
-        extra = prose(2000 + i, n)
-        texts += [" ".join(w), " ".join(w) + " " + extra, " ".join([*w[:60], *extra.split()[: n // 2], *w[60 + n // 2 :]])]
+    for similarity, least in ((0.8, 0.9), (0.85, 0.98), (0.9, 1.0)):
+        found = total = 0
+        for a, b in passages(r, 100, similarity):
+            x, y = (simhash.sketch(" ".join(t)) for t in (a, b))
+            own, other = simhash.shingles(" ".join(a)), simhash.shingles(" ".join(b))
+            if len(own & other) >= similarity * len(own | other):
+                total += 1
+                near = (int.from_bytes(x[0][:128]) ^ int.from_bytes(y[0][:128])).bit_count() <= simhash.NEAR_COPIES.key_limit
+                found += near and any(p == q for p, q in zip(x[1], y[1], strict=True))
+        assert total > 200 and found >= least * total, (similarity, found, total)
+    apart = [(simhash.sketch(" ".join(a))[0], simhash.sketch(" ".join(b))[0]) for a, b in passages(r, 100, 0.6)]
+    assert sum((int.from_bytes(a[:128]) ^ int.from_bytes(b[:128])).bit_count() <= simhash.NEAR_COPIES.key_limit for a, b in apart) == 0
+
+
+@pytest.mark.parametrize("block", [4, 4096])
+def test_near_copies_are_those_of_all_pairs(spark, block):
+    r = random.Random(3)
+    texts = [" ".join(t) for pair in passages(r, 25, 0.85) for t in pair]
     group = prose(3000, 200).split()
     texts += [" ".join([*group[: 4 * i], prose(3100 + i, 12), *group[4 * i :]]) for i in range(40)]
-    sets = [simhash.shingles(t) for t in texts]
-    near = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    want = plain_components(near, range(len(texts)))
-    assert 50 < len(near) and len({*want.values()}) > 50
-    assert {x.id: x.component_id for x in simhash.near_copies(docs(spark, texts)).collect()} == want
-    reps = spark.createDataFrame([tuple(map(bytearray, simhash.sketch(t))) for t in dict.fromkeys(texts)], "fp binary, bands binary")
-    edges = simhash.copy_links(reps, simhash._texts(docs(spark, texts), "text"), block=4).collect()
-    prints = [simhash.sketch(t)[0] for t in texts]
-    assert {(min(x), max(x)) for x in edges} <= {(min(prints[a], prints[b]), max(prints[a], prints[b])) for a, b in near}
-    assert len({*plain_components([(bytes(e.a), bytes(e.b)) for e in edges], prints).values()}) == len({*want.values()})
+    made = [simhash.sketch(t) for t in texts]
+    near = lambda a, b: (int.from_bytes(made[a][0][:128]) ^ int.from_bytes(made[b][0][:128])).bit_count() <= simhash.NEAR_COPIES.key_limit
+    met = lambda a, b: any(p == q for p, q in zip(made[a][1], made[b][1], strict=True))
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if near(a, b) and met(a, b)]
+    want = plain_components(pairs, range(len(texts)))
+    assert len(pairs) > 300 and len({*want.values()}) > 20
+    if block == 4096:
+        assert {x.id: x.component_id for x in simhash.near_copies(docs(spark, texts)).collect()} == want
+    unique = {x[0]: x for x in made}
+    reps = spark.createDataFrame([(bytearray(x[0][-16:]), bytearray(x[0]), x[1]) for x in unique.values()], "fp binary, sketch binary, bands array<long>")
+    edges = [(bytes(e.a), bytes(e.b)) for e in simhash.copy_links(reps, block=block).collect()]
+    prints = [x[0][-16:] for x in made]
+    assert {(min(x), max(x)) for x in edges} <= {(min(prints[a], prints[b]), max(prints[a], prints[b])) for a, b in pairs}
+    assert len({*plain_components(edges, prints).values()}) == len({*want.values()})
 
 
 def test_components_of_a_long_chain_and_a_hub(spark):
