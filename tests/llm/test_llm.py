@@ -325,6 +325,37 @@ def test_shards_balance_with_a_hot_group(spark):
     assert sharding.assign(docs(spark, []), 16).count() == 0
 
 
+def test_packing_is_the_greedy_walk():
+    r = random.Random(12)
+    for shards in (1, 3, 16):
+        units = [[r.randint(1, 50), r.randint(1, 9), 1] for _ in range(60)] + [[400, 1, 1], [5, 90, 1]]
+        total = [sum(u[d] for u in units) for d in range(3)]
+        left = [[1.0] * 3 for _ in range(shards)]
+        share = [[u[d] / total[d] * shards for d in range(3)] for u in units]
+        want = [0] * len(units)
+        for i in sorted(range(len(units)), key=lambda i: (-sum(share[i]), i)):
+            fits = [s for s in range(shards) if all(left[s][d] >= share[i][d] - 1e-12 for d in range(3))]
+            at = max(fits, key=lambda s: (round(sum(left[s][d] * share[i][d] for d in range(3)), 12), -s)) if fits else max(range(shards), key=lambda s: (left[s][0], -s))
+            want[i] = at
+            left[at] = [left[at][d] - share[i][d] for d in range(3)]
+        assert sharding.pack(np.array(units, dtype=float), shards).tolist() == want
+
+
+def test_groups_of_equal_texts_stay_whole(spark):
+    r = random.Random(13)
+    texts = ["hot text"] * 2000 + [None] * 30 + [""] * 30
+    for i in range(1500):
+        texts += [prose(i, r.randint(20, 60))] * r.choice([1, 1, 1, 2, 3, 6, 20])
+    ids = [None if i % 500 == 7 else i for i in range(len(texts))]
+    rows = sharding.assign(docs(spark, texts, ids).withColumn("piece", F.lit(1)).withColumn("group", F.lit(2)), 16).collect()
+    shards = {}
+    for x in rows:
+        shards.setdefault(texts[x.id] or "" if x.id is not None else "hot text", set()).add(x.shard)
+    assert [t for t, s in shards.items() if len(s) > 1] == ["hot text"]
+    sizes = np.bincount([x.shard for x in rows], [x["size"] for x in rows], minlength=16)
+    assert sizes.max() <= 1.02 * sizes.mean() and sizes.min() >= 0.98 * sizes.mean()
+
+
 # --- Decontamination
 
 
