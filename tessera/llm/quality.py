@@ -2,8 +2,8 @@
 
 Overlapping heuristics vote ``bad``, ``good`` or nothing on each document.
 Expectation-maximisation over the counts of all vote patterns estimates how
-often each heuristic is right, and with that each pattern's probability of
-being bad. These posteriors train a linear scorer over hashed features, which
+often each heuristic accuses good and bad documents, and with that each
+pattern's probability of being bad. These posteriors train a linear scorer over hashed features, which
 then judges every document.
 """
 
@@ -28,15 +28,17 @@ DIMENSIONS = 1 << 14
 TRAINING_ROWS = 4000
 EPOCHS, RATE, DECAY = 300, 0.5, 1e-5
 THRESHOLD = 0.5
-#: Prior share of good documents that a heuristic votes against.
-FALSE_ALARMS = 0.002
-#: How many times the documents' weight that prior has.
-PRIOR_WEIGHT = 20
+#: Pseudo-documents that stand for what is known before any is read, as (not accused, accused): of good and of bad ones
+#: for each heuristic, and (good, bad) for the share. They count as this many documents, however many there are.
+GOOD_BEFORE, BAD_BEFORE, SHARE_BEFORE = (9.9, 0.1), (1.0, 1.0), (9.0, 1.0)
 CACHED_WORDS = 1 << 18
 
 CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 SMALL = bytes(range(ord("a"), ord("z") + 1))
 SYMBOLS = b"#$%&*+<=>@\\^_`{|}~!"
+#: Letters of any script, as bytes: those of ASCII and all that is not ASCII.
+LETTERS = CAPITALS + SMALL + bytes(range(128, 256))
+SPACES = b" \t\n\r\x0b\x0c"
 
 
 def measures(text: str) -> dict[str, float]:
@@ -47,6 +49,14 @@ def measures(text: str) -> dict[str, float]:
     words = text.split()
     lines = [x for x in text.split("\n") if x]
     count = max(1, len(words))
+    # of words that do not begin with a letter that has no case, as in many scripts
+    small_starts = uncased = 0
+    for w in words:
+        c = w[0]
+        if c.islower():
+            small_starts += 1
+        elif c > "\x7f" and c.isalpha() and not c.isupper():
+            uncased += 1
     return {
         "words": len(words),
         "capitals": capitals / max(1, capitals + small),
@@ -56,6 +66,8 @@ def measures(text: str) -> dict[str, float]:
         "echo": sum(map(operator.eq, words, words[1:])) / count,
         "lines": 1 - len(set(lines)) / max(1, len(lines)),
         "letters": sum(map(len, words)) / count,
+        "alphabet": (n - len(data.translate(None, LETTERS))) / max(1, len(data.translate(None, SPACES))),
+        "starts": small_starts / max(1, len(words) - uncased) if len(words) > uncased else 1.0,
     }
 
 
@@ -63,7 +75,12 @@ def _above(name: str, bad: float, good: float):
     return lambda m: BAD if m[name] > bad else GOOD if m[name] < good else NOTHING
 
 
-#: Fixed thresholds; a document of fewer than 20 words says nothing about repetition.
+def _below(name: str, bad: float, good: float):
+    return lambda m: NOTHING if m["words"] < 20 else BAD if m[name] < bad else GOOD if m[name] > good else NOTHING
+
+
+#: Fixed thresholds; a document of fewer than 20 words says nothing about repetition or shares. The last two look at what several
+#: kinds of defects have in common, so that each kind is seen by more than one labeller.
 LABELLERS = {
     "shouting": lambda m: NOTHING if m["words"] < 5 else _above("capitals", 0.3, 0.15)(m),
     "symbols": _above("symbols", 0.5, 0.1),
@@ -72,6 +89,8 @@ LABELLERS = {
     "echo": lambda m: NOTHING if m["words"] < 20 else BAD if m["echo"] > 0.2 else GOOD if m["echo"] < 0.05 else NOTHING,
     "lines": lambda m: NOTHING if m["words"] < 20 else BAD if m["lines"] > 0.5 else GOOD if m["lines"] < 0.2 else NOTHING,
     "long words": lambda m: NOTHING if m["words"] < 5 else BAD if m["letters"] > 25 else GOOD if 2 < m["letters"] < 12 else NOTHING,
+    "alphabet": _below("alphabet", 0.8, 0.9),
+    "starts": _below("starts", 0.55, 0.65),
 }
 
 
@@ -80,32 +99,40 @@ def votes(m: dict[str, float]) -> int:
     return sum(vote(m) * 3**i for i, vote in enumerate(LABELLERS.values()))
 
 
-def expectation_maximisation(patterns: dict[int, int], rounds: int = 100) -> tuple[dict[int, float], np.ndarray]:
-    """Each pattern's probability of being bad, and each labeller's chance of each vote for good and for bad documents.
+def expectation_maximisation(patterns: dict[int, int], rounds: int = 500, labellers: int = len(LABELLERS)) -> tuple[dict[int, float], np.ndarray]:
+    """Each pattern's probability of being bad, and each labeller's chance of accusing a good and a bad document.
 
-    Labellers are independent given the class; one that says nothing, because a document is too short for it, tells
-    nothing. Each looks for another defect, so what one calls good may be bad: the estimate starts where one vote for
-    ``bad`` outweighs the others, and a prior heavier than the data holds that heuristics rarely accuse good documents.
-    No patterns: no probabilities.
+    Labellers are independent given the class. Each looks for a defect of its own, so that few bad documents are accused
+    by many; bad is what has a defect that some labeller sees, so a document that none accuses is good, and the bad
+    class's chances are those given at least one accusation. Accusations that meet less often than false alarms would
+    by chance then speak for a labeller, and those that fall on accused and other documents alike speak against it. A
+    kind of defect much rarer than others is known if two labellers or more see it. A
+    labeller that says nothing, because a document is too short for it, tells nothing. No patterns: no probabilities.
     """
-    k = len(LABELLERS)
     codes = np.array(sorted(patterns), dtype=np.int64)
     n = np.array([patterns[c] for c in codes.tolist()], dtype=float)
-    vote = codes[:, None] // 3 ** np.arange(k) % 3
-    bad = np.where((vote == BAD).any(axis=1), 0.9, 0.02)
-    chance = np.ones((2, k, 3))
+    vote = codes[:, None] // 3 ** np.arange(labellers) % 3
+    said, accused = vote != NOTHING, vote == BAD
+    seen = accused.any(axis=1)
+    bad = np.where(seen, 0.9, 0.0)
+    chance = np.full((2, labellers), 0.5)
     for _ in range(rounds if len(codes) else 0):
         before = bad
-        share = (n @ bad + 1) / (n.sum() + 2)
-        for y, weight in ((0, n * (1 - bad)), (1, n * bad)):
-            for j in range(k):
-                seen = np.bincount(vote[:, j], weight, minlength=3)[[GOOD, BAD]] + 0.5
-                if not y:
-                    seen += PRIOR_WEIGHT * n.sum() * np.array([1 - FALSE_ALARMS, FALSE_ALARMS])
-                chance[y, j, [GOOD, BAD]] = seen / seen.sum()
-        odds = math.log(share / (1 - share)) + (np.log(chance[1, np.arange(k), vote]) - np.log(chance[0, np.arange(k), vote])).sum(axis=1)
-        bad = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        if np.abs(bad - before).max() < 1e-6:
+        share = (n @ bad + SHARE_BEFORE[1]) / (n.sum() + sum(SHARE_BEFORE))
+        good_n, bad_n = n * (1 - bad), n * bad
+        # from documents that none or only one accuses, so that what two labellers accuse together is never a false alarm of each
+        few = good_n * (accused.sum(axis=1) <= 1)
+        chance[0] = (few @ accused + GOOD_BEFORE[1]) / (few @ said + sum(GOOD_BEFORE))
+        # documents of the bad class that none would accuse count too: so many for each that is seen
+        missed = np.clip(np.where(said, 1 - chance[1], 1.0).prod(axis=1), 0.0, 0.999)
+        chance[1] = (bad_n @ accused + BAD_BEFORE[1]) / ((bad_n / (1 - missed)) @ said + sum(BAD_BEFORE))
+        chance = np.clip(chance, 1e-9, 1 - 1e-9)
+        # of those that are accused
+        missed = np.clip(np.where(said, 1 - chance[1], 1.0).prod(axis=1), 0.0, 1 - 1e-9)
+        logs = [np.where(accused, np.log(c), np.where(said, np.log1p(-c), 0.0)).sum(axis=1) for c in chance]
+        odds = math.log(share / (1 - share)) + logs[1] - np.log1p(-missed) - logs[0]
+        bad = np.where(seen, 1 / (1 + np.exp(-np.clip(odds, -30, 30))), 0.0)
+        if np.abs(bad - before).max() < 1e-7:
             break
     return dict(zip(codes.tolist(), bad.tolist(), strict=True)), chance
 
@@ -115,7 +142,7 @@ def _slot(feature: str) -> int:
 
 
 def _shape(word: str) -> str:
-    """A word's last two characters, its case and its length, each letter as its class."""
+    """A word's first and last three characters, each letter as its class, and its length in steps of three."""
     kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in (word[:1] + word[-3:]))
     return f"{kinds} {min(len(word), 30) // 3}"
 

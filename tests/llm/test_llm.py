@@ -442,12 +442,45 @@ def test_quality(spark):
     good = [prose(i, 80) for i in range(80)]
     bad = [" ".join(f"{w}###" for w in prose(i, 80).split()) for i in range(8)] + ["word " * 60] * 5 + [prose(i, 60).upper() for i in range(6)]
     rows = {r.id: r for r in quality.classify(docs(spark, [*good, *bad, *ODD[:4]])).collect()}
+    twice = quality.classify(docs(spark, [good[0], good[0], bad[0]], [4, 4, None]).withColumn("score", F.lit(1)).withColumn("keep", F.lit(2)))
+    assert sorted((str(r.id), r.text) for r in twice.collect()) == sorted([("4", good[0]), ("4", good[0]), ("None", bad[0])])
     assert all(rows[i].keep for i in range(80)) and not any(rows[i].keep for i in range(80, 99)) and all(rows[i].keep for i in range(99, 103))
     assert quality.classify(docs(spark, [])).count() == 0
     posterior, chance = quality.expectation_maximisation({})
     assert posterior == {}
 
 
+def planted(kinds, false_alarms, n, seed, labellers=5):
+    """Counts of vote patterns: ``kinds`` are (share, chance of each labeller to accuse), all others are good."""
+    r = np.random.default_rng(seed)
+    share = [s for s, _ in kinds]
+    kind = r.choice(len(kinds) + 1, n, p=[*share, 1 - sum(share)])
+    chance = np.array([*(c for _, c in kinds), false_alarms])[kind]
+    accused = r.random((n, labellers)) < chance
+    codes = (np.where(accused, quality.BAD, quality.GOOD) * 3 ** np.arange(labellers)).sum(axis=1)
+    return codes, kind
+
+
+def test_accuracies_are_those_of_planted_labellers():
+    good, bad = [0.001, 0.01, 0.05, 0.002, 0.2], [0.9, 0.6, 0.8, 0.4, 0.2]
+    codes, _ = planted([(0.1, bad)], good, 200_000, 1)
+    posterior, chance = quality.expectation_maximisation(dict(zip(*(x.tolist() for x in np.unique(codes, return_counts=True)), strict=True)), labellers=5)
+    assert np.abs(chance[0] - good).max() < 0.02 and np.abs(chance[1] - bad).max() < 0.06
+    # the last one accuses both alike: its word alone says nothing, that of the first does
+    alone = lambda i: sum((quality.BAD if j == i else quality.GOOD) * 3**j for j in range(5))
+    assert posterior[alone(4)] < 0.1 and posterior[alone(0)] > 0.5 > posterior[sum(3**j for j in range(5))] == 0.0
+
+
+@pytest.mark.parametrize("kinds", [[(0.03, [0.99, 0, 0, 0, 0]), (0.03, [0, 0.99, 0, 0, 0]), (0.03, [0, 0, 0.99, 0, 0])], [(0.06, [0.9, 0.9, 0.1, 0, 0]), (0.001, [0, 0, 0, 0.95, 0.95])]])
+def test_kinds_that_do_not_overlap_and_rare_kinds_are_bad_and_clean_ones_good(kinds):
+    codes, kind = planted(kinds, [1e-4] * 5, 100_000, 2)
+    posterior, _ = quality.expectation_maximisation(dict(zip(*(x.tolist() for x in np.unique(codes, return_counts=True)), strict=True)), labellers=5)
+    bad = np.array([posterior[c] for c in codes.tolist()]) >= 0.5
+    for k in range(len(kinds)):
+        assert bad[kind == k].mean() > 0.9
+    assert bad[kind == len(kinds)].mean() < 0.001
+
+
 # --- Pipeline
 
 
