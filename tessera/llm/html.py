@@ -3,16 +3,19 @@
 A page is read into blocks of text, each with its root-to-leaf path of block
 tags. For each path the text length and the punctuation of its blocks are
 summed and divided by the number of blocks; both ratios are smoothed over the
-page, blocks of other paths counting less the more the paths differ, and fused
-into one value. Blocks whose fused value reaches a threshold are content; so
-are the other blocks of the same container and paths. Tags and class names that
-mark menus, notices, adverts and the like exclude their whole subtree.
+page, neighbours on other paths counting half, and fused into one value. Paths
+whose fused value reaches a threshold are content. The element that holds most
+of their weight is the page's main part, whatever it is called; in it, what is
+beside content goes with it, and divisions without any content path go. Tags
+and class names that mark menus, notices, adverts and the like exclude their
+whole subtree from the start.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.runtime import slices
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 PUNCTUATION = ".,;:!?…。，、；：！？¿¡"
 
@@ -43,8 +46,19 @@ EXCLUDING = frozenset(
     "side aside footer header masthead toolbar comment comments commentlist disqus replies reply respond discussion related recommended "
     "recommendations share sharing social tags tagcloud pagination pager widget widgets copyright legal disclaimer search form hidden toc contentinfo complementary".split()
 )
-#: Elements that may hold an article; the innermost of the first kind that holds enough of the page's content is taken as its container.
+#: Elements that say that they hold the main part; what they hold weighs more when it is chosen.
 CONTAINERS = ("article", "main")
+CONTAINED_WEIGHT = 3.0
+#: Elements that can be the main part, and that go if they hold no content path.
+DIVISIONS = frozenset("html body article main section div center td details fieldset figure hgroup".split())
+#: Content has at least the standard deviation of the fused ratios, and at least this share of what a character has on average.
+CONTENT_SHARE = 0.5
+#: Share of the content's weight that the main part has to hold.
+MAIN_SHARE = 0.7
+#: A block with this share of linked text is a link, and content only if its path is.
+LINK_SHARE = 0.8
+#: What a neighbour on another path counts when ratios are smoothed.
+OTHER_PATH = 0.5
 #: Within a container, a header is part of the article.
 IN_CONTAINER = frozenset(("header",))
 #: What the start of an element closes if open: end tags that may be left out.
@@ -57,16 +71,97 @@ WINDOW = np.exp(-0.5 * np.arange(-2, 3) ** 2)
 
 @dataclass
 class Block:
-    """One run of text: its path of block tags, the container it is in, if any, and whether an ancestor is excluded."""
+    """One run of text: its innermost block element, the number of its path, and whether an ancestor is excluded."""
 
-    path: tuple[str, ...]
-    container: int
+    node: int
+    path: int
+    contained: bool
     excluded: bool
     linked: int = 0
     parts: list[str] = field(default_factory=list)
     text: str = ""
 
 
+@dataclass
+class Tree:
+    """Block elements in page order: their tags and parents. The first stands for the page."""
+
+    tags: list[str] = field(default_factory=lambda: [""])
+    parents: list[int] = field(default_factory=lambda: [-1])
+
+    def add(self, tag: str, parent: int) -> int:
+        self.tags.append(tag)
+        self.parents.append(parent)
+        return len(self.tags) - 1
+
+
+@dataclass(slots=True)
+class _Open:
+    """An open element: where it is in the stack, and how many block elements are around it or are itself."""
+
+    tag: str
+    node: int
+    path: int
+    contained: bool
+    excluded: bool
+    at: int = 0
+    depth: int = 0
+
+
+class _Stack:
+    """Open elements. What an end tag means is looked up by tag, so that its cost does not depend on the depth."""
+
+    def __init__(self):
+        self.items = [_Open("", 0, 0, False, False)]
+        self.blocks: list[_Open] = []
+        self.open: dict[str, list[_Open]] = defaultdict(list)
+
+    def push(self, x: _Open) -> None:
+        if x.tag not in INLINE:
+            self.blocks.append(x)
+        x.at, x.depth = len(self.items), len(self.blocks)
+        self.items.append(x)
+        self.open[x.tag].append(x)
+
+    def cut(self, at: int) -> list[_Open]:
+        gone = self.items[at:]
+        del self.items[at:]
+        for x in reversed(gone):
+            # an element that was closed across a block has lost its tag
+            if x.tag:
+                self.open[x.tag].pop()
+                if x.tag not in INLINE:
+                    self.blocks.pop()
+        return gone
+
+    def close(self, tag: str) -> None:
+        """An end tag: the innermost such element and all inside it; an inline one that was closed across a block goes alone."""
+        if not self.open[tag]:
+            return
+        x = self.open[tag][-1]
+        if tag in INLINE and len(self.blocks) > x.depth:
+            self.open[tag].pop()
+            x.tag = ""
+        else:
+            self.cut(x.at)
+
+    def close_implied(self, tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
+        """Take the innermost of some open elements, and all inside it, away, unless a scope's element is nearer."""
+        if not any(self.open[t] for t in tags):
+            return
+        for here in reversed(self.blocks):
+            if here.tag in tags:
+                inside = self.cut(here.at)[1:]
+                # formatting that was open goes on after it, of one kind up to three times
+                top = self.items[-1]
+                for x in inside:
+                    if x.tag in INLINE and len(self.open[x.tag]) < 3:
+                        self.push(_Open(x.tag, top.node, top.path, top.contained, x.excluded))
+                return
+            if here.tag in scope:
+                return
+
+
 def _excluded(tag: str, attributes: str, contained: bool) -> bool:
     if tag in EXCLUDED and not (contained and tag in IN_CONTAINER):
         return True
@@ -81,24 +176,25 @@ def _excluded(tag: str, attributes: str, contained: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks that hold text, in page order."""
-    stack: list[tuple[str, bool, int]] = []  # tag, excluded, container
+def blocks(page: str) -> tuple[list[Block], Tree]:
+    """The page's blocks that hold text, in page order, and its elements. Time is in proportion to the page, however deep it is."""
+    stack, tree = _Stack(), Tree()
+    paths: dict[tuple[int, str], int] = {}
     found: list[Block] = []
     now: Block | None = None
-    opened, links, at = 0, 0, 0
+    links, at = 0, 0
 
     def say(raw: str) -> None:
         nonlocal now
         if not raw:
             return
-        top = stack[-1] if stack else ("", False, 0)
+        top = stack.items[-1]
         if now is None:
-            now = Block(tuple(t for t, _, _ in stack if t not in INLINE), top[2], top[1])
+            now = Block(top.node, top.path, top.contained, top.excluded)
             found.append(now)
-        elif top[1] != now.excluded:
+        elif top.excluded != now.excluded:
             # an excluded element inside a line: its text is no part of the block
-            if top[1]:
+            if top.excluded:
                 return
             now.excluded = False
         said = entities.unescape(raw)
@@ -122,13 +218,7 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if any(t not in INLINE for t, _, _ in stack[i:]) and tag in INLINE:
-                        del stack[i]  # it was closed across a block: the block stays open
-                    else:
-                        del stack[i:]
-                    break
+            stack.close(tag)
             if tag not in INLINE:
                 now = None
             continue
@@ -140,101 +230,96 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             now = None
-            for other in ("p",) if tag in CLOSES_P else ():
-                _close(stack, (other,), ("button", "table", "td", "article", "section", "div", "li"))
+            if tag in CLOSES_P:
+                stack.close_implied(("p",), ("button", "table", "td", "article", "section", "div", "li"))
             if tag in CLOSES:
-                _close(stack, CLOSES[tag], SCOPES[tag])
+                stack.close_implied(CLOSES[tag], SCOPES[tag])
         elif tag == "br":
             say(" ")
         if tag in VOID:
             continue
         if tag == "a":
             links += 1
-        outer = stack[-1] if stack else ("", False, 0)
-        inside = outer[2]
-        excluded = outer[1] or _excluded(tag, m[3] or "", bool(inside))
-        if tag in CONTAINERS:
-            opened += 1
-            inside = opened * 2 + (tag == CONTAINERS[0])
-        if not (m[3] or "").endswith("/") or tag not in INLINE:
-            stack.append((tag, excluded, inside))
+        outer = stack.items[-1]
+        excluded = outer.excluded or _excluded(tag, m[3] or "", outer.contained)
+        if tag in INLINE:
+            if not (m[3] or "").endswith("/"):
+                stack.push(_Open(tag, outer.node, outer.path, outer.contained, excluded))
+        else:
+            path = paths.setdefault((outer.path, tag), len(paths) + 1)
+            stack.push(_Open(tag, tree.add(tag, outer.node), path, outer.contained or tag in CONTAINERS, excluded))
     for b in found:
         b.text = " ".join("".join(b.parts).split())
-    return [b for b in found if b.text]
-
-
-def _close(stack: list, tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
-    """Take the innermost of some open elements, and all inside it, from the stack, unless a scope's element is nearer."""
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] in tags:
-            # formatting that was open goes on after it, of one kind up to three times
-            kept: list = []
-            for x in stack[i + 1 :]:
-                if x[0] in INLINE and [y[0] for y in [*stack[:i], *kept]].count(x[0]) < 3:
-                    kept.append(x)
-            stack[i:] = kept
-            return
-        if stack[i][0] in scope:
-            return
+    return [b for b in found if b.text], tree
 
 
 def fused_ratios(found: list[Block]) -> np.ndarray:
-    """For each block, its path's text and punctuation ratios, smoothed and multiplied."""
-    paths = {p: i for i, p in enumerate(dict.fromkeys(b.path for b in found))}
-    of = np.array([paths[b.path] for b in found])
+    """For each block, its path's text and punctuation ratios, smoothed and multiplied. Linked text has no length."""
+    numbers: dict[int, int] = {}
+    of = np.array([numbers.setdefault(b.path, len(numbers)) for b in found])
     n = np.bincount(of)
     own = np.array([len(b.text) - min(b.linked, len(b.text)) for b in found], dtype=float)
     text = np.bincount(of, own) / n
-    marks = np.bincount(of, [sum(map(b.text.count, PUNCTUATION)) if not b.excluded else 0 for b in found]) / n
-    near = np.array([[_alike(p, q) for q in paths] for p in paths])
+    marks = np.bincount(of, [sum(map(b.text.count, PUNCTUATION)) for b in found]) / n
     total, spoken, marked = (np.zeros(len(found)) for _ in range(3))
     for shift in range(-2, 3):
         i = np.arange(max(0, -shift), len(found) - max(0, shift))
-        weight = WINDOW[shift + 2] * near[of[i], of[i + shift]]
+        weight = WINDOW[shift + 2] * np.where(of[i] == of[i + shift], 1.0, OTHER_PATH)
         total[i] += weight
         spoken[i] += weight * text[of[i + shift]]
         marked[i] += weight * marks[of[i + shift]]
     return np.sqrt(spoken * (total + marked)) / total
 
 
-def _alike(p: tuple[str, ...], q: tuple[str, ...]) -> float:
-    """Share of the longer path that two paths have in common from the root."""
-    if p == q:
-        return 1.0
-    n = 0
-    for a, b in zip(p, q, strict=False):
-        if a != b:
-            break
-        n += 1
-    return n / max(len(p), len(q))
-
-
-def content(found: list[Block]) -> list[bool]:
+def content(found: list[Block], tree: Tree) -> list[bool]:
     """Which blocks are content."""
-    free = [not b.excluded for b in found]
-    if not any(free):
-        return free
+    free = np.array([not b.excluded for b in found], dtype=bool)
+    if not free.any():
+        return free.tolist()
     ratio = fused_ratios(found)
-    limit = min(ratio.std(), ratio[free].max())
-    picked = [ok and r >= limit for ok, r in zip(free, ratio, strict=True)]
-    weight: dict[int, float] = {}
-    for b, ok, r in zip(found, free, ratio, strict=True):
-        if ok:
-            weight[b.container] = weight.get(b.container, 0) + r * len(b.text)
-    articles = [c for c in weight if c % 2]
-    best = max(articles or [c for c in weight if c] or weight, key=lambda c: weight[c])
-    if best:
-        return [ok and b.container == best for b, ok in zip(found, free, strict=True)]
-    # no container is marked: the paths of the picked blocks, between the first and the last of them
-    paths = {b.path for b, p in zip(found, picked, strict=True) if p}
-    spots = [i for i, p in enumerate(picked) if p]
-    return [ok and (b.path in paths or spots[0] < i < spots[-1]) and not (b.linked >= 0.8 * len(b.text) and b.path not in paths) for i, (b, ok) in enumerate(zip(found, free, strict=True))]
+    node = np.array([b.node for b in found])
+    length = np.array([len(b.text) for b in found])
+    usual = np.average(ratio[free], weights=length[free])
+    limit = min(max(ratio.std(), CONTENT_SHARE * usual), ratio[free].max())
+    picked = free & (ratio >= limit)
+    # weight and number of content blocks in each element; parents come before their children
+    weight, picks = np.zeros(len(tree.tags)), np.zeros(len(tree.tags), dtype=np.int64)
+    np.add.at(weight, node, np.where(picked, ratio * length * np.where([b.contained for b in found], CONTAINED_WEIGHT, 1.0), 0.0))
+    np.add.at(picks, node, picked)
+    for x in range(len(tree.tags) - 1, 0, -1):
+        weight[tree.parents[x]] += weight[x]
+        picks[tree.parents[x]] += picks[x]
+    # the innermost division that holds most of the weight: those that do are one inside the other
+    main = max((x for x, tag in enumerate(tree.tags) if weight[x] >= MAIN_SHARE * weight[0] and (tag in DIVISIONS or not x)), default=0)
+    # an element is kept if it is in the main part and no division between the two is without content
+    kept = [False] * len(tree.tags)
+    kept[main] = True
+    for x in range(main + 1, len(tree.tags)):
+        kept[x] = kept[tree.parents[x]] and (tree.tags[x] not in DIVISIONS or picks[x] > 0)
+    out = [bool(ok and kept[b.node] and (p or b.linked < LINK_SHARE * len(b.text))) for b, ok, p in zip(found, free, picked, strict=True)]
+    return _with_heading(found, tree, main, out)
+
+
+def _with_heading(found: list[Block], tree: Tree, main: int, out: list[bool]) -> list[bool]:
+    """The heading just before a main part without one belongs to it."""
+    first = out.index(True) if True in out else 0
+    if first and not any(tree.tags[b.node] in ("h1", "h2") for b, ok in zip(found, out, strict=True) if ok):
+        above, x = set(), main
+        while x >= 0:
+            above.add(x)
+            x = tree.parents[x]
+        for i in range(first - 1, -1, -1):
+            b = found[i]
+            if not b.excluded and tree.tags[b.node] in ("h1", "h2") and tree.parents[b.node] in above:
+                out[i] = True
+                break
+    return out
 
 
 def main_text(page: str | None) -> str:
     """The content blocks of a page joined by line feeds; empty if there are none."""
-    found = blocks(page or "")
-    return "\n".join(b.text for b, ok in zip(found, content(found), strict=True) if ok)
+    found, tree = blocks(page or "")
+    return "\n".join(b.text for b, ok in zip(found, content(found, tree), strict=True) if ok)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -432,9 +433,64 @@ def test_html(spark):
     <p>One<b> two</b>,\n three.<p>Four&nbsp;<script>if (a < b) "</p>"</script>five<div class="comments"><p>Nice, post!</p></div></article><footer>(c)</footer></body></html>"""
     pages = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "v", ""), (4, "w", "just text"), (5, "x", "<article>" * 2000 + "deep"), (6, "y", "<p>cut <b")], "page_id long, url string, html string")
     rows = {r.id: r.text for r in html.extract(pages).collect()}
+    odd = html.extract(pages.unionByName(pages).withColumn("id", F.lit(1)).withColumn("text", F.lit("x")).withColumn("page_id", F.nullif("page_id", F.lit(1))))
+    assert sorted(((r.id or 0), r.text) for r in odd.collect()) == sorted((0 if i == 1 else i, t) for i, t in rows.items() for _ in range(2))
+    assert html.extract(pages.limit(0)).count() == 0
     assert rows == {1: "A & B\nOne two, three.\nFour five", 2: "", 3: "", 4: "just text", 5: "deep", 6: "cut"}
 
 
+def page_like(r, marked=True):
+    """A page and its article's text; without names if not ``marked``."""
+    menu = "".join(f"<li><a href=/{i}>{prose(r.randrange(10**6), 1)}</a></li>" for i in range(8))
+    body = [prose(r.randrange(10**6), r.randint(25, 90)).replace(" ", ", ", 3) + "." for _ in range(r.randint(3, 8))]
+    article = "<h1>A title</h1>" + "".join(f"<p>{x}</p>" for x in body)
+    comments = "".join(f"<div><p>{prose(r.randrange(10**6), 2)}</p></div>" for _ in range(3))
+    if marked:
+        page = f"<body><nav><ul>{menu}</ul></nav><div class=ad>Buy now.</div><article>{article}</article><footer>(c) x</footer>"
+    else:
+        page = f"<body><div><ul>{menu}</ul></div><div>Buy now.</div><div>{article}<div>{comments}</div></div><div>(c) x</div>"
+    return page, "\n".join(["A title", *body])
+
+
+@pytest.mark.parametrize("marked", [True, False])
+def test_paths_decide_with_and_without_names(marked):
+    r = random.Random(21)
+    for _ in range(40):
+        page, want = page_like(r, marked)
+        assert html.main_text(page) == want
+
+
+def test_main_parts_of_other_shapes():
+    body = [prose(i, 60) + "." for i in range(6)]
+    p = ["<p>" + x + "</p>" for x in body]
+    cards = "<div class=cards><article>teaser</article></div>"
+    assert html.main_text("<main>" + "".join(p) + cards + "</main>") == "\n".join(body)
+    assert html.main_text("<body><article>" + "".join(p[:3]) + "</article><article>" + "".join(p[3:]) + "</article><div>x</div>") == "\n".join(body)
+    assert html.main_text("<div><h1>T</h1><div>" + "".join(p) + "<ul><li>one<li>two</ul></div></div><div>x</div>") == "\n".join(["T", *body, "one", "two"])
+
+
+def test_ratios_are_those_of_all_pairs():
+    r = random.Random(22)
+    for _ in range(20):
+        found, _ = html.blocks(page_like(r, r.random() < 0.5)[0])
+        text = lambda b: len(b.text) - min(b.linked, len(b.text))
+        marks = lambda b: sum(c in html.PUNCTUATION for c in b.text)
+        mean = lambda f, b: sum(f(c) for c in found if c.path == b.path) / sum(c.path == b.path for c in found)
+        want = []
+        for i, b in enumerate(found):
+            near = [(np.exp(-0.5 * (i - j) ** 2) * (1 if b.path == c.path else html.OTHER_PATH), c) for j, c in enumerate(found) if abs(i - j) <= 2]
+            total = sum(w for w, _ in near)
+            want.append((sum(w * mean(text, c) for w, c in near) / total * (1 + sum(w * mean(marks, c) for w, c in near) / total)) ** 0.5)
+        assert np.allclose(html.fused_ratios(found), want)
+
+
+def test_pages_cost_no_more_for_being_deep():
+    for page in ("<div>x " * 20_000, "<b><div>" * 20_000 + "</b>" * 20_000, "<p>x</i>" * 20_000, "<ul><li>x" * 20_000, "<p '" * 20_000, "<p><td>" + "<i>" * 20_000 + "<div></div>" * 20_000):
+        began = time.time()
+        html.main_text(page)
+        assert time.time() - began < 20
+
+
 # --- Quality
 
 
