@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +27,9 @@ IDENTIFIER = re.compile(r"""(?ai:access_key_id|client_id|account_id|user_?name|u
 UNLABELLED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{32,}={0,2}|[A-Za-z0-9]{20,})(?![A-Za-z0-9+/=_-])")
 #: A value under a name that has a keyword anywhere, as in SECRET_ACCESS_KEY=. Names are taken whole.
 NAMED = re.compile(r"""(?a:(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]{8,}))""")
-ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+""")
+#: An endpoint is a scheme, ``://`` and what follows up to white space, quotes or angle brackets.
+IN_SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
+AFTER_SCHEME = re.compile(r"""[^\s"'<>]+""")
 #: Kinds in the order in which spans that begin together are listed; the first three are strong.
 KINDS = ("assign", "access", "hex", "linked_id", "linked_secret", "linked_endpoint")
 ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -48,6 +51,24 @@ def strong(text: str) -> list[Span]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
+def endpoints(text: str) -> list[Span]:
+    """Endpoints, leftmost and non-overlapping, looked for from each ``://``, so that long runs of letters are walked once."""
+    found: list[Span] = []
+    at = end = 0
+    while (i := text.find("://", at)) >= 0:
+        start = i
+        while start > end and text[start - 1] in IN_SCHEME:
+            start -= 1
+        while start < i and not text[start].isalpha():
+            start += 1
+        rest = AFTER_SCHEME.match(text, i + 3) if start < i else None
+        if rest:
+            found.append(("linked_endpoint", start, rest.end()))
+        at = rest.end() if rest else i + 3
+        end = at if rest else end
+    return found
+
+
 def _linked(parts: list[Span], others: list[Span], text: str) -> set[Span]:
     """All parts and all others that are in reach and scope of each other without overlapping.
 
@@ -89,10 +110,12 @@ def scan(text: str | None) -> list[Span]:
         # a value belongs to its name's span
         inside = lambda m: (i := bisect_right(starts, m.start())) and m.end() <= named[i - 1][2]
         weak = [*named, *(("linked_secret", m.start(), m.end()) for m in UNLABELLED.finditer(text) if _mixed(m[0]) and not inside(m))]
-        weak = [w for w in weak if not any(a < w[2] and w[1] < b for a, b in taken)]
+        # the furthest end of what starts before a place tells whether anything reaches into it
+        starts_taken, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+        weak = [w for w in weak if not (i := bisect_left(starts_taken, w[2])) or reach[i - 1] <= w[1]]
         secrets = [*weak, *(s for s in found if s[0] != "access")]
         whole = _linked(secrets, ids, text)
-        ends = [("linked_endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)] if whole and "://" in text else []
+        ends = endpoints(text) if whole else []
         linked = {*whole, *(_linked(ends, list(whole), text).intersection(ends))}
         found += [s for s in linked if s[0].startswith("linked")]
     return sorted(found, key=lambda s: (s[1], ORDER[s[0]], s[2]))
