@@ -282,10 +282,31 @@ def test_every_part_in_reach_is_linked():
         ids = [*spans("access", secrets.ACCESS), *spans("linked_id", secrets.IDENTIFIER)]
         keys = spans("linked_secret", re.compile(key))
         whole = {z for x in keys for y in ids if meet(x, y) or meet(y, x) for z in (x, y)}
-        ends = {x for x in spans("linked_endpoint", secrets.ENDPOINT) if any(meet(x, y) or meet(y, x) for y in whole)}
+        ends = {x for x in spans("linked_endpoint", re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+""")) if any(meet(x, y) or meet(y, x) for y in whole)}
         assert {s for s in secrets.scan(text) if s[0] != "access"} == {s for s in whole | ends if s[0] != "access"}
 
 
+def test_endpoints_and_overlaps_are_those_of_a_plain_walk():
+    r = random.Random(7)
+    plain = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+""")
+    for _ in range(500):
+        text = "".join(r.choice(["ab", "1", "+", "://", ":", "/", " ", "'", "é", "x.y"]) for _ in range(r.randint(1, 14)))
+        assert secrets.endpoints(text) == [("linked_endpoint", m.start(), m.end()) for m in plain.finditer(text)]
+
+
+def test_long_tokens_and_many_parts_take_no_more_than_their_share():
+    key = "wJalrXUtnFEMI7K7MDENGbPxRfiCYEXAMPLEKEY1"
+    for text in (f"client_id: 0815bbbb {key} x://y " + "Ab1+" * 250_000, f"client_id: 0815bbbb {key} 0123456789abcdef0123456789abcdef " * 5000, "user_id" + " " * 500_000 + "user_id" * 50_000):
+        began = time.time()
+        secrets.scan(text)
+        assert time.time() - began < 20
+
+
+def test_secrets_of_repeated_rows_and_no_rows(spark):
+    twice = secrets.find(docs(spark, ["token=abcdefgh1"] * 2 + [None], [1, 1, None])).collect()
+    assert [len(x.spans) for x in twice] == [1, 1, 0] and secrets.find(docs(spark, [])).count() == 0
+
+
 # --- Chat
 
 
@@ -365,12 +386,13 @@ def test_matches_find_reordered_copies_and_leave_others(spark):
     words = item.split()
     turned = " ".join(words[20:] + ["between"] + words[:20])
     part = " ".join(words[:20])
-    texts = [*ODD, prose(5) + " " + item.upper() + " " + prose(6), turned, part, "x " + item + " " + item]
+    texts = [*ODD, prose(5) + " " + item.upper() + " " + prose(6), turned, part, "x " + item + " " + item, "Too, SHORT!", "it is too short", item, item]
     bench = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (4, prose(78, 50))], "item_id long, text string")
     found = {(r.id, r.item_id): r for r in decontaminate.matches(docs(spark, texts), bench).collect()}
     n = len(ODD)
-    assert set(found) == {(n, 1), (n + 1, 1), (n + 3, 1)} and found[n + 1, 1].tiles == 2 and found[n, 1].coverage == 1.0
-    assert {r.doc_id for r in decontaminate.without_matches(docs(spark, texts), bench).collect()} == {*range(len(texts))} - {n, n + 1, n + 3}
+    assert set(found) == {(n, 1), (n + 1, 1), (n + 3, 1), (n + 4, 3), (n + 6, 1), (n + 7, 1)} and found[n + 1, 1].tiles == 2 and found[n, 1].coverage == 1.0
+    assert {r.doc_id for r in decontaminate.without_matches(docs(spark, texts), bench).collect()} == {*range(len(texts))} - {n, n + 1, n + 3, n + 4, n + 6, n + 7}
+    assert decontaminate.without_matches(docs(spark, texts[:3]).withColumn("__bad", F.lit(1)), bench).columns[-1] == "__bad"
     assert decontaminate.matches(docs(spark, texts), bench.limit(0)).count() == 0
 
 
@@ -380,7 +402,11 @@ def test_tiles_match_repeated_longest_search():
         item = [r.randint(1, 6) for _ in range(30)]
         text = [r.randint(1, 6) for _ in range(40)] + item[10:25] + item[:8]
         index = decontaminate.Index([(1, " ".join(f"w{x}" for x in item))])
-        got = [t for found in index.search([" ".join(f"w{x}" for x in text)]) for t in decontaminate.tile(found[3], found[4])]
+        got = [t for found in index.search([" ".join(f"w{x}" for x in text)], coverage=0.0) for t in found[3]]
+        crowded = decontaminate.Index([(1, " ".join(f"w{x}" for x in item))], pairs=0)
+        by_length = [t for found in crowded.search([" ".join(f"w{x}" for x in text)], coverage=0.0) for t in found[3]]
+        few = decontaminate.Index([(1, " ".join(f"w{x}" for x in item)), (2, "w1 w2 w3 w4 w5 w6")], pairs=20)
+        alone = [t for found in few.search([" ".join(f"w{x}" for x in text)], coverage=0.0) if found[1] == 1 for t in found[3]]
         marked_i, marked_t, want = set(), set(), []
         while True:
             best = None
@@ -396,7 +422,14 @@ def test_tiles_match_repeated_longest_search():
             want.append(best)
             marked_i.update(range(best[1], best[1] + best[0]))
             marked_t.update(range(best[2], best[2] + best[0]))
-        assert got == want
+        assert got == want == by_length == alone
+
+
+def test_repeated_words_are_tiled_without_listing_pairs():
+    for words, item in ((["a"] * 200_000, ["a"] * 2000), ((["a", "b", "c"] * 70_000)[:200_000], ["b", "c", "a"] * 600)):
+        began = time.time()
+        (found,) = decontaminate.Index([(1, " ".join(item))]).search([" ".join(words)])
+        assert found[3][0][0] == len(item) and time.time() - began < 20
 
 
 # --- URLs
