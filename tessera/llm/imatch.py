@@ -1,12 +1,10 @@
 """I-Match document fingerprints, with DataFrame functions only.
 
-Terms whose inverse document frequency lies in a band form the lexicon.
-Twenty-four randomised subsets of it, three each holding from a half down to a
-256th of its terms, give one 32-bit part of a fingerprint: the digest of the set of distinct
-terms that a text has in the subset. Sparse subsets survive more edits, dense
-ones tell short texts apart. The digest of a set is the exclusive or of its
-terms' hashes, which is that of the sorted terms in any order, so no text's
-terms have to be gathered to be sorted; each term enters once.
+Terms whose inverse document frequency lies in a band form the lexicon. Of the
+distinct terms that a text has in it, sorted, those in each of twenty-four
+randomised subsets are joined and hashed: three subsets each hold from a half
+down to a 256th of all terms. Each hash is one 32-bit part of the fingerprint.
+Sparse subsets survive more edits, dense ones tell short texts apart.
 """
 
 from __future__ import annotations
@@ -25,7 +23,8 @@ RAREST = 0.0005
 BROADCAST_TERMS = 400_000
 #: What separates terms: all of ASCII but letters and digits.
 SEPARATORS = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
-LONGS = [f"__v{j}" for j in range(PARTS // 2)]
+#: Likeness looks at so many parts, those of the sparsest subsets that have terms in either text.
+COMPARED = 6
 
 
 def terms(text: Column) -> Column:
@@ -34,18 +33,25 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(texts: DataFrame, text_col: str = "text", rarest: float = RAREST, commonest: float = COMMONEST) -> DataFrame:
-    """``(term, v0..v7)`` of the terms in the band, counted over all rows; each long holds two subsets' 32-bit term hashes, zero outside a subset."""
-    n = texts.count()
-    df = texts.select(F.explode(terms(F.col(text_col))).alias("term")).groupBy("term").count()
-    kept = df.where((F.col("count") >= rarest * n) & (F.col("count") <= max(1.0, commonest * n)))
-
-    def half(j: int, side: int) -> Column:
-        level = (2 * j + side) // PER_LEVEL + 1
-        drawn = F.xxhash64(F.lit(101 + 2 * j + side), "term").bitwiseAND(F.lit((1 << level) - 1)) == 0
-        h = F.shiftrightunsigned(F.xxhash64(F.lit(2 * j + side), "term"), 32)
-        return F.when(drawn, F.shiftleft(h, 32) if side else h).otherwise(F.lit(0).cast("long"))
-
-    return kept.select("term", *[half(j, 1).bitwiseOR(half(j, 0)).alias(v) for j, v in enumerate(LONGS)])
+    """``(term)`` of the terms in the band. Every text counts; a group of equal ones counts once, so that its copies cannot push its terms out of the band."""
+    h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    groups = checkpointed(texts.select(h.alias("h")).groupBy("h").agg(F.count("*").alias("n")))
+    n = groups.count()
+    copied = groups.where("n > 1")
+    small = copied.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    each = texts.select(h.alias("h"), F.col(text_col).alias("text")).join(F.broadcast(copied) if small else copied, "h", "left")
+    terms_of = each.select(F.explode(terms(F.col("text"))).alias("term"), (F.lit(1.0) / F.coalesce("n", F.lit(1))).alias("weight"))
+    # rounded, so that the order of summing does not matter
+    df = terms_of.groupBy("term").agg(F.round(F.sum("weight"), 6).alias("df"))
+    return df.where((F.col("df") >= rarest * n) & (F.col("df") <= max(1.0, commonest * n))).select("term")
+
+
+def part(sorted_terms: Column, k: int) -> Column:
+    """The k-th part of a fingerprint in eight hexadecimal digits: the hash of the terms in the k-th subset, zero if there are none."""
+    mask = F.lit((1 << (k // PER_LEVEL + 1)) - 1)
+    drawn = F.filter(sorted_terms, lambda t: F.xxhash64(F.lit(101 + k), t).bitwiseAND(mask) == 0)
+    digest = F.substring(F.lpad(F.hex(F.xxhash64(F.lit(k), F.array_join(drawn, " "))), 16, "0"), 1, 8)
+    return F.when(F.size(drawn) == 0, "0" * 8).otherwise(digest)
 
 
 def fingerprints(rows: DataFrame, text_cols: list[str], words: DataFrame) -> DataFrame:
@@ -53,43 +59,37 @@ def fingerprints(rows: DataFrame, text_cols: list[str], words: DataFrame) -> Dat
 
     A part is zero if a text has no term in its subset. If that holds for all parts, they all hold a hash of the
     whole text, so equal texts always have equal fingerprints, empty ones too. Null texts count as empty. Repeated
-    rows stay. ``words`` is a lexicon.
+    rows are worked on once and come back as often as they were. ``words`` is a lexicon.
     """
     keys = [c for c in rows.columns if c not in text_cols]
     plain = [F.xxhash64(F.coalesce(F.col(c), F.lit(""))).alias(f"__x_{c}") for c in text_cols]
     texts = [F.struct(F.lit(i).alias("side"), F.coalesce(F.col(c), F.lit("")).alias("text")) for i, c in enumerate(text_cols)]
     small = words.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    # numbered before anything is exploded, so that repeated rows stay apart
-    numbered = rows.withColumn("__row", F.monotonically_increasing_id())
-    sided = numbered.select(*keys, *plain, "__row", F.explode(F.array(*texts)).alias("__t"))
-    # an empty term keeps rows that have none
+    known = words.withColumn("__known", F.lit(True))
+    sided = rows.select(*keys, *plain, F.explode(F.array(*texts)).alias("__t"))
+    # an empty term keeps rows that have none, and counts repeated ones
     each = sided.select("*", F.explode(F.concat(F.array(F.lit("")), terms(F.col("__t.text")))).alias("term"), F.col("__t.side").alias("__side")).drop("__t")
-    joined = each.join(F.broadcast(words) if small else words, "term", "left").where((F.col("term") == "") | F.col(LONGS[0]).isNotNull())
-    zero = F.lit(0).cast("long")
-    sums = [F.bit_xor(F.when(F.col("__side") == i, F.coalesce(F.col(v), zero)).otherwise(zero)).alias(f"__s{i}{v}") for i in range(len(text_cols)) for v in LONGS]
-    groups = ["__row", *keys, *[f"__x_{c}" for c in text_cols]]
-    found = joined.groupBy(*groups).agg(*sums)
-    digits = lambda c: F.lpad(F.hex(c), 16, "0")
-    out = []
-    for i, c in enumerate(text_cols):
-        own = [F.col(f"__s{i}{v}") for v in LONGS]
-        none = own[0] == 0
-        for x in own[1:]:
-            none = none & (x == 0)
-        shown = F.when(none, F.repeat(digits(F.col(f"__x_{c}")), len(LONGS))).otherwise(F.concat(*map(digits, own)))
-        out.append(F.unhex(shown).alias(f"{c}_fp"))
-    return found.select(*keys, *out)
+    joined = each.join(F.broadcast(known) if small else known, "term", "left").where((F.col("term") == "") | F.col("__known"))
+    own = lambda i: F.when((F.col("__side") == i) & (F.col("term") != ""), F.col("term"))
+    # no row number is needed: rows that agree in all this have the same fingerprints
+    found = joined.groupBy(*keys, *(f"__x_{c}" for c in text_cols)).agg(
+        *(F.sort_array(F.collect_set(own(i))).alias(f"__s{i}") for i in range(len(text_cols))),
+        F.count_if((F.col("__side") == 0) & (F.col("term") == "")).alias("__n"),
+    )
+    shown = [F.concat(*(part(F.col(f"__s{i}"), k) for k in range(PARTS))).alias(f"__p{i}") for i in range(len(text_cols))]
+    parts = found.select(*keys, *(f"__x_{c}" for c in text_cols), "__n", *shown)
+    whole = lambda c: F.repeat(F.lpad(F.hex(f"__x_{c}"), 16, "0"), PARTS // 2)
+    out = [F.unhex(F.when(F.col(f"__p{i}") == "0" * 8 * PARTS, whole(c)).otherwise(F.col(f"__p{i}"))).alias(f"{c}_fp") for i, c in enumerate(text_cols)]
+    done = parts.select(*keys, "__n", *out)
+    return done.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "__n")).alias("__i")).drop("__n", "__i")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of two fingerprints in hexadecimal digits, the share of equal parts among those that are not zero in both: 1 for equal fingerprints, 0 if no part is shared."""
-    same, either = F.lit(0), F.lit(0)
-    for k in range(PARTS):
-        x, y = F.substring(a, 8 * k + 1, 8), F.substring(b, 8 * k + 1, 8)
-        filled = (x != "00000000") | (y != "00000000")
-        same = same + F.when(filled & (x == y), 1).otherwise(0)
-        either = either + F.when(filled, 1).otherwise(0)
-    return same / F.greatest(either, F.lit(1))
+    """Of two fingerprints in hexadecimal digits, the share of equal parts among the sparsest ``COMPARED`` ones that are not zero in both: 1 for equal fingerprints."""
+    digits = lambda x, k: x.substr(8 * k + 1, F.lit(8))
+    parts = F.transform(F.sequence(F.lit(PARTS - 1), F.lit(0), F.lit(-1)), lambda k: F.struct(digits(a, k).alias("x"), digits(b, k).alias("y")))
+    filled = F.slice(F.filter(parts, lambda p: (p["x"] != "0" * 8) | (p["y"] != "0" * 8)), 1, COMPARED)
+    return F.size(F.filter(filled, lambda p: p["x"] == p["y"])) / F.greatest(F.size(filled), F.lit(1))
 
 
 def followers(ids: DataFrame, key: str) -> DataFrame:
