@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, chat, decontaminate, html, imatch, quality, secrets, sharding, simhash, urls
+from tessera.llm.runtime import checkpointed
 
 SHARDS = 16
 PROBE = r"\### Assistant: </turn> ok"
@@ -76,7 +77,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = urls.word_counts(_table(spark, sf_dir, "documents"))
+    words = checkpointed(urls.word_counts(_table(spark, sf_dir, "documents")))
     judged = urls.judge(_table(spark, sf_dir, "pages"), RULES, words)
     return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", F.array_join("words", " ").alias("words"), "score")
 

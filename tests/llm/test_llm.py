@@ -471,25 +471,42 @@ def test_repeated_words_are_tiled_without_listing_pairs():
 
 def test_urls(spark):
     pages = ["https://WWW.Example.com/en/7x?q#f", "http://a.example.net/de/81", "x.example.net/de/", None, "http://b.net/de/1", "ftp://org/es/2", "http://notcom/en/", "https://x.example.com#/en/", "http://casinowin.example.org/", "http://a://b/c"]
-    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(pages * 3)], "page_id long, url string, host string")
-    words = {w: 1000 for w in ("casino", "win", "the", "word")}
-    rows = {r.id: r for r in urls.judge(df, queries.RULES, words).collect()}
+    df = spark.createDataFrame([(i if i else None, u, "h", "n") for i, u in enumerate(pages * 3)], "page_id long, url string, host string, words string")
+    words = spark.createDataFrame([(w, 1000) for w in ("casino", "win", "the", "word")], "word string, n long")
+    rows = {r.id or 0: r for r in urls.judge(df, queries.RULES, words).collect()}
+    assert len(rows) == 30
     assert [(rows[i].host, rows[i].path) for i in range(5)] == [("www.example.com", "/en/7x"), ("a.example.net", "/de/81"), ("", ""), ("", ""), ("b.net", "/de/1")]
     assert [rows[i].rule for i in range(8)] == ["example.com/en/7", "example.net/de/8", None, None, "net/de/", "org/es/", None, None]
     assert [rows[i].verdict for i in range(9)] == ["allow", "block", "allow", "allow", "allow", "block", "allow", "allow", "block"]
-    assert rows[8].words == ["casino", "win", "example"] or rows[8].words[:2] == ["casino", "win"]
-    assert urls.judge(df.limit(0), queries.RULES, {}).count() == 0
-
-
-def test_split_is_the_cheapest():
+    assert rows[8].words == ["casino", "win", "example"] and rows[0].words == ["www", "example", "en", "#", "x"] and rows[3].words == []
+    assert urls.judge(df.limit(0), queries.RULES, words).count() == 0 and urls.judge(df, [], words.limit(0), unwanted=()).count() == 30
+    # naive Bayes by hand
+    bad = [i for i in range(30) if {"casino", "win"} <= {*rows[i].words}]
+    count = lambda w, ids: sum(rows[i].words.count(w) for i in ids)
+    good = [i for i in range(30) if i not in bad]
+    tokens = {w for r in rows.values() for w in r.words}
+    size = lambda ids: sum(len(rows[i].words) for i in ids) + len(tokens)
+    for r in rows.values():
+        want = np.log(len(bad) / len(good)) + sum(np.log((count(w, bad) + 1) / size(bad)) - np.log((count(w, good) + 1) / size(good)) for w in r.words)
+        assert r.score == pytest.approx(want, abs=1e-6)
+
+
+def test_splits_are_the_cheapest_and_no_word_is_left_out(spark):
     r = random.Random(1)
-    model = urls.Words({"".join(r.choice("ab") for _ in range(r.randint(1, 4))): r.randint(1, 50) for _ in range(12)})
-    for _ in range(100):
-        name = "".join(r.choice("ab") for _ in range(r.randint(1, 9)))
-        cost = lambda ws: sum(model.cost.get(w, model.unknown + 2.0 * len(w)) for w in ws)
-        cuts = [[*c] for k in range(len(name)) for c in itertools.combinations(range(1, len(name)), k)]
-        best = min(cost([name[a:b] for a, b in zip([0, *c], [*c, len(name)], strict=True)]) for c in cuts)
-        assert cost(model.split(name)) == pytest.approx(best)
+    counts = {"".join(r.choice("ab") for _ in range(r.randint(1, 4))): r.randint(1, 50) for _ in range(12)} | {"c" * 30 + "d": 3, "e" * 24: 1, "e" * 25: 2, "漢字": 5}
+    names = ["".join(r.choice("ab") for _ in range(r.randint(1, 9))) for _ in range(100)] + ["c" * 30 + "da", "e" * 24 + "a", "e" * 25, "q" * 40, "漢字ab", "z"]
+    total = sum(counts.values())
+    unknown = np.log(total + 1) + urls.UNKNOWN_START
+    price = lambda w: np.log((total + 1) / counts[w]) if w in counts else unknown + urls.UNKNOWN_LETTER * len(w)
+    df = spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "name string")
+    split = {x.name: x.words for x in urls.segmented(df, spark.createDataFrame(list(counts.items()), "word string, n long"), total).collect()}
+    for name in names:
+        assert "".join(split[name]) == name
+        if len(name) <= 9:
+            cuts = [[*c] for k in range(len(name)) for c in itertools.combinations(range(1, len(name)), k)]
+            best = min(sum(price(name[a:b]) for a, b in zip([0, *c], [*c, len(name)], strict=True)) for c in cuts)
+            assert sum(map(price, split[name])) == pytest.approx(best)
+    assert split["c" * 30 + "da"][0] == "c" * 30 + "d" and split["e" * 25] == ["e" * 25] and split["e" * 24 + "a"][0] == "e" * 24 and split["q" * 40] == ["q" * 40]
 
 
 # --- HTML
