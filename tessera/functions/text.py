@@ -120,17 +120,17 @@ def embedding_text(header: Column, text: Column) -> Column:
 
 
 def corpus_wide_signal(question: Column) -> Column:
-    """The first family whose pattern occurs; null if none does."""
+    """The first family whose pattern occurs; null if none does. Letters of any script are letters."""
     out = F.lit(None).cast("string")
     for name, pattern in reversed(CORPUS_WIDE):
-        out = F.when(F.lower(question).rlike(pattern), name).otherwise(out)
+        out = F.when(F.lower(question).rlike("(?U)" + pattern), name).otherwise(out)
     return out
 
 
 def states_a_position(text: Column) -> Column:
     """False for blank texts and questions."""
-    said = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
-    return (said != "") & ~said.endswith("?") & ~F.lower(said).rlike(QUESTION_LEAD)
+    said = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return (said != "") & ~said.endswith("?") & ~F.lower(said).rlike("(?U)" + QUESTION_LEAD)
 
 
 def urls(text: Column) -> Column:

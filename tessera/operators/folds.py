@@ -18,8 +18,9 @@ def chunk_segments(segments: list[str], target: int = 1200, overlap: int = 150)
     out, start = [], 0
     while start < len(segments):
         end, size = start + 1, len(segments[start])
-        while end < len(segments) and size + 1 + len(segments[end]) <= target:
-            size += 1 + len(segments[end])
+        # nothing stands between an empty beginning and what follows
+        while end < len(segments) and size + (size > 0) + len(segments[end]) <= target:
+            size += (size > 0) + len(segments[end])
             end += 1
         out.append((len(out), " ".join(segments[start:end]).strip(), start, end - 1))
         if end == len(segments):

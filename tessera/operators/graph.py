@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.checkpoints import checkpointed
@@ -30,20 +30,26 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return seeds.select("node", F.lit(0).alias("hops")).unionByName(near).groupBy("node").agg(F.min("hops").alias("hops"))
 
 
-def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
+def communities(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """``(node, community)`` by label propagation with weights; a community is named by its smallest node.
 
     In each round every second node, by a hash that changes with the round, takes the label with the largest total
-    weight around it, its own in a tie, else the smallest. All steps are joins and aggregations.
+    weight around it, its own in a tie, else the smallest. It ends when no node has moved in four rounds, in which every
+    node has had its turn but for one in sixteen. All steps are joins and aggregations.
     """
     both = checkpointed(edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
     labels = checkpointed(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
-    for r in range(rounds):
+    quiet = 0
+    for r in range(most_rounds):
         around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a", "label").agg(F.round(F.sum("weight"), 6).alias("w"))
         own = around.join(labels.select(F.col("node").alias("a"), F.col("label").alias("own")), "a")
         best = own.groupBy("a").agg(F.max_by("label", F.struct("w", (F.col("label") == F.col("own")).alias("stay"), (-F.xxhash64("label")).alias("tie"))).alias("next"))
         moves = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
-        labels = checkpointed(labels.join(best.withColumnRenamed("a", "node"), "node").select("node", F.when(moves, F.col("next")).otherwise(F.col("label")).alias("label")))
+        moved = checkpointed(labels.join(best.withColumnRenamed("a", "node"), "node").select("node", "label", F.when(moves, F.col("next")).otherwise(F.col("label")).alias("next")))
+        quiet = quiet + 1 if moved.where("label <> next").isEmpty() else 0
+        labels = moved.select("node", F.col("next").alias("label"))
+        if quiet == 4:
+            break
     names = labels.groupBy("label").agg(F.min("node").alias("community"))
     return labels.join(names, "label").select("node", "community")
 
@@ -91,9 +97,6 @@ def project(vectors: DataFrame, id_col: str, vector_col: str, mean: np.ndarray,
     return vectors.select(id_col, *[F.round(along(a), 6).alias(f"x{i}") for i, a in enumerate(axes)])
 
 
-def candidate_pairs(similar: DataFrame, low: float, high: float, k: int) -> DataFrame:
-    """``(a, b, similarity)`` from ``(query_id, id, score, source, other_source)``: the ``k`` best of each row in the band and from another source, one row a pair."""
-    band = similar.where((F.col("score") >= low) & (F.col("score") <= high) & (F.col("source") != F.col("other_source")))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    best = band.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
-    return best.groupBy(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b")).agg(F.max("score").alias("similarity"))
+def candidate_pairs(near: DataFrame) -> DataFrame:
+    """``(a, b, similarity)`` from ``(query_id, id, score)``: one row for each pair, whichever side named it."""
+    return near.groupBy(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b")).agg(F.max("score").alias("similarity"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.checkpoints import placed
+
 
 def interval_join(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, slack: float, width: float = 60.0) -> DataFrame:
     """Pairs of a point and each span of the same key that holds it, give or take ``slack``.
@@ -77,5 +79,5 @@ def set_change(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 def overrides(routed: DataFrame, pinned: DataFrame, key: str) -> DataFrame:
     """Routed ``(key, score)`` with pinned ``(key, included)`` put over them; included ones first, then by score, then key."""
     both = routed.join(pinned, key, "full_outer").select(key, "score", F.coalesce("included", F.lit(True)).alias("included"))
-    order = Window.orderBy(F.col("included").desc(), F.col("score").desc_nulls_last(), key)
-    return both.withColumn("position", F.row_number().over(order).cast("long"))
+    order = F.struct((~F.col("included")).alias("out"), F.col("score").isNull().alias("none"), (-F.col("score")).alias("score"), F.col(key).alias("key"))
+    return placed(both.withColumn("__order", order), "__order").drop("__order").withColumnRenamed("place", "position")

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
+from tessera.operators.checkpoints import checkpointed
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
-#: Queries compared with all vectors in one pass.
-QUERY_BLOCK = 4096
+#: Rows of either side in one block of a vector search, on average.
+BLOCK_ROWS = 8192
 
 
 def ranked(scored: DataFrame, score: str, tie: str, k: int, by: str = "query_id") -> DataFrame:
@@ -23,43 +23,45 @@ def ranked(scored: DataFrame, score: str, tie: str, k: int, by: str = "query_id"
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str, only: DataFrame | None = None) -> DataFrame:
-    """``(doc, dl, term, tf)``, of the terms in ``only`` if given; documents without tokens have no row."""
+def lexical_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc, dl, term, tf)``, written once for all that reads it; documents without tokens have no row."""
     each = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("t"))
     rows = each.where(F.size("t") > 0).select("doc", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    rows = rows if only is None else rows.join(only.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+    return checkpointed(rows.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf")))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """``(query_id, term, qtf)``: a word that a query repeats counts as often."""
+    return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 30, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 30, k1: float = K1, b: float = B, epsilon: float = EPSILON, index: DataFrame | None = None) -> DataFrame:
     """``(query_id, doc, score, rank)`` by Okapi BM25; ``queries`` has ``query_id`` and ``text``.
 
-    A negative inverse document frequency becomes ``epsilon`` times the mean one. A word that a query repeats counts
-    as often. A hit shares at least one word with the query, whatever its score; scores are rounded to four places,
-    ties go by document id.
+    A negative inverse document frequency becomes ``epsilon`` times the mean one. A hit shares at least one word with
+    the query, whatever its score; scores are rounded to four places, ties go by document id. ``index`` is the
+    documents' :func:`lexical_index`, if there is one.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    wanted = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    # other terms' rows go before anything is shuffled; document frequencies need one row a document and term, summed in each task
-    index = postings(docs, id_col, text_col, wanted)
-    sizes = docs.select(F.size(tokens(F.col(text_col))).alias("dl")).where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = docs.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(sizes)
-    raw = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    index = lexical_index(docs, id_col, text_col) if index is None else index
+    wanted = query_terms(queries)
+    sizes = index.agg(F.count_distinct("doc").alias("n"), F.sum("tf").alias("words")).select("n", (F.col("words") / F.col("n")).alias("avgdl"))
+    raw = index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(sizes).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg((F.avg("idf") * epsilon).alias("floor"))
-    idf = raw.crossJoin(mean).select("term", "avgdl", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
+    idf = raw.join(wanted.select("term").distinct(), "term", "left_semi").crossJoin(mean).select("term", "avgdl", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
     weight = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = index.join(wanted.join(idf, "term"), "term").groupBy("query_id", "doc").agg(F.round(F.sum(weight), 4).alias("score"))
     return ranked(scored, "score", "doc", k)
 
 
-def term_cosine(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 30) -> DataFrame:
+def term_cosine(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 30, index: DataFrame | None = None) -> DataFrame:
     """``(query_id, doc, score, rank)`` by the cosine of term counts: a dense stand-in that needs no model."""
-    index = postings(docs, id_col, text_col)
+    index = lexical_index(docs, id_col, text_col) if index is None else index
     norms = index.groupBy("doc").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    wanted = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    wanted = query_terms(queries)
     own = wanted.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qnorm"))
-    dots = postings(docs, id_col, text_col, wanted).join(wanted, "term").groupBy("query_id", "doc").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
+    dots = index.join(wanted, "term").groupBy("query_id", "doc").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
     scored = dots.join(norms, "doc").join(own, "query_id").select("query_id", "doc", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
     return ranked(scored, "score", "doc", k)
 
@@ -71,65 +73,81 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm > 0), dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 10, min_score: float = -2.0, skip_self: bool = False) -> DataFrame:
+def dense(
+    vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 10, min_score: float = -2.0, max_score: float = 2.0, skip_self: bool = False, group_col: str | None = None, groups: str | None = None
+) -> DataFrame:
     """``(query_id, id, score, rank)``: the exact ``k`` nearest by cosine of all rows, for ``queries`` of ``query_id`` and ``vector``.
 
-    Queries go out in blocks of a fixed number, one pass over the vectors for each; every task keeps the best ``k`` of
-    its rows. Rows without a vector, with values that are not finite, or of another width than the query score 0 and
-    null vectors are left out. Scores are rounded to six places before ranking; ties go by id.
+    Both sides are dealt into blocks of bounded size; each pair of blocks is one task, which keeps each query's best
+    ``k`` of it, so nothing passes through the driver and a task holds two blocks at most. With ``groups="other"`` rows
+    of the query's own group (column ``group_col`` of both sides) are left out before anything is cut, with ``"each"``
+    the best ``k`` of each group are returned, with the ``group``. Null vectors are left out; vectors with values that
+    are not finite score 0, those of another width than the query are none of its rows. Scores are rounded to six places
+    before ranking and have to lie between the limits; ties go by id.
     """
-    spark = vectors.sparkSession
-    found = queries.where(F.col("vector").isNotNull()).select("query_id", "vector").orderBy("query_id")
-    rows = found.toLocalIterator()
-    out, block = None, []
-
-    def flush(block: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(([r[0] for r in block], [np.asarray(r[1], dtype=np.float64) for r in block]))
-        part = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
-        return part.mapInArrow(_best(shared, k, min_score, skip_self), f"query_id long, id {vectors.schema[id_col].dataType.simpleString()}, score double")
-
-    for row in rows:
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            out = flush(block) if out is None else out.unionByName(flush(block))
-            block = []
-    if block or out is None:
-        out = flush(block) if out is None else out.unionByName(flush(block))
-    return ranked(out, "score", "id", k)
-
-
-def _unit(v: np.ndarray) -> np.ndarray:
-    n = np.sqrt((v * v).sum())
-    return v / n if len(v) and np.isfinite(n) and n > 0 else np.zeros(len(v))
-
-
-def _best(shared, k: int, min_score: float, skip_self: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, raw = shared.value
-        by_width: dict[int, list[int]] = {}
-        for i, v in enumerate(raw):
-            by_width.setdefault(len(v), []).append(i)
-        wanted = {w: np.stack([_unit(raw[i]) for i in at]) for w, at in by_width.items()}
-        for batch in batches:
-            names, vectors = batch.column(0), [np.asarray(v, dtype=np.float64) for v in batch.column(1).to_pylist()]
-            q, at, scores = [], [], []
-            for width, own in by_width.items():
-                rows = np.array([i for i, v in enumerate(vectors) if len(v) == width], dtype=np.int64)
-                if not len(rows):
-                    continue
-                score = np.round(np.clip(wanted[width] @ np.stack([_unit(vectors[i]) for i in rows]).T, -1, 1), 6)
-                for j, query in enumerate(own):
-                    ok = score[j] >= min_score
+    grouped = group_col is not None
+    none = F.lit(None).cast("string")
+    v = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), (F.col(group_col) if grouped else none).alias("group"))
+    q = queries.where(F.col("vector").isNotNull()).select("query_id", "vector", (F.col(group_col) if groups == "other" else none).alias("group"))
+    blocks = [max(1, -(-x.count() // BLOCK_ROWS)) for x in (v, q)]
+    deal = lambda x, name, own, other: x.select("*", F.pmod(F.xxhash64(name, "vector"), F.lit(own)).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long"))).alias("met"))
+    rows = deal(v, "id", *blocks).withColumnsRenamed({"own": "vb", "met": "qb"})
+    asked = deal(q, "query_id", *reversed(blocks)).withColumnsRenamed({"own": "qb", "met": "vb"})
+    kinds = {x.name: x.dataType for x in v.schema}
+    schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, id {kinds['id'].simpleString()}, score double, group {kinds['group'].simpleString()}"
+    near = asked.groupBy("qb", "vb").cogroup(rows.groupBy("qb", "vb")).applyInArrow(_best(k, min_score, max_score, skip_self, groups), schema)
+    if groups != "each":
+        return ranked(near.drop("group"), "score", "id", k)
+    order = Window.partitionBy("query_id", "group").orderBy(F.col("score").desc(), "id")
+    return near.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
+def _matrices(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows by width: where they are, and their unit vectors, zeros for those without a finite length."""
+    column = column.combine_chunks()
+    width = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    out = {}
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        m = column.take(pa.array(at)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(at), int(w))
+        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        usable = np.isfinite(norm) & (norm > 0)
+        out[int(w)] = at, np.divide(m, norm, out=np.zeros_like(m), where=usable)
+    return out
+
+
+def _best(k: int, min_score: float, max_score: float, skip_self: bool, groups: str | None):
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        kinds = [asked.schema.field("query_id").type, rows.schema.field("id").type, pa.float64(), rows.schema.field("group").type]
+        names = ["query_id", "id", "score", "group"]
+        found_q, found_v, found_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if asked.num_rows and rows.num_rows:
+            qid, vid = (t.column(c).to_numpy() for t, c in ((asked, "query_id"), (rows, "id")))
+            qg, vg = (np.array(t.column("group").to_pylist(), dtype=object) for t in (asked, rows))
+            wanted, held = _matrices(asked.column("vector")), _matrices(rows.column("vector"))
+            for w in wanted.keys() & held.keys():
+                (qat, qm), (vat, vm) = wanted[w], held[w]
+                parts = [np.arange(len(vat))] if groups != "each" else [np.flatnonzero(vg[vat] == g) for g in dict.fromkeys(vg[vat].tolist())]
+                for at in range(0, len(qat), 256):
+                    own = qat[at : at + 256]
+                    score = np.round(np.clip(qm[at : at + 256] @ vm.T, -1, 1), 6) + 0.0
+                    ok = (score >= min_score) & (score <= max_score)
                     if skip_self:
-                        ok &= np.array([names[int(i)].as_py() != ids[query] for i in rows])
-                    kept = np.flatnonzero(ok)
-                    if len(kept) > k:
-                        # all that tie with the k-th stay: ids decide later
-                        kept = kept[score[j][kept] >= np.partition(score[j][kept], -k)[-k]]
-                    q += [ids[query]] * len(kept)
-                    at += rows[kept].tolist()
-                    scores += score[j][kept].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), names.take(pa.array(at, pa.int64())), pa.array(scores, pa.float64())], ["query_id", "id", "score"])
+                        ok &= qid[own][:, None] != vid[vat][None, :]
+                    if groups == "other":
+                        ok &= qg[own][:, None] != vg[vat][None, :]
+                    for part in parts:
+                        for j in range(len(own)):
+                            kept = part[ok[j, part]]
+                            if len(kept) > k:
+                                # all that tie with the k-th stay: ids decide later
+                                kept = kept[score[j, kept] >= np.partition(score[j, kept], -k)[-k]]
+                            found_q.append(np.full(len(kept), own[j]))
+                            found_v.append(vat[kept])
+                            found_s.append(score[j, kept])
+        q, v = pa.array(np.concatenate(found_q)), pa.array(np.concatenate(found_v))
+        columns = [asked.column("query_id").take(q), rows.column("id").take(v), pa.array(np.concatenate(found_s)), rows.column("group").take(v)]
+        return pa.Table.from_arrays([c.cast(t) for c, t in zip(columns, kinds, strict=True)], names)
 
     return run
 

@@ -89,7 +89,17 @@ _KIND = f"""CASE WHEN {_any(f'substr({_WHOLE}, 1, 400)', dc.COVER_LETTER_SIGNALS
   WHEN {_ON(dc.PROFILE_HOSTS)} OR {_any(_WHOLE, dc.PROFILE_SIGNALS)} >= 2 THEN 'profile'
   WHEN {_ON(dc.PORTFOLIO_HOSTS)} OR {_any(_WHOLE, dc.PORTFOLIO_SIGNALS)} > 0 THEN 'portfolio' ELSE 'document' END"""
 
+_WALK = """WITH RECURSIVE j AS (SELECT o_orderkey AS position, o_custkey AS a, o_orderkey % 997 AS b, CASE WHEN o_orderkey % 4 = 0 THEN 'not_a_conflict' WHEN o_orderkey % 4 < 2 THEN 'minority_verdict' WHEN o_orderkey % 5 = 0 THEN 'unstated_axis'
+  WHEN o_orderkey % 6 = 0 THEN 'quote_not_in_transcript' WHEN o_orderkey % 7 = 1 THEN 'quote_is_not_a_position' END AS gate FROM orders),
+o AS MATERIALIZED (SELECT position, a, b, row_number() OVER (ORDER BY position) AS n FROM j WHERE gate IS NULL),
+w AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS ua, []::BIGINT[] AS ub, false AS won UNION ALL
+  SELECT n, CASE WHEN free THEN list_append(ua, a) ELSE ua END, CASE WHEN free THEN list_append(ub, b) ELSE ub END, free FROM (SELECT o.n, a, b, ua, ub, NOT list_contains(ua, a) AND NOT list_contains(ub, b) AS free FROM w JOIN o ON o.n = w.n + 1))"""
+_TURNS = """WITH RECURSIVE l AS (SELECT list(doc_id ORDER BY n_chars DESC, doc_id) AS a FROM documents), m AS (SELECT list(doc_id ORDER BY doc_id) AS b FROM documents),
+w AS (SELECT -1 AS position, NULL::BIGINT AS doc_id, []::BIGINT[] AS taken UNION ALL
+  SELECT position + 1, x, list_append(taken, x) FROM (SELECT position, taken, CASE WHEN (position + 1) % 2 = 0 THEN list_filter(a[1:80], lambda k: NOT list_contains(taken, k))[1] ELSE list_filter(b[1:80], lambda k: NOT list_contains(taken, k))[1] END AS x FROM w, l, m WHERE position < 39))"""
 ORACLE = {
+    "conflict_gates": f"{_WALK} SELECT position, CASE WHEN gate IS NOT NULL THEN gate WHEN NOT won THEN 'duplicate_evidence' END AS gate FROM j LEFT JOIN (SELECT position, won FROM o JOIN w USING (n)) USING (position)",
+    "interleaved_lists": f"{_TURNS} SELECT position::INT AS position, doc_id FROM w WHERE position >= 0",
     "document_kinds": f"""SELECT doc_id, kind, CASE WHEN kind = 'document' THEN 'no criteria' END AS warning
       FROM (SELECT doc_id, {_KIND} AS kind FROM (SELECT *, lower(coalesce(source, '') || '.example') AS host FROM documents))""",
     "composite_scores": """WITH s AS (SELECT doc_id, n_chars, CASE WHEN doc_id % 7 <> 0 THEN (doc_id % 11) / 10.0::DOUBLE END AS f, CASE WHEN doc_id % 3 <> 0 THEN (doc_id % 5) / 4.0::DOUBLE END AS c, (doc_id % 9) / 8.0::DOUBLE AS p FROM documents),

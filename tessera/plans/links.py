@@ -116,14 +116,12 @@ def graph_communities(spark, sf_dir):
 
 
 def conflict_candidates(spark, sf_dir):
-    """Pairs of vectors of different labels in a band of similarity."""
+    """Pairs of vectors of different labels in a band of similarity: each row's four best of those that are eligible."""
     from tessera.operators import retrieval
 
     vectors = table(spark, sf_dir, "embeddings")
-    near = retrieval.dense(vectors, vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "vec_id", "embedding", 64, 0.1, skip_self=True)
-    labels = vectors.select("vec_id", "label")
-    named = near.join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("source")), "query_id").join(labels.select(F.col("vec_id").alias("id"), F.col("label").alias("other_source")), "id")
-    return graph.candidate_pairs(named, 0.1, 0.97, 4)
+    queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
+    return graph.candidate_pairs(retrieval.dense(vectors, queries, "vec_id", "embedding", 4, 0.1, 0.97, skip_self=True, group_col="label", groups="other"))
 
 
 def vector_projection(spark, sf_dir):
@@ -165,7 +163,21 @@ men AS (SELECT DISTINCT o_orderkey AS claim, 's' || l_suppkey AS entity FROM ord
 edges AS (SELECT a, b, round(sum(w), 6) AS weight FROM (SELECT least(src, dst) AS a, greatest(src, dst) AS b, CASE WHEN coalesce(w, 0) = 0 THEN 0.5 ELSE w END AS w FROM rel WHERE src <> dst
   UNION ALL SELECT x.entity, y.entity, 1.0 FROM men x JOIN men y ON x.claim = y.claim AND x.entity < y.entity) GROUP BY ALL)"""
 
+_GREEDY = """WITH RECURSIVE p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY run ORDER BY score DESC, l_suppkey, l_partkey) AS n FROM (
+  SELECT l_linenumber || '|' || strftime(l_shipdate, '%Y-%m') AS run, l_suppkey, l_partkey, max(l_quantity::DOUBLE) AS score FROM lineitem GROUP BY ALL) WHERE score >= 45),
+w AS (SELECT run, 0::BIGINT AS n, []::BIGINT[] AS ua, []::BIGINT[] AS ub, false AS took FROM p GROUP BY run UNION ALL
+  SELECT run, n, CASE WHEN free THEN list_append(ua, l_suppkey) ELSE ua END, CASE WHEN free THEN list_append(ub, l_partkey) ELSE ub END, free
+  FROM (SELECT p.run, p.n, p.l_suppkey, p.l_partkey, ua, ub, NOT list_contains(ua, p.l_suppkey) AND NOT list_contains(ub, p.l_partkey) AS free FROM w JOIN p ON p.run = w.run AND p.n = w.n + 1))"""
+_CHUNKED = r"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM documents),
+u AS (SELECT doc_id, i, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS t FROM (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM s)),
+e AS MATERIALIZED (SELECT doc_id, l, len(l) AS n, p FROM s JOIN (SELECT doc_id, list_prepend(0::HUGEINT, list(t ORDER BY i)) AS p FROM u GROUP BY doc_id) USING (doc_id)),
+w AS (SELECT doc_id, 0 AS chunk_index, 0::BIGINT AS a, {end0} AS z FROM e UNION ALL
+  SELECT doc_id, chunk_index, a, {end} AS z FROM (SELECT e.doc_id, chunk_index + 1 AS chunk_index, e.n, e.p, coalesce(list_min(list_filter(range(a + 1, z), lambda b: e.p[z + 1] - e.p[b + 1] + (z - b - 1) <= 150)), z) AS a FROM w JOIN e ON e.doc_id = w.doc_id AND w.z < e.n))
+SELECT doc_id, chunk_index::INT AS chunk_index, regexp_replace(array_to_string(l[a + 1:z], ' '), '^\s+|\s+$', '', 'g') AS text, a::INT AS start_segment, (z - 1)::INT AS end_segment FROM w JOIN e USING (doc_id)"""
+_END = "greatest({a} + 1, coalesce(list_max(list_filter(range({a} + 1, n + 1), lambda z: p[z + 1] - p[{a} + 1] + (z - {a} - 1) <= 1200)), 0))"
 ORACLE = {
+    "greedy_one_to_one": f"{_GREEDY} SELECT run, l_suppkey, l_partkey, score FROM p JOIN w USING (run, n) WHERE took",
+    "document_chunks": _CHUNKED.replace("{end0}", _END.replace("{a}", "0")).replace("{end}", _END.replace("{a}", "a")),
     "citation_spans": f"WITH {_SPANS} SELECT p.event_id AS citation, v.event_id AS chunk FROM sp p JOIN sp v ON p.video = v.video AND p.event_type = 'purchase' AND v.event_type = 'view' AND p.start BETWEEN v.start - 20 AND v.stop + 20",
     "nearest_reference": f"WITH {_SPANS} SELECT citation, chunk, gap FROM (SELECT p.event_id AS citation, v.event_id AS chunk, abs(p.start - v.start) AS gap, row_number() OVER (PARTITION BY p.event_id ORDER BY abs(p.start - v.start), v.start, v.event_id) AS r FROM sp p JOIN sp v ON p.video = v.video AND p.event_type = 'purchase' AND v.event_type = 'view' AND abs(p.start - v.start) <= 3600) WHERE r = 1",
     "exclusive_evidence": "SELECT min(l_suppkey) AS l_suppkey, l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) = 1",
@@ -181,8 +193,7 @@ ORACLE = {
     "one_hop": f"WITH {_EDGES}, seeds AS (SELECT 's' || s_suppkey AS node FROM supplier WHERE s_nationkey = 3) SELECT node, min(hops)::INT AS hops FROM (SELECT node, 0 AS hops FROM seeds UNION ALL SELECT b, 1 FROM edges JOIN seeds ON a = node UNION ALL SELECT a, 1 FROM edges JOIN seeds ON b = node) GROUP BY node",
     "conflict_candidates": """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
       s AS (SELECT a.vec_id AS p, a.label AS lp, b.vec_id AS q, b.label AS lq, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE a.vec_id <> b.vec_id),
-      n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY score DESC, q) AS r FROM s WHERE score >= 0.1) WHERE r <= 64),
-      k AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY score DESC, q) AS t FROM n WHERE score <= 0.97 AND lp <> lq)
+      k AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY score DESC, q) AS t FROM s WHERE score BETWEEN 0.1 AND 0.97 AND lp <> lq)
       SELECT least(p, q) AS a, greatest(p, q) AS b, max(score) AS similarity FROM k WHERE t <= 4 GROUP BY ALL""",
     "plain_sections": r"""WITH c AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id),
       b AS (SELECT conv_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM c)

@@ -29,8 +29,9 @@ def cosine_search(spark, sf_dir):
 
 def _lists(spark, sf_dir, k=30):
     docs, items = _docs(spark, sf_dir), _items(spark, sf_dir)
-    one = retrieval.bm25(docs, items, k=k).withColumn("list", F.lit(0))
-    two = retrieval.term_cosine(docs, items, k=k).withColumn("list", F.lit(1))
+    index = retrieval.lexical_index(docs)
+    one = retrieval.bm25(docs, items, k=k, index=index).withColumn("list", F.lit(0))
+    two = retrieval.term_cosine(docs, items, k=k, index=index).withColumn("list", F.lit(1))
     return one.unionByName(two)
 
 
@@ -126,13 +127,8 @@ def dense_with_floor(spark, sf_dir):
 
 def dense_by_label(spark, sf_dir):
     """Three of each label, then the best ten of those."""
-    from pyspark.sql import Window
-
-    all_hits = retrieval.dense(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), "vec_id", "embedding", 1 << 30).drop("rank")
-    labelled = all_hits.join(_vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), "label"), "id")
-    order = Window.partitionBy("query_id", "label").orderBy(F.col("score").desc(), "id")
-    few = labelled.withColumn("n", F.row_number().over(order)).where("n <= 3").drop("n")
-    return retrieval.ranked(few, "score", "id", 10)
+    few = retrieval.dense(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), "vec_id", "embedding", 3, group_col="label", groups="each")
+    return retrieval.ranked(few.drop("rank").withColumnRenamed("group", "label"), "score", "id", 10)
 
 
 def knn_graph(spark, sf_dir):

@@ -75,7 +75,7 @@ def _votes(spark, sf_dir):
 
 
 def vote_tally(spark, sf_dir):
-    return metrics.tally(_votes(spark, sf_dir)).drop("chance")
+    return metrics.tally(_votes(spark, sf_dir)).withColumn("chance", F.round("chance", 6))
 
 
 def vote_histogram(spark, sf_dir):
@@ -111,16 +111,17 @@ def theme_statistics(spark, sf_dir):
 
 
 def set_digest(spark, sf_dir):
-    """One digest of the document ids of each source and language, in order of the ids."""
-    docs = table(spark, sf_dir, "documents")
-    ids = F.array_join(F.transform(F.array_sort(F.collect_set("doc_id")), lambda x: x.cast("string")), ",")
-    return docs.groupBy("source", "lang").agg(F.substring(F.sha2(F.concat(ids, F.lit("|"), F.count("*").cast("string")), 256), 1, 16).alias("digest"))
+    """One digest of the document ids of each source and language, whatever their order: nothing is gathered."""
+    docs = table(spark, sf_dir, "documents").select("source", "lang", "doc_id").distinct()
+    mark = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+    return docs.groupBy("source", "lang").agg(F.bit_xor(mark).alias("mark"), F.count("*").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (corpus_listing, channel_rollup, domain_mix, top_creator, leaderboard, matrix_pivot, run_summary, run_diff, vote_tally, vote_histogram, consensus, recall_spread, ingestion_counters, coverage_profile, theme_statistics, set_digest)}
 
 _CELLS = """cells AS (SELECT 'line' || l_linenumber AS setup, l_suppkey AS entry, CASE WHEN max(l_returnflag) <> 'A' THEN round(avg(l_discount::DOUBLE), 6) END AS score, max(l_quantity::DOUBLE) AS seconds, count(*) AS tokens FROM lineitem GROUP BY ALL)"""
 _VOTES = "votes AS (SELECT user_id % 997 AS pair, event_id AS attempt, CASE event_type WHEN 'click' THEN 'conflict' WHEN 'view' THEN 'unrelated' WHEN 'purchase' THEN 'complementary' END AS verdict FROM events)"
+_CHANCE = "round(coalesce(list_sum(list_transform(list_filter(range(1, count(*) + 1), lambda k: 2 * k > count(*)), lambda k: exp(lgamma(count(*) + 1) - lgamma(k + 1) - lgamma(count(*) - k + 1)) * pow(count(*) FILTER (verdict = 'conflict') / count(*), k) * pow(1 - count(*) FILTER (verdict = 'conflict') / count(*), count(*) - k))), 0), 6)"
 _SPREAD = "(SELECT {g}, min(v) AS low, max(CASE WHEN i = floor(n / 2)::BIGINT + 1 THEN v END) AS median, max(v) AS high FROM (SELECT {g}, {v} AS v, row_number() OVER (PARTITION BY {g} ORDER BY {v}) AS i, count(*) OVER (PARTITION BY {g}) AS n FROM {t} WHERE {v} IS NOT NULL) GROUP BY {g})"
 
 ORACLE = {
@@ -135,12 +136,12 @@ ORACLE = {
     "matrix_pivot": "SELECT l_returnflag, " + ", ".join(f'round(avg(l_extendedprice::DOUBLE) FILTER (l_linenumber = {m}), 2) AS "{m}"' for m in range(1, 8)) + " FROM lineitem GROUP BY l_returnflag",
     "run_summary": "SELECT o_orderpriority, count(*) AS n, count(v) AS answered, round(avg(v), 2) AS mean FROM (SELECT o_orderpriority, CASE WHEN o_orderstatus <> 'O' THEN o_totalprice::DOUBLE END AS v FROM orders) GROUP BY GROUPING SETS ((), (o_orderpriority))",
     "run_diff": f"WITH {_CELLS} SELECT *, CASE WHEN change > 0.02 THEN 'better' WHEN change < -0.02 THEN 'worse' ELSE 'same' END AS verdict FROM (SELECT a.entry, a.score AS before, b.score AS after, round(b.score - a.score, 6) AS change FROM cells a JOIN cells b ON a.entry = b.entry AND a.setup = 'line1' AND b.setup = 'line2' WHERE a.score IS NOT NULL AND b.score IS NOT NULL)",
-    "vote_tally": f"WITH {_VOTES} SELECT pair, count(*)::INT AS n, (count(*) FILTER (verdict = 'conflict'))::INT AS conflict, count(*) FILTER (verdict IS NULL) AS errors, 2 * count(*) FILTER (verdict = 'conflict') > count(*) AS carried, count(DISTINCT verdict) = 1 AND count(verdict) = count(*) AS unanimous, 3 * count(*) FILTER (verdict = 'conflict') >= count(*) AND 3 * count(*) FILTER (verdict = 'conflict') < 2 * count(*) AS undecided, min(attempt) FILTER (verdict = 'conflict') AS first_conflict FROM votes GROUP BY pair",
+    "vote_tally": f"WITH {_VOTES} SELECT pair, count(*)::INT AS n, (count(*) FILTER (verdict = 'conflict'))::INT AS conflict, count(*) FILTER (verdict IS NULL) AS errors, 2 * count(*) FILTER (verdict = 'conflict') > count(*) AS carried, count(DISTINCT verdict) = 1 AND count(verdict) = count(*) AS unanimous, 3 * count(*) FILTER (verdict = 'conflict') >= count(*) AND 3 * count(*) FILTER (verdict = 'conflict') < 2 * count(*) AS undecided, min(attempt) FILTER (verdict = 'conflict') AS first_conflict, {_CHANCE} AS chance FROM votes GROUP BY pair",
     "vote_histogram": f"WITH {_VOTES} SELECT n::INT AS n, conflict::INT AS conflict, count(*) AS pairs FROM (SELECT count(*) AS n, count(*) FILTER (verdict = 'conflict') AS conflict FROM votes GROUP BY pair) GROUP BY ALL",
     "consensus": f"WITH {_VOTES} SELECT pair AS criterion, nullif(key, '') AS choice, n AS votes FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY n DESC, key DESC) AS r FROM (SELECT pair, coalesce(verdict, '') AS key, count(*) AS n FROM votes GROUP BY ALL)) WHERE r = 1",
     "recall_spread": "SELECT * FROM " + _SPREAD.format(g="event_type", v="round(value, 4)", t="events"),
     "ingestion_counters": "SELECT *, CASE WHEN errors > 0 THEN 'failed' ELSE 'done' END AS status FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY ALL)",
     "coverage_profile": "SELECT source, count(*) AS chunks, count(r) AS read, count(*) - count(r) AS unread FROM documents LEFT JOIN (SELECT DISTINCT doc_id, 1 AS r FROM labels) USING (doc_id) GROUP BY source",
     "theme_statistics": "SELECT count(*) AS themes, max(n) AS largest, min(n) AS smallest, count(*) FILTER (n >= 20) AS large, round(avg(n), 4) AS mean FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label)",
-    "set_digest": "SELECT source, lang, substr(sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) || '|' || count(*)), 1, 16) AS digest FROM documents GROUP BY source, lang",
+    "set_digest": "SELECT source, lang, bit_xor(('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT) AS mark, count(*) AS n FROM (SELECT DISTINCT source, lang, doc_id FROM documents) GROUP BY source, lang",
 }

@@ -16,11 +16,11 @@ def text_tokens(spark, sf_dir):
 def text_identities(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     chunk = tx.chunk_id(F.col("source"), F.col("doc_id"))
-    return docs.select("doc_id", chunk.alias("chunk"), tx.chunk_index(chunk).alias("index"), tx.chunk_source(chunk).alias("from_source"), tx.slug(F.substring("text", 1, 60)).alias("slug"), tx.claim_id(chunk, F.col("text")).alias("claim"), tx.document_id(F.concat(F.lit("https://x.example/"), F.col("doc_id"))).alias("document"))
+    return docs.select("doc_id", chunk.alias("chunk"), tx.chunk_index(chunk).alias("index"), tx.chunk_source(chunk).alias("from_source"), tx.slug(F.col("text")).alias("slug"), tx.claim_id(chunk, F.col("text")).alias("claim"), tx.document_id(F.concat(F.lit("https://x.example/"), F.col("doc_id"))).alias("document"))
 
 
 def text_previews(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x{10FFFF}]"))
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", tx.clipped(F.col("text"), 220).alias("clipped"), tx.clipped(F.col("text"), 400).alias("traced"))
 
 
@@ -40,7 +40,7 @@ def page_urls(spark, sf_dir):
 
 
 def query_normal_forms(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", tx.normal_query(F.col("text")).alias("normal"), F.levenshtein(F.regexp_replace("text", "[^a-z]", ""), F.regexp_replace(F.substring("text", 2, 10_000), "[^a-z]", "")).cast("long").alias("edits"))
+    return table(spark, sf_dir, "benchmark").select("item_id", tx.normal_query(F.col("text")).alias("normal"), F.levenshtein(F.regexp_replace("text", "[^a-z]", ""), F.regexp_replace(F.expr("substring(text, 2)"), "[^a-z]", "")).cast("long").alias("edits"))
 
 
 def event_props(spark, sf_dir):
@@ -61,9 +61,22 @@ QUERIES = {f.__name__: f for f in (text_tokens, text_identities, text_previews,
 
 _CHUNK = "'chunk:' || source || ':' || doc_id"
 _TS = "CASE WHEN {s} IS NULL THEN 'unknown' ELSE CASE WHEN floor(greatest({s}, 0)) >= 3600 THEN lpad(CAST(floor(floor(greatest({s}, 0)) / 3600)::INT AS VARCHAR), 2, '0') || ':' ELSE '' END || lpad(CAST(floor(floor(greatest({s}, 0)) / 60)::INT % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(floor(greatest({s}, 0))::INT % 60 AS VARCHAR), 2, '0') END"
-_SIGNAL = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in tx.CORPUS_WIDE) + " END"
-_BARE = r"regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')"
-_STATES = f"{_BARE} <> '' AND NOT ends_with({_BARE}, '?') AND NOT regexp_matches(lower({_BARE}), '{tx.QUESTION_LEAD}')"
+_EDGE = r"[^\p{L}\p{M}\p{N}_]"
+
+
+def _unicode(pattern: str) -> str:
+    """A pattern for an engine whose word boundaries and classes know ASCII only: boundaries, which begin and end alternatives in turn, are spelt out."""
+    parts = pattern.split(r"\b")
+    starts = pattern.startswith("^")
+    out = parts[0]
+    for i, x in enumerate(parts[1:]):
+        out += (f"(?:{_EDGE}|$)" if (i % 2 == 0) == starts else f"(?:^|{_EDGE})") + x
+    return out.replace(r"\w", r"[\p{L}\p{M}\p{N}_]").replace(r"[\s,]", r"[\s\p{Z},]").replace(r"\s", r"[\s\p{Z}]").replace(r"[[\s\p{Z}]\p{Z},]", r"[\s\p{Z},]")
+
+
+_SIGNAL = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{_unicode(p)}') THEN '{n}'" for n, p in tx.CORPUS_WIDE) + " END"
+_BARE = r"regexp_replace(coalesce(text, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
+_STATES = f"{_BARE} <> '' AND NOT ends_with({_BARE}, '?') AND NOT regexp_matches(lower({_BARE}), '{_unicode(tx.QUESTION_LEAD)}')"
 _URLS = r"list_transform(regexp_extract_all({t}, 'https?://[^\s<>\"'')\]]+'), lambda u: regexp_replace(u, '[.,;:!?]+$', ''))"
 _HOST = r"lower(regexp_extract({u}, '^https?://(?:www\.)?([^/?#:]+)', 1))"
 _DOC = "list_filter(" + _URLS + ", lambda u: " + _HOST.format(u="u") + " NOT IN ('youtube.com', 'm.youtube.com', 'youtu.be', 'music.youtube.com'))[1]"
@@ -74,14 +87,14 @@ _HITS = {n: f"len(list_intersect(list_distinct({_DT}), [{', '.join(repr(x) for x
 ORACLE = {
     "text_tokens": f"SELECT doc_id, len({_DT}) AS n, len(list_distinct({_DT})) AS kinds, len(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS quoted, ceil(length(text) / 4)::BIGINT AS estimate FROM documents",
     "text_identities": f"""SELECT doc_id, {_CHUNK} AS chunk, doc_id AS index, source AS from_source,
-      coalesce(nullif(regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'unknown') AS slug,
+      coalesce(nullif(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'unknown') AS slug,
       'claim:' || substr(sha256({_CHUNK} || chr(10) || trim(text)), 1, 16) AS claim, 'doc:' || substr(sha256('https://x.example/' || doc_id), 1, 16) AS document FROM documents""",
-    "text_previews": "SELECT doc_id, CASE WHEN length(text) > 220 THEN substr(text, 1, 220) || '…' ELSE text END AS clipped, CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '…' ELSE text END AS traced FROM documents WHERE text IS NOT NULL",
+    "text_previews": "SELECT doc_id, CASE WHEN length(text) > 220 THEN substr(text, 1, 220) || '…' ELSE text END AS clipped, CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '…' ELSE text END AS traced FROM documents",
     "text_headers": f"SELECT doc_id, '[' || concat_ws(' — ', source, nullif(lang, 'en')) || ' @ ' || {_TS.format(s='(doc_id * 7.5::DOUBLE)')} || '-' || {_TS.format(s='(doc_id * 7.5::DOUBLE + n_chars / 10)')} || ']' AS header, {_TS.format(s='(doc_id * 7.5::DOUBLE - 100)')} AS at FROM documents",
     "text_signals": rf"""SELECT doc_id, {_SIGNAL} AS signal, {_STATES} AS states,
       len({_URLS.format(t='text')}) AS urls, {_DOC.format(t='text')} AS url FROM documents""",
     "page_urls": f"SELECT page_id, array_to_string({_URLS.format(t=_SAID)}, ' ') AS urls, {_DOC.format(t=_SAID)} AS document, {_HOST.format(u='url')} AS host, 'abcdefghijk' AS video FROM pages",
-    "query_normal_forms": r"SELECT item_id, regexp_replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '[\s?.!,;:]+$', '') AS normal, levenshtein(regexp_replace(text, '[^a-z]', '', 'g'), regexp_replace(substr(text, 2, 10000), '[^a-z]', '', 'g')) AS edits FROM benchmark",
+    "query_normal_forms": r"SELECT item_id, regexp_replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '[\s?.!,;:]+$', '') AS normal, levenshtein(regexp_replace(text, '[^a-z]', '', 'g'), regexp_replace(substr(text, 2), '[^a-z]', '', 'g')) AS edits FROM benchmark",
     "event_props": "SELECT event_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, value / 100)) AS weight, strftime(ts, '%Y-%m-%d') AS day, round(value / nullif(user_id % 7, 0), 4) AS ratio FROM events",
     "language_domains": f"""SELECT doc_id, CASE WHEN m = 0 THEN 'other' WHEN en = m THEN 'en' WHEN fr = m THEN 'fr' WHEN de = m THEN 'de' ELSE 'es' END AS domain, m AS hits
       FROM (SELECT *, greatest(en, fr, de, es) AS m FROM (SELECT doc_id, {', '.join(f'{q} AS {n}' for n, q in _HITS.items())} FROM documents))""",
