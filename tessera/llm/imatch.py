@@ -2,8 +2,9 @@
 
 Terms whose inverse document frequency lies in a band form the lexicon. Of the
 distinct terms that a text has in it, sorted, those in each of twenty-four
-randomised subsets are joined and hashed: three subsets each hold from a half
-down to a 256th of all terms. Each hash is one 32-bit part of the fingerprint.
+randomised subsets are hashed one after the other: three subsets each hold from
+a half down to a 256th of all terms. Each hash gives a 32-bit part of the
+fingerprint.
 Sparse subsets survive more edits, dense ones tell short texts apart.
 """
 
@@ -33,7 +34,7 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(texts: DataFrame, text_col: str = "text", rarest: float = RAREST, commonest: float = COMMONEST) -> DataFrame:
-    """``(term)`` of the terms in the band. Every text counts; a group of equal ones counts once, so that its copies cannot push its terms out of the band."""
+    """``(term, drawn)`` of the terms in the band, with the subsets that each is in as bits. Every text counts; a group of equal ones counts once, so that its copies cannot push its terms out of the band."""
     h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     groups = checkpointed(texts.select(h.alias("h")).groupBy("h").agg(F.count("*").alias("n")))
     n = groups.count()
@@ -43,15 +44,17 @@ def lexicon(texts: DataFrame, text_col: str = "text", rarest: float = RAREST, co
     terms_of = each.select(F.explode(terms(F.col("text"))).alias("term"), (F.lit(1.0) / F.coalesce("n", F.lit(1))).alias("weight"))
     # rounded, so that the order of summing does not matter
     df = terms_of.groupBy("term").agg(F.round(F.sum("weight"), 6).alias("df"))
-    return df.where((F.col("df") >= rarest * n) & (F.col("df") <= max(1.0, commonest * n))).select("term")
+    drawn = F.lit(0)
+    for k in range(PARTS):
+        mask = (1 << (k // PER_LEVEL + 1)) - 1
+        drawn = drawn + F.when(F.xxhash64(F.lit(101 + k), "term").bitwiseAND(F.lit(mask)) == 0, 1 << k).otherwise(0)
+    return df.where((F.col("df") >= rarest * n) & (F.col("df") <= max(1.0, commonest * n))).select("term", drawn.cast("int").alias("drawn"))
 
 
-def part(sorted_terms: Column, k: int) -> Column:
-    """The k-th part of a fingerprint in eight hexadecimal digits: the hash of the terms in the k-th subset, zero if there are none."""
-    mask = F.lit((1 << (k // PER_LEVEL + 1)) - 1)
-    drawn = F.filter(sorted_terms, lambda t: F.xxhash64(F.lit(101 + k), t).bitwiseAND(mask) == 0)
-    digest = F.substring(F.lpad(F.hex(F.xxhash64(F.lit(k), F.array_join(drawn, " "))), 16, "0"), 1, 8)
-    return F.when(F.size(drawn) == 0, "0" * 8).otherwise(digest)
+def digest(sorted_terms: Column, k: int) -> Column:
+    """Of an array of ``(term, drawn)``, the 64-bit hash of those in the k-th subset one after the other; zero if there are none."""
+    h = F.xxhash64(F.filter(sorted_terms, lambda t: t["drawn"].bitwiseAND(F.lit(1 << k)) != 0))
+    return F.nullif(h, F.xxhash64(F.array().cast("array<string>")))
 
 
 def fingerprints(rows: DataFrame, text_cols: list[str], words: DataFrame) -> DataFrame:
@@ -65,18 +68,18 @@ def fingerprints(rows: DataFrame, text_cols: list[str], words: DataFrame) -> Dat
     plain = [F.xxhash64(F.coalesce(F.col(c), F.lit(""))).alias(f"__x_{c}") for c in text_cols]
     texts = [F.struct(F.lit(i).alias("side"), F.coalesce(F.col(c), F.lit("")).alias("text")) for i, c in enumerate(text_cols)]
     small = words.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    known = words.withColumn("__known", F.lit(True))
     sided = rows.select(*keys, *plain, F.explode(F.array(*texts)).alias("__t"))
     # an empty term keeps rows that have none, and counts repeated ones
     each = sided.select("*", F.explode(F.concat(F.array(F.lit("")), terms(F.col("__t.text")))).alias("term"), F.col("__t.side").alias("__side")).drop("__t")
-    joined = each.join(F.broadcast(known) if small else known, "term", "left").where((F.col("term") == "") | F.col("__known"))
-    own = lambda i: F.when((F.col("__side") == i) & (F.col("term") != ""), F.col("term"))
+    joined = each.join(F.broadcast(words) if small else words, "term", "left").where((F.col("term") == "") | F.col("drawn").isNotNull())
+    own = lambda i: F.when((F.col("__side") == i) & (F.col("term") != ""), F.struct("term", "drawn"))
     # no row number is needed: rows that agree in all this have the same fingerprints
     found = joined.groupBy(*keys, *(f"__x_{c}" for c in text_cols)).agg(
         *(F.sort_array(F.collect_set(own(i))).alias(f"__s{i}") for i in range(len(text_cols))),
         F.count_if((F.col("__side") == 0) & (F.col("term") == "")).alias("__n"),
     )
-    shown = [F.concat(*(part(F.col(f"__s{i}"), k) for k in range(PARTS))).alias(f"__p{i}") for i in range(len(text_cols))]
+    upper = lambda h: F.lpad(F.hex(F.shiftrightunsigned(F.coalesce(h, F.lit(0).cast("long")), 32)), 8, "0")
+    shown = [F.concat(*(upper(digest(F.col(f"__s{i}"), k)) for k in range(PARTS))).alias(f"__p{i}") for i in range(len(text_cols))]
     parts = found.select(*keys, *(f"__x_{c}" for c in text_cols), "__n", *shown)
     whole = lambda c: F.repeat(F.lpad(F.hex(f"__x_{c}"), 16, "0"), PARTS // 2)
     out = [F.unhex(F.when(F.col(f"__p{i}") == "0" * 8 * PARTS, whole(c)).otherwise(F.col(f"__p{i}"))).alias(f"{c}_fp") for i, c in enumerate(text_cols)]

@@ -215,7 +215,6 @@ def test_edit_report(spark):
 def test_fingerprints_are_those_of_a_plain_walk(spark):
     hot = prose(900, 60)
     texts = [*ODD, *[hot] * 40, *(prose(i, 80) + " " + hot[: 5 * (i % 7)] for i in range(50, 110))]
-    h = lambda *x: F.xxhash64(*x)
     split = lambda t: {w for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").lower()) if w}
     distinct = {t or "" for t in texts}
     df = {}
@@ -224,17 +223,19 @@ def test_fingerprints_are_those_of_a_plain_walk(spark):
             df[w] = df.get(w, 0) + 1
     band = {w for w, n in df.items() if n >= imatch.RAREST * len(distinct) and n <= max(1.0, imatch.COMMONEST * len(distinct))}
     assert split(hot) & band
-    drawn = {(r.w, k): r[f"d{k}"] for r in spark.createDataFrame([(w,) for w in band], "w string").select("w", *(h(F.lit(101 + k), "w").alias(f"d{k}") for k in range(imatch.PARTS))).collect() for k in range(imatch.PARTS)}
-    wanted, joined = {}, set()
+    hit = lambda w, k: xxhash.xxh64_intdigest(w.encode(), xxhash.xxh64_intdigest((101 + k).to_bytes(4, "little"), 42)) % 2 ** (k // imatch.PER_LEVEL + 1) == 0
+    drawn = lambda w: sum(hit(w, k) << k for k in range(imatch.PARTS))
+    wanted = {}
     for i, t in enumerate(texts):
         for k in range(imatch.PARTS):
-            own = " ".join(w for w in sorted(split(t) & band, key=lambda w: w.encode()) if drawn[w, k] % 2 ** (k // imatch.PER_LEVEL + 1) == 0)
-            wanted[i, k] = own
-            joined.add((k, own))
-    hashed = {(r.k, r.s): r.x for r in spark.createDataFrame(list(joined), "k int, s string").select("k", "s", F.hex(h("k", "s")).alias("x")).collect()}
+            state = 42
+            for w in sorted(split(t) & band, key=lambda w: w.encode()):
+                if drawn(w) >> k & 1:
+                    state = xxhash.xxh64_intdigest(drawn(w).to_bytes(4, "little"), xxhash.xxh64_intdigest(w.encode(), state))
+            wanted[i, k] = 0 if state == 42 else state
     rows = {r.doc_id: r for r in imatch.edit_report(docs(spark, texts)).collect()}
     for i in range(len(texts)):
-        parts = [hashed[k, wanted[i, k]].zfill(16)[:8].lower() if wanted[i, k] else "0" * 8 for k in range(imatch.PARTS)]
+        parts = [f"{wanted[i, k] >> 32:08x}" for k in range(imatch.PARTS)]
         if any(p != "0" * 8 for p in parts):
             assert rows[i].fingerprint == "".join(parts)
         other = rows[(i + 1) % len(texts)].fingerprint
