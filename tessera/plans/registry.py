@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import claims, corpus, critique, decisions, links, packs, references, retrieval, rollups, scalars
+from tessera.plans import claims, context, corpus, critique, decisions, links, packs, references, retrieval, rollups, scalars, units
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retrieval, scalars, rollups, links, decisions, packs, corpus, claims, references, critique)
+MODULES = (retrieval, scalars, rollups, links, decisions, packs, corpus, claims, references, critique, units, context)
 
 
 def queries() -> dict[str, Query]:
