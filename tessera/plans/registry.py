@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import claims, context, contracts, corpus, critique, decisions, links, packs, references, retrieval, rollups, scalars, themes, units, walks
+from tessera.plans import claims, composites, context, contracts, corpus, critique, decisions, links, packs, references, retrieval, rollups, scalars, themes, units, walks
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retrieval, scalars, rollups, links, decisions, packs, corpus, claims, references, critique, units, context, walks, contracts, themes)
+MODULES = (retrieval, scalars, rollups, links, decisions, packs, corpus, claims, references, critique, units, context, walks, contracts, themes, composites)
 
 
 def queries() -> dict[str, Query]:
