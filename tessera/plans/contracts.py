@@ -137,7 +137,7 @@ vv AS (SELECT document, rule, arg_min(verdict, seat) AS verdict, arg_min(severit
 _MMSS = "lpad((floor({s} / 60)::INT % 60)::VARCHAR, 2, '0') || ':' || lpad((({s})::INT % 60)::VARCHAR, 2, '0')"
 _AT = "CASE WHEN {s} IS NULL THEN 'unknown' WHEN {s} >= 3600 THEN '01:' || " + _MMSS + " ELSE " + _MMSS + " END"
 ORACLE = {
-    "extraction_contract": "SELECT doc_id, CASE WHEN b THEN 0 ELSE 2 END AS entities, CASE WHEN b THEN 0 ELSE 1 END AS relations, CASE WHEN b OR trim(split_part(text, chr(10), 1)) = '' THEN 0 ELSE 1 END AS claims, CASE WHEN b THEN 'unreadable' END AS error FROM (SELECT *, doc_id % 5 = 0 AS b FROM documents)",
+    "extraction_contract": "SELECT doc_id, (CASE WHEN b THEN 0 ELSE 2 END)::BIGINT AS entities, (CASE WHEN b THEN 0 ELSE 1 END)::BIGINT AS relations, (CASE WHEN b OR trim(split_part(text, chr(10), 1)) = '' THEN 0 ELSE 1 END)::BIGINT AS claims, CASE WHEN b THEN 'unreadable' END AS error FROM (SELECT *, doc_id % 5 = 0 AS b FROM documents)",
     "verdict_contract": f"WITH {_VERDICTS} SELECT * FROM vv",
     "verdict_findings": f"WITH {_VERDICTS} SELECT document, 'finding:' || rule AS finding, rule, reason AS detail FROM vv WHERE verdict = 'fail'",
     "probe_contract": """WITH p AS (SELECT c_custkey AS unit, CASE WHEN c_custkey % 4 = 0 THEN ['who ' || c_custkey % 7] WHEN c_custkey % 4 = 1 THEN []::VARCHAR[] WHEN c_custkey % 3 = 1 THEN ['why 1', 'how ' || c_custkey % 2, 'a', 'b', 'c'] ELSE ['why ' || c_custkey % 3, 'WHY 1', 'how ' || c_custkey % 2, 'a', 'b'] END AS l FROM customer)

@@ -150,7 +150,7 @@ ORACLE = {
       av AS (SELECT cell, conflict FROM con JOIN had ON chunk = conflict * 2 WHERE (cell, conflict * 2 + 1) IN (SELECT (cell, chunk) FROM had)),
       na AS (SELECT DISTINCT cell, conflict FROM con JOIN cf ON chunk = conflict * 2 WHERE (finding, conflict * 2 + 1) IN (SELECT (finding, chunk) FROM cf) AND (cell, conflict) IN (SELECT (cell, conflict) FROM av))
       SELECT cell, coalesce(a, 0) AS available, coalesce(n, 0) AS named, round(coalesce(n, 0) / a, 4) AS coverage FROM (SELECT DISTINCT cell FROM fin) LEFT JOIN (SELECT cell, count(*) AS a FROM av GROUP BY cell) USING (cell) LEFT JOIN (SELECT cell, count(*) AS n FROM na GROUP BY cell) USING (cell)""",
-    "group_recall": f"WITH {_BASE} SELECT cell, count(DISTINCT criterion % 6) AS reached, 6 AS total, round(count(DISTINCT criterion % 6) / 6, 4) AS recall FROM mat JOIN fin USING (finding) GROUP BY cell",
+    "group_recall": f"WITH {_BASE} SELECT cell, count(DISTINCT criterion % 6) AS reached, 6::BIGINT AS total, round(count(DISTINCT criterion % 6) / 6, 4) AS recall FROM mat JOIN fin USING (finding) GROUP BY cell",
     "critique_scores": f"""WITH {_BASE}, h AS (SELECT cell, count(DISTINCT criterion) AS hit FROM mat JOIN gro USING (finding) WHERE grounded GROUP BY cell), l AS (SELECT cell, count(DISTINCT criterion) AS loose FROM mat JOIN fin USING (finding) GROUP BY cell),
       p AS (SELECT cell, round(count(*) FILTER (grounded) / count(*), 4) AS p FROM gro GROUP BY cell), v AS (SELECT cell, round(count(*) FILTER ((finding, chunk) IN (SELECT (finding, chunk) FROM ret)) / count(*), 4) AS v FROM cit JOIN fin USING (finding) GROUP BY cell)
       SELECT cell, without = 0 AS gradable, CASE WHEN without = 0 THEN round(coalesce(hit, 0) / 20, 4) END AS criteria_recall, CASE WHEN without = 0 THEN p END AS evidence_precision, CASE WHEN without = 0 THEN v END AS provenance, round(coalesce(loose, 0) / 20, 4) AS ungated_recall, p AS ungated_precision

@@ -98,8 +98,8 @@ ORACLE = {
     "context_merge": f"WITH {_CALLS} SELECT session AS answer, chunk, row_number() OVER (PARTITION BY session ORDER BY min(call * 10 + place), chunk) AS position FROM c GROUP BY session, chunk",
     "hit_pool": """WITH l AS (SELECT l_suppkey % 40 AS query_id, l_linenumber AS list, l_orderkey % 300 AS rank, l_partkey % 200 AS doc FROM lineitem), f AS (SELECT query_id, doc, min(list * 1000 + rank) AS seen FROM l GROUP BY ALL)
       SELECT query_id, doc, (seen // 1000)::INT AS list, seen % 1000 AS rank, row_number() OVER (PARTITION BY query_id ORDER BY seen, doc) AS position FROM f""",
-    "resolvable_hits": f"WITH {_R} SELECT answer AS query_id, place AS rank, chunk AS doc FROM r WHERE chunk % 3 > 0 AND chunk % 5 > 0",
-    "null_reranked": f"WITH {_R}, k AS (SELECT * FROM r WHERE place <= 5) SELECT answer AS query_id, place AS rank, chunk AS doc, (max(place) OVER (PARTITION BY answer) - place + 1)::DOUBLE AS score FROM k",
+    "resolvable_hits": f"WITH {_R} SELECT answer AS query_id, place::BIGINT AS rank, chunk AS doc FROM r WHERE chunk % 3 > 0 AND chunk % 5 > 0",
+    "null_reranked": f"WITH {_R}, k AS (SELECT * FROM r WHERE place <= 5) SELECT answer AS query_id, place::BIGINT AS rank, chunk AS doc, (max(place) OVER (PARTITION BY answer) - place + 1)::DOUBLE AS score FROM k",
     "context_savings": "SELECT doc_id, a AS full_tokens, b AS short_tokens, coalesce(round(100.0::DOUBLE * (a - b) / nullif(a, 0), 2), 0) AS saved FROM (SELECT doc_id, ceil(length(text) / 4)::BIGINT AS a, ceil(length(split_part(text, chr(10), 1)) / 4)::BIGINT AS b FROM documents)",
     "prompt_contexts": f"WITH {_R} SELECT answer, string_agg('[' || place || '] ' || CASE WHEN chunk % 2 = 0 THEN '[head]' || chr(10) ELSE '' END || chunk, chr(10) || chr(10) ORDER BY place) AS context FROM r GROUP BY answer",
 }
