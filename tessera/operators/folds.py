@@ -75,8 +75,10 @@ def select_within(sizes: list[int], order: list[int], budget: int) -> list[int]:
 
 def round_robin(rows: DataFrame, group: str, member: str, order: str, limit: int) -> DataFrame:
     """Up to ``limit`` rows of each group: the first of each member, then the second of each, members with more rows first, then by name."""
-    sized = rows.withColumn("__n", F.count("*").over(Window.partitionBy(group, member)))
-    deep = sized.withColumn("depth", F.row_number().over(Window.partitionBy(group, member).orderBy(order)).cast("long"))
+    sizes = rows.groupBy(group, member).agg(F.count("*").alias("__n"))
+    # a member's rows beyond the limit are never taken, so that each task drops them before the shuffle
+    first = rows.withColumn("depth", F.row_number().over(Window.partitionBy(group, member).orderBy(order))).where(F.col("depth") <= limit)
+    deep = first.withColumn("depth", F.col("depth").cast("long")).join(sizes, [group, member])
     place = F.row_number().over(Window.partitionBy(group).orderBy("depth", F.col("__n").desc(), member))
     return deep.withColumn("position", place).where(F.col("position") <= limit).withColumn("position", F.col("position").cast("long")).drop("__n")
 

@@ -49,10 +49,12 @@ def greedy_one_to_one(spark, sf_dir):
 
 
 def orders_fully_retrieved(spark, sf_dir):
-    """Orders all of whose parts a customer segment's own parts hold: relational division over nations."""
-    wanted = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("conflict"), F.col("l_linenumber").alias("chunk"))
-    have = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("finding"), F.col("l_linenumber").alias("chunk"))
-    return joins.contains_all(wanted, have.join(table(spark, sf_dir, "supplier").where("s_nationkey < 5").select(F.col("s_suppkey").alias("finding")), "finding", "left_semi"), "conflict", "chunk", "finding").groupBy("finding").agg(F.count("*").alias("conflicts"))
+    """How many orders each supplier of a few nations could fill alone: relational division over parts."""
+    li = table(spark, sf_dir, "lineitem")
+    wanted = li.select(F.col("l_orderkey").alias("conflict"), F.col("l_partkey").alias("chunk"))
+    some = table(spark, sf_dir, "supplier").where("s_nationkey < 5").select(F.col("s_suppkey").alias("finding"))
+    have = li.where("l_quantity >= 5").select(F.col("l_suppkey").alias("finding"), F.col("l_partkey").alias("chunk")).join(some, "finding", "left_semi")
+    return joins.contains_all(wanted, have, "conflict", "chunk", "finding").groupBy("finding").agg(F.count("*").alias("conflicts"))
 
 
 def rubric_change(spark, sf_dir):
@@ -182,7 +184,7 @@ ORACLE = {
     "nearest_reference": f"WITH {_SPANS} SELECT citation, chunk, gap FROM (SELECT p.event_id AS citation, v.event_id AS chunk, abs(p.start - v.start) AS gap, row_number() OVER (PARTITION BY p.event_id ORDER BY abs(p.start - v.start), v.start, v.event_id) AS r FROM sp p JOIN sp v ON p.video = v.video AND p.event_type = 'purchase' AND v.event_type = 'view' AND abs(p.start - v.start) <= 3600) WHERE r = 1",
     "exclusive_evidence": "SELECT min(l_suppkey) AS l_suppkey, l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) = 1",
     "best_criterion": "SELECT l_suppkey, l_partkey, score FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY score DESC, l_suppkey) AS r FROM (SELECT l_suppkey, l_partkey, max(l_quantity::DOUBLE) AS score FROM lineitem GROUP BY ALL)) WHERE r = 1",
-    "orders_fully_retrieved": "WITH have AS (SELECT DISTINCT l_suppkey AS finding, l_linenumber AS chunk FROM lineitem WHERE l_quantity >= 49 AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5)), want AS (SELECT DISTINCT l_orderkey AS conflict, l_linenumber AS chunk FROM lineitem), n AS (SELECT conflict, count(*) AS n FROM want GROUP BY conflict) SELECT finding, count(*) AS conflicts FROM (SELECT finding, conflict, count(*) AS m FROM want JOIN have USING (chunk) GROUP BY ALL) JOIN n USING (conflict) WHERE m = n GROUP BY finding",
+    "orders_fully_retrieved": "WITH have AS (SELECT DISTINCT l_suppkey AS finding, l_partkey AS chunk FROM lineitem WHERE l_quantity >= 5 AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5)), want AS (SELECT DISTINCT l_orderkey AS conflict, l_partkey AS chunk FROM lineitem), n AS (SELECT conflict, count(*) AS n FROM want GROUP BY conflict) SELECT finding, count(*) AS conflicts FROM (SELECT finding, conflict, count(*) AS m FROM want JOIN have USING (chunk) GROUP BY ALL) JOIN n USING (conflict) WHERE m = n GROUP BY finding",
     "rubric_change": "SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'kept' END AS change FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) o FULL JOIN (SELECT DISTINCT doc_id FROM documents WHERE lang = 'en') n ON o.doc_id = n.doc_id",
     "pack_members": "SELECT *, row_number() OVER (ORDER BY included DESC, score DESC NULLS LAST, doc_id) AS position FROM (SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, n_chars AS score, coalesce(quality = 1, true) AS included FROM (SELECT * FROM documents WHERE lang = 'en') d FULL JOIN labels l ON d.doc_id = l.doc_id)",
     "latest_state": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
