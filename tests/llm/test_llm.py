@@ -622,6 +622,37 @@ def test_kinds_that_do_not_overlap_and_rare_kinds_are_bad_and_clean_ones_good(ki
     assert bad[kind == len(kinds)].mean() < 0.001
 
 
+# --- All of them
+
+
+def test_very_long_texts(spark):
+    long = prose(7, 250_000)
+    assert len(long) > 1_200_000
+    rows = docs(spark, [long, "short", long + " x"])
+    found = {r.id: r for r in simhash.near_duplicates(rows).collect()}
+    assert int(found[0].fp.hex(), 16) == plain_fingerprint(long)
+    assert {r.doc_id for r in simhash.keep_first(rows).collect()} == {0, 1}
+    assert [len(r.fingerprint) for r in imatch.edit_report(rows).collect()] == [8 * imatch.PARTS] * 3
+    assert sum(r["size"] for r in sharding.assign(rows).collect()) == sum(len(t.encode()) + 1 for t in (long, "short", long + " x"))
+    assert quality.classify(rows).where("keep").count() == 3
+    bench = spark.createDataFrame([(1, " ".join(long.split()[1000:1050]))], "item_id long, text string")
+    assert sorted(r.id for r in decontaminate.matches(rows, bench).collect()) == [0, 2]
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.Codec(queries.vocabulary()).ranks, special_tokens={})
+    assert {r.id: r.n_tokens for r in bpe.encode(rows, queries.vocabulary(), arrays=False).collect()}[0] == len(library.encode_ordinary(long))
+
+
+def test_no_rows_and_repeated_rows(spark):
+    none = docs(spark, [])
+    assert simhash.near_duplicates(none).count() == 0 and bpe.encode(none, queries.vocabulary()).count() == 0
+    item = prose(70, 40)
+    twice = docs(spark, [item, item, None], [5, 5, None])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [r.id for r in decontaminate.matches(twice, bench).collect()] == [5, 5] and decontaminate.without_matches(twice, bench).count() == 1
+    assert decontaminate.matches(none, bench).count() == 0 and decontaminate.without_matches(none, bench).count() == 0
+    assert sorted(r.n_tokens for r in bpe.encode(twice, queries.vocabulary()).collect())[0] == 0
+    assert [r.component_id for r in simhash.near_duplicates(twice).where("id = 5").collect()] == [5, 5]
+
+
 # --- Pipeline
 
 
