@@ -80,7 +80,8 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     Rows go by turn, null turns first; rows of one turn by role, then text, so the result does not depend on how rows
     arrive; repeated rows are repeated turns. Null texts are empty. Rows with a null conversation id form one
     conversation. The order of roles decides ``valid`` only: every conversation is formatted. A conversation becomes
-    one row, since its digest and its formatted text are one value.
+    one row, since its digest and its formatted text are one value: a task has to hold its longest conversation, which
+    for null ids is all rows without one.
     """
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"))
     convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.checkpoints import placed
+from tessera.operators.gates import exclusive
 
 
 def interval_join(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, slack: float, width: float = 60.0) -> DataFrame:
@@ -45,21 +46,13 @@ def one_to_one(pairs: DataFrame, left: str, right: str, score: Column) -> DataFr
 def greedy_matching(pairs: DataFrame, group: str, left: str, right: str, score: str, least: float) -> DataFrame:
     """``(group, left, right, score)``: within each group the best pair whose ends are both free is taken, again and again, down to ``least``; ties by ids.
 
-    Groups are folded on their own, so a group must fit one task; nothing crosses groups.
+    Rows of ``pairs`` are distinct in their ends. Groups need not fit a task: what is first at both of its ends settles, in rounds.
     """
-    schema = f"{group} {pairs.schema[group].dataType.simpleString()}, {left} {pairs.schema[left].dataType.simpleString()}, {right} {pairs.schema[right].dataType.simpleString()}, {score} double"
-
-    def fold(rows):
-        rows = rows.sort_values([score, left, right], ascending=[False, True, True], kind="stable")
-        used_left, used_right, kept = set(), set(), []
-        for i, a, b in zip(rows.index, rows[left], rows[right], strict=True):
-            if a not in used_left and b not in used_right:
-                used_left.add(a)
-                used_right.add(b)
-                kept.append(i)
-        return rows.loc[kept, [group, left, right, score]]
-
-    return pairs.where(F.col(score) >= least).select(group, left, right, score).groupBy(group).applyInPandas(fold, schema)
+    rows = pairs.where(F.col(score) >= least).select(group, left, right, F.col(score).cast("double").alias(score))
+    end = lambda side, c: F.concat_ws("\x01", F.lit(side), F.col(group).cast("string"), F.col(c).cast("string"))
+    order = F.struct((-F.col(score)).alias("s"), F.col(left).alias("a"), F.col(right).alias("b"), F.col(group).alias("g"))
+    keyed = rows.withColumns({"__at": order, "__l": end("l", left), "__r": end("r", right)})
+    return exclusive(keyed, "__l", "__r", "__at").where("won").select(group, left, right, score)
 
 
 def contains_all(wanted: DataFrame, have: DataFrame, group: str, item: str, owner: str) -> DataFrame:
