@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import slug
+from tessera.functions.text import claim_id, slug
 
 STRONG_LETTERS, STRONG_WORDS = 6, 2
 UNKNOWN_DATE = "9999"
@@ -135,3 +135,19 @@ def answer_references(answers: DataFrame, labelled: DataFrame) -> DataFrame:
     """``(answer, label, chunk)``: the labelled claims that an answer's text cites as ``[n]``, each once. ``labelled`` has ``answer, label, claim, chunk``."""
     cited = answers.select("answer", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\[(\d+)\]"), F.lit(1)).cast("array<int>"))).alias("label"))
     return labelled.join(cited, ["answer", "label"], "left_semi").select("answer", "label", "chunk")
+
+
+def graph_built(extractions: DataFrame) -> dict[str, DataFrame]:
+    """The tables ``entities, relations, claims, anchors`` of parsed extractions (``chunk, video, entities, relations, claims``): all chunks merged, claims named by chunk and text and anchored only to entities of their own extraction."""
+    named = extractions.select("chunk", F.explode("entities").alias("e"))
+    mentions = named.select(F.col("e.name").alias("name"), F.explode(F.concat(F.coalesce("e.aliases", F.array().cast("array<string>")), F.array("e.name"))).alias("alias"), "chunk")
+    entities = upsert_entities(mentions)
+    stated = extractions.select(F.explode("relations").alias("r")).select(slug(F.col("r.source")).alias("src"), slug(F.col("r.target")).alias("dst"), F.col("r.type").alias("type"), F.coalesce("r.weight", F.lit(0.5)).alias("weight"))
+    said = extractions.select("chunk", "video", F.transform("entities", lambda e: slug(e["name"])).alias("own"), F.explode("claims").alias("c"))
+    claims = said.select(claim_id(F.col("chunk").cast("string"), F.col("c.text")).alias("claim"), "chunk", "video", F.col("c.text").alias("text"), F.array_intersect(F.transform(F.coalesce("c.entities", F.array().cast("array<string>")), slug), "own").alias("about"))
+    return {
+        "entities": entities,
+        "relations": upsert_relations(stated, entities),
+        "claims": claims.select("claim", "chunk", "video", "text").dropDuplicates(["claim"]),
+        "anchors": claims.select("claim", F.explode("about").alias("entity")).distinct(),
+    }

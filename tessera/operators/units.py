@@ -147,3 +147,11 @@ def added(before: DataFrame, after: DataFrame) -> DataFrame:
     """``(key, change)`` of documents that are new or whose digest changed. Both have ``key, digest``."""
     joined = after.join(before.withColumnRenamed("digest", "old"), "key", "left")
     return joined.where(~F.col("digest").eqNullSafe(F.col("old"))).select("key", F.when(F.col("old").isNull(), "new").otherwise("changed").alias("change"))
+
+
+def pack_detail(packs: DataFrame, members: DataFrame, rules: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``(pack, rule, citations, videos, outside)`` of each pack's rules: how much evidence each has, from how many videos, and how much of it from videos that are no included members."""
+    inside = members.where("included").select("pack", "video", F.lit(True).alias("in")).distinct()
+    cited = rules.join(packs.select("pack"), "pack", "left_semi").join(evidence, "rule", "left").join(inside, ["pack", "video"], "left")
+    out = F.count_if(F.col("video").isNotNull() & F.col("in").isNull())
+    return cited.groupBy("pack", "rule").agg(F.count("video").alias("citations"), F.count_distinct("video").alias("videos"), out.alias("outside"))

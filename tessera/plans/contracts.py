@@ -27,6 +27,23 @@ def extraction_contract(spark, sf_dir):
     return got.select("doc_id", F.size("entities").cast("long").alias("entities"), F.size("relations").cast("long").alias("relations"), F.size("claims").cast("long").alias("claims"), "error")
 
 
+def built_graph(spark, sf_dir):
+    """Entities of a graph built from extractions of all documents, with their relations and claims counted."""
+    from tessera.operators import claims
+
+    d = table(spark, sf_dir, "documents")
+    entity = lambda name: F.struct(name.alias("name"), F.lit("kind").alias("type"), F.array(F.upper(name)).alias("aliases"))
+    relation = F.struct(F.col("lang").alias("source"), F.col("source").alias("target"), F.lit("t").alias("type"), F.lit(0.5).alias("weight"))
+    claim = F.struct(F.col("lang").alias("text"), F.array("source", F.lit("nobody")).alias("entities"), F.lit("for").alias("polarity"))
+    made = F.to_json(F.struct(F.array(entity(F.col("lang")), entity(F.col("source"))).alias("entities"), F.array(relation).alias("relations"), F.array(claim, claim).alias("claims")))
+    parsed = ct.parsed_extraction(d.select(F.col("doc_id").alias("chunk"), F.col("source").alias("video"), _fenced(made).alias("said")), "said", ["chunk", "video"])
+    g = claims.graph_built(parsed)
+    ends = g["relations"].groupBy(F.col("dst").alias("entity")).agg(F.count("*").alias("relations"))
+    about = g["anchors"].groupBy("entity").agg(F.count("*").alias("claims"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return g["entities"].join(ends, "entity", "left").join(about, "entity", "left").select("entity", "name", F.array_join("aliases", ",").alias("aliases"), "mentions", none("relations"), none("claims"))
+
+
 def _verdict_rows(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     one = lambda rule, verdict, severity: F.struct(rule.cast("string").alias("rule"), verdict.alias("verdict"), severity.alias("severity"), F.col("o_orderstatus").alias("reason"))
@@ -128,7 +145,7 @@ def review_queries(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", dc.review_query(question, kind, F.when(i % 5 > 0, "films"), INTENTS).alias("asked"))
 
 
-QUERIES = {f.__name__: f for f in (extraction_contract, verdict_contract, verdict_findings, probe_contract, finding_contract, golden_candidates, chat_log, run_descriptions, newest_run, probe_runs, rejudged_cells, address_guard, text_labels, review_queries)}
+QUERIES = {f.__name__: f for f in (extraction_contract, built_graph, verdict_contract, verdict_findings, probe_contract, finding_contract, golden_candidates, chat_log, run_descriptions, newest_run, probe_runs, rejudged_cells, address_guard, text_labels, review_queries)}
 
 _CELLS = """(SELECT strftime(l_shipdate, '%Y') AS run, count(DISTINCT l_linenumber) AS setups, count(DISTINCT l_suppkey) AS questions, count(*) FILTER (l_returnflag <> 'R') AS answered, count(*) FILTER (l_returnflag = 'R') AS failed,
   string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS judges, count(DISTINCT l_linestatus) > 1 AS mixed FROM lineitem GROUP BY 1)"""
@@ -137,6 +154,8 @@ vv AS (SELECT document, rule, arg_min(verdict, seat) AS verdict, arg_min(severit
 _MMSS = "lpad((floor({s} / 60)::INT % 60)::VARCHAR, 2, '0') || ':' || lpad((({s})::INT % 60)::VARCHAR, 2, '0')"
 _AT = "CASE WHEN {s} IS NULL THEN 'unknown' WHEN {s} >= 3600 THEN '01:' || " + _MMSS + " ELSE " + _MMSS + " END"
 ORACLE = {
+    "built_graph": """SELECT entity, entity AS name, upper(entity) AS aliases, mentions, relations, claims FROM (
+      SELECT lang AS entity, count(*) AS mentions, 0::BIGINT AS relations, 0::BIGINT AS claims FROM documents GROUP BY lang UNION ALL SELECT source, count(*), count(DISTINCT lang), count(*) FROM documents GROUP BY source)""",
     "extraction_contract": "SELECT doc_id, (CASE WHEN b THEN 0 ELSE 2 END)::BIGINT AS entities, (CASE WHEN b THEN 0 ELSE 1 END)::BIGINT AS relations, (CASE WHEN b OR trim(split_part(text, chr(10), 1)) = '' THEN 0 ELSE 1 END)::BIGINT AS claims, CASE WHEN b THEN 'unreadable' END AS error FROM (SELECT *, doc_id % 5 = 0 AS b FROM documents)",
     "verdict_contract": f"WITH {_VERDICTS} SELECT * FROM vv",
     "verdict_findings": f"WITH {_VERDICTS} SELECT document, 'finding:' || rule AS finding, rule, reason AS detail FROM vv WHERE verdict = 'fail'",

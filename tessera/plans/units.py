@@ -98,12 +98,22 @@ def changed_documents(spark, sf_dir):
     return un.added(before, after)
 
 
-QUERIES = {f.__name__: f for f in (theme_units, community_units, arm_units, cluster_order, theme_videos, theme_purity, theme_detail, soft_memberships, intruder_probes, conflict_list, pack_listing, override_writes, quote_resolution, routed_members, changed_documents)}
+def pack_details(spark, sf_dir):
+    packs = table(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("pack"))
+    members = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("pack"), (F.col("c_custkey") % 100).alias("video"), (F.col("c_custkey") % 3 > 0).alias("included"))
+    rules = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("pack"), F.col("s_suppkey").alias("rule"))
+    evidence = table(spark, sf_dir, "lineitem").where("l_suppkey % 9 > 0 and l_quantity > 45").select(F.col("l_suppkey").alias("rule"), (F.col("l_orderkey") % 100).alias("video"))
+    return un.pack_detail(packs, members, rules, evidence)
+
+
+QUERIES = {f.__name__: f for f in (pack_details, theme_units, community_units, arm_units, cluster_order, theme_videos, theme_purity, theme_detail, soft_memberships, intruder_probes, conflict_list, pack_listing, override_writes, quote_resolution, routed_members, changed_documents)}
 
 _T = "t AS (SELECT l_partkey % 90 AS theme, l_orderkey * 10 + l_linenumber AS chunk, l_orderkey % 300 AS video, CASE WHEN l_partkey % 90 < 4 THEN 1 ELSE l_suppkey % 6 END AS creator, l_returnflag AS domain FROM lineitem WHERE l_suppkey % 5 > 0)"
 _UNITS = f"""{_T}, i AS (SELECT * FROM t WHERE video % 7 = 0 AND video < 280), u AS (SELECT theme, sum(n)::BIGINT AS chunks, count(*) AS creators, round(max(n) / sum(n), 4) AS share FROM (SELECT theme, creator, count(*) AS n FROM i GROUP BY ALL) GROUP BY theme HAVING sum(n) >= 5),
 tu AS (SELECT *, reason IS NULL AS eligible FROM (SELECT theme, chunks, videos, creators, share, CASE WHEN videos < 2 THEN 'few_videos' WHEN creators < 2 THEN 'few_creators' WHEN share > 0.8 THEN 'one_creator' END AS reason FROM u JOIN (SELECT theme, count(DISTINCT video) AS videos FROM i GROUP BY theme) USING (theme)))"""
 ORACLE = {
+    "pack_details": """WITH m AS (SELECT DISTINCT c_nationkey AS pack, c_custkey % 100 AS video FROM customer WHERE c_custkey % 3 > 0), e AS (SELECT l_suppkey AS rule, l_orderkey % 100 AS video FROM lineitem WHERE l_suppkey % 9 > 0 AND l_quantity > 45)
+      SELECT s_nationkey AS pack, s_suppkey AS rule, count(e.video) AS citations, count(DISTINCT e.video) AS videos, count(*) FILTER (e.video IS NOT NULL AND m.video IS NULL) AS outside FROM supplier LEFT JOIN e ON rule = s_suppkey LEFT JOIN m ON m.pack = s_nationkey AND m.video = e.video WHERE s_nationkey < 20 GROUP BY ALL""",
     "theme_units": f"WITH {_UNITS} SELECT * FROM tu",
     "arm_units": f"WITH {_UNITS} SELECT theme, chunks FROM tu WHERE eligible",
     "community_units": """WITH m AS (SELECT s_suppkey AS entity, s_nationkey AS community FROM supplier), a AS (SELECT DISTINCT l_orderkey AS claim, l_suppkey AS entity FROM lineitem),

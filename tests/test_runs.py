@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import checkpoints, composites, context, contracts, corpus, documents, folds, retrieval, themes, walks
+from tessera.sources import catalogues
 
 
 def test_questions_in_any_script(spark):
@@ -137,3 +138,17 @@ def test_places_are_those_of_one_order(spark):
     rows = checkpoints.placed(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v long").withColumn("key", F.struct("v", "i")), "key").collect()
     want = {i: n + 1 for n, i in enumerate(sorted(range(500), key=lambda i: (values[i], i)))}
     assert {x.i: x.place for x in rows} == want
+
+
+def test_criteria_and_catalogues(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"criteria": [{"id": "a", "criterion": "x", "applies_to": ["d1", "d2"], "group": "g"}, {"id": "b", "criterion": "y", "applies_to": ["d1"]}]}')
+    rows = catalogues.critique_dataset(spark, str(tmp_path / "c.json")).collect()
+    assert sorted((r.criterion, r.applies_to, r.group) for r in rows) == [("a", "d1", "g"), ("a", "d2", "g"), ("b", "d1", "b")]
+    (tmp_path / "twice.json").write_text('[{"id": "a", "criterion": "x"}, {"id": "a", "criterion": "y"}]')
+    (tmp_path / "bad.json").write_text('[{"id": "a"}]')
+    for name in ("twice", "bad"):
+        with pytest.raises(ValueError):
+            catalogues.critique_dataset(spark, str(tmp_path / f"{name}.json"))
+    (tmp_path / "p.json").write_text('{"topics": [{"id": "p", "title": "T"}], "excluded": ["v1", "v2"], "held_out": ["v2"]}')
+    topics, out = catalogues.pack_catalogue(spark, str(tmp_path / "p.json"))
+    assert [tuple(r) for r in topics.collect()] == [("p", "T", "T")] and sorted(tuple(r) for r in out.collect()) == [("v1", "excluded"), ("v2", "held_out")]
