@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, html, imatch, quality, secrets, sharding, simhash, urls
+from tessera.llm import bpe, chat, codes, decontaminate, html, imatch, quality, secrets, sharding, simhash, urls
 from tessera.llm.runtime import checkpointed
 
 SHARDS = 16
@@ -95,6 +95,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), vocabulary(), arrays=False).withColumnRenamed("id", "doc_id")
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -121,6 +125,44 @@ FROM convs
 """
 
 
+def _op11_sql() -> str:
+    parts, entries, rounds = codes.PARTS, codes.ENTRIES, codes.ROUNDS
+
+    def assigned(r: int) -> str:
+        return f"""near{r} AS MATERIALIZED (
+  SELECT a.vec_id, a.p, min({{'d': list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': b.e}}) AS m
+  FROM parts a JOIN book{r} b ON a.p = b.p GROUP BY a.vec_id, a.p
+)"""
+
+    def moved(r: int) -> str:
+        return f"""sums{r} AS (
+  SELECT p, e, k, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+  FROM (SELECT a.p, n.m.e AS e, unnest(a.v) AS x, generate_subscripts(a.v, 1) AS k FROM parts a JOIN near{r} n ON a.vec_id = n.vec_id AND a.p = n.p) GROUP BY p, e, k
+), means{r} AS (
+  SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY k) AS v FROM sums{r} GROUP BY p, e
+), book{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{r} b LEFT JOIN means{r} m ON b.p = m.p AND b.e = m.e)"""
+
+    steps = ",\n".join(f"{assigned(r)}, {moved(r)}" for r in range(rounds))
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT vec_id, p, q[p * (len(q) // {parts}) + 1 : (p + 1) * (len(q) // {parts})] AS v FROM kept, range({parts}) AS t(p)
+), firsts AS (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT {entries}
+), book0 AS MATERIALIZED (SELECT a.p, f.e, a.v FROM parts a JOIN firsts f ON a.vec_id = f.vec_id),
+{steps},
+{assigned(rounds)}, found AS (
+  SELECT vec_id, string_agg(lower(printf('%02x', CAST(m.e AS INTEGER))), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id
+), said AS (
+  SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds}
+)
+SELECT k.vec_id, k.label, f.code, f.error, CAST(sum(f.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, s.codebooks_sha256
+FROM kept k JOIN found f ON k.vec_id = f.vec_id, said s
+"""
+
+
 def queries() -> dict:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -133,9 +175,10 @@ def queries() -> dict:
         "op8_html": op8_html,
         "op9_quality": op9_quality,
         "op10_bpe": op10_bpe,
+        "op11_codes": op11_codes,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4_SQL}
+    return {"op4_chat": OP4_SQL, "op11_codes": _op11_sql()}
