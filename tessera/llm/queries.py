@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, codes, decontaminate, html, imatch, quality, secrets, sharding, simhash, urls
+from tessera.llm import bpe, chat, codes, decontaminate, html, imatch, pivots, quality, secrets, sharding, simhash, urls
 from tessera.llm.runtime import checkpointed
 
 SHARDS = 16
@@ -99,6 +99,11 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.encode(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op12_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pivots.near_vectors(_table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -163,6 +168,22 @@ FROM kept k JOIN found f ON k.vec_id = f.vec_id, said s
 """
 
 
+OP12_SQL = f"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= {pivots.COSINE}
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, r.component_id, e.vec_id = r.component_id AS kept
+FROM embeddings e JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = e.vec_id
+"""
+
+
 def queries() -> dict:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -176,9 +197,10 @@ def queries() -> dict:
         "op9_quality": op9_quality,
         "op10_bpe": op10_bpe,
         "op11_codes": op11_codes,
+        "op12_vectors": op12_vectors,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4_SQL, "op11_codes": _op11_sql()}
+    return {"op4_chat": OP4_SQL, "op11_codes": _op11_sql(), "op12_vectors": OP12_SQL}
