@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, codes, decontaminate, html, imatch, pivots, quality, secrets, sharding, simhash, urls
+from tessera.llm import bpe, chat, codes, decontaminate, html, imatch, lexical, pivots, quality, secrets, sharding, simhash, urls
 from tessera.llm.runtime import checkpointed
 
 SHARDS = 16
@@ -104,6 +104,11 @@ def op12_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -184,6 +189,26 @@ FROM embeddings e JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 """
 
 
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13_SQL = f"""
+WITH said AS (SELECT doc_id, {_TERMS} AS t FROM documents WHERE text IS NOT NULL),
+lengths AS MATERIALIZED (SELECT doc_id, len(t) AS n, t FROM said WHERE len(t) > 0),
+totals AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM lengths),
+asked AS MATERIALIZED (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE text IS NOT NULL) GROUP BY item_id, term),
+postings AS MATERIALIZED (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM lengths) WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, n, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), totals
+), scored AS (
+  SELECT a.item_id, p.doc_id, CAST(sum(a.q * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (75 + (25 * p.n * t.nn) // t.l)))) AS BIGINT) AS score
+  FROM asked a JOIN postings p USING (term) JOIN weights w USING (term), totals t GROUP BY a.item_id, p.doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= {lexical.BEST}
+"""
+
+
 def queries() -> dict:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -198,9 +223,10 @@ def queries() -> dict:
         "op10_bpe": op10_bpe,
         "op11_codes": op11_codes,
         "op12_vectors": op12_vectors,
+        "op13_ranking": op13_ranking,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4_SQL, "op11_codes": _op11_sql(), "op12_vectors": OP12_SQL}
+    return {"op4_chat": OP4_SQL, "op11_codes": _op11_sql(), "op12_vectors": OP12_SQL, "op13_ranking": OP13_SQL}
