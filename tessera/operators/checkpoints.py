@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to a table in the shared checkpoint folder and read from there, for loops: a checkpoint hands the
+    constraints of its plan on to the next, and those of many rounds take the optimiser longer than the rounds."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def placed(rows: DataFrame, key: str) -> DataFrame:
     """``rows`` with ``place`` from 1 in the order of ``key``, by ranges: each range is numbered alone, after the rows of the ranges before it."""
     ranged = checkpointed(rows.repartitionByRange(key).withColumn("__p", F.spark_partition_id()))

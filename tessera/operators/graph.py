@@ -1,4 +1,4 @@
-"""Weighted graphs: edges, one-hop neighbourhoods, communities and projections."""
+"""Weighted graphs: edges, one-hop neighbourhoods and projections."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.checkpoints import checkpointed
-
 
 def weighted_edges(relations: DataFrame, mentions: DataFrame, default: float = 0.5) -> DataFrame:
     """Undirected ``(a, b, weight)``: the sum of relation weights, null or 0 counting as ``default``, plus one for each claim that mentions both.
@@ -30,42 +28,6 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return seeds.select("node", F.lit(0).alias("hops")).unionByName(near).groupBy("node").agg(F.min("hops").alias("hops"))
 
 
-def communities(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """``(node, community)`` by label propagation with weights; a community is named by its smallest node.
-
-    In each round every second node, by a hash that changes with the round, takes the label with the largest total
-    weight around it, its own in a tie, else the smallest. It ends when no node has moved in four rounds, in which every
-    node has had its turn but for one in sixteen. All steps are joins and aggregations.
-    """
-    both = checkpointed(edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
-    labels = checkpointed(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
-    quiet = 0
-    for r in range(most_rounds):
-        around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a", "label").agg(F.round(F.sum("weight"), 6).alias("w"))
-        own = around.join(labels.select(F.col("node").alias("a"), F.col("label").alias("own")), "a")
-        best = own.groupBy("a").agg(F.max_by("label", F.struct("w", (F.col("label") == F.col("own")).alias("stay"), (-F.xxhash64("label")).alias("tie"))).alias("next"))
-        moves = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
-        moved = checkpointed(labels.join(best.withColumnRenamed("a", "node"), "node").select("node", "label", F.when(moves, F.col("next")).otherwise(F.col("label")).alias("next")))
-        quiet = quiet + 1 if moved.where("label <> next").isEmpty() else 0
-        labels = moved.select("node", F.col("next").alias("label"))
-        if quiet == 4:
-            break
-    names = labels.groupBy("label").agg(F.min("node").alias("community"))
-    return labels.join(names, "label").select("node", "community")
-
-
-def modularity(edges: DataFrame, labels: DataFrame) -> float:
-    """Modularity of a partition; 0 for a graph without edges."""
-    a, b = labels.select(F.col("node").alias("a"), F.col("community").alias("ca")), labels.select(F.col("node").alias("b"), F.col("community").alias("cb"))
-    named = edges.join(a, "a").join(b, "b")
-    total = named.agg(F.sum("weight")).first()[0]
-    if not total:
-        return 0.0
-    inside = named.where("ca = cb").agg(F.sum("weight")).first()[0] or 0.0
-    degree = named.select(F.col("ca").alias("c"), "weight").unionByName(named.select(F.col("cb").alias("c"), "weight")).groupBy("c").agg(F.sum("weight").alias("d"))
-    return inside / total - degree.agg(F.sum(F.pow(F.col("d") / (2 * total), 2))).first()[0]
-
-
 def principal_axes(vectors: DataFrame, vector_col: str, n: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """(mean, axes) from the covariance of all rows, summed on the executors; the largest part of each axis is positive. Fewer than two rows: an error."""
 

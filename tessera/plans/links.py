@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import folds, graph, joins, store
+from tessera.operators import communities, folds, graph, joins, store
 from tessera.sources.tables import table
 
 
@@ -114,7 +114,7 @@ def one_hop(spark, sf_dir):
 def graph_communities(spark, sf_dir):
     from tessera.plans.retrieval import knn_graph
 
-    return graph.communities(knn_graph(spark, sf_dir).withColumnRenamed("similarity", "weight"))
+    return communities.communities(knn_graph(spark, sf_dir).withColumnRenamed("similarity", "weight"))
 
 
 def conflict_candidates(spark, sf_dir):

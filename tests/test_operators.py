@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import folds, graph, joins, metrics, retrieval, store
+from tessera.operators import communities, folds, graph, joins, metrics, retrieval, store
 
 CORPUS = ["capital gains tax discount for property investors", "negative gearing rules and rental deductions", "the capital gains tax discount is being grandfathered", "interest rates and the housing market outlook"]
 
@@ -142,12 +142,46 @@ def test_quotes():
 
 
 def test_communities_separate_cliques(spark):
-    edges = [(a, b, 1.0) for base in (0, 10) for a in range(base, base + 5) for b in range(a + 1, base + 5)] + [(4, 10, 0.1)]
+    edges = [(a, b, 1.0) for base in (0, 10) for a in range(base, base + 5) for b in range(a + 1, base + 5)] + [(4, 10, 0.1), (2, 2, 1.0), (3, None, 9.0), (0, 14, 0.0), (7, 7, 2.0)]
     df = spark.createDataFrame(edges, "a long, b long, weight double")
-    labels = graph.communities(df)
+    labels = communities.communities(df, spark.createDataFrame([(n,) for n in (0, 50, 51, None)], "node long"))
     found = {r.node: r.community for r in labels.collect()}
-    assert set(found) == {*range(5), *range(10, 15)} and all(found[n] == (0 if n < 10 else 10) for n in found)
-    assert graph.modularity(df, labels) > 0.4
+    assert set(found) == {*range(5), *range(10, 15), 7, 50, 51} and all(c == (n if n in (7, 50, 51) else 0 if n < 10 else 10) for n, c in found.items())
+    assert communities.modularity(df, labels) > 0.4
+    assert communities.communities(df.limit(0)).collect() == []
+
+
+def test_communities_are_as_modular_as_moves_one_by_one(spark):
+    r = random.Random(1)
+    edges = [(a, b, float(r.choice([1, 2]))) for a in range(48) for b in range(a) if r.random() < (0.6 if a // 12 == b // 12 else 0.04)]
+    found = {x.node: x.community for x in communities.communities(spark.createDataFrame(edges, "a long, b long, weight double"), seed=3).collect()}
+
+    def quality(label):
+        total, inside, degree = sum(w for *_, w in edges), sum(w for a, b, w in edges if label[a] == label[b]), Counter()
+        for a, b, w in edges:
+            degree[label[a]] += w
+            degree[label[b]] += w
+        return inside / total - sum((d / 2 / total) ** 2 for d in degree.values())
+
+    # one node after the other, from the planted groups on: no move may be better
+    best = {n: n // 12 for n in found}
+    moved = True
+    while moved:
+        moved = False
+        for n in sorted(best):
+            other = max(range(4), key=lambda c: quality(best | {n: c}))
+            if quality(best | {n: other}) > quality(best) + 1e-9:
+                best, moved = best | {n: other}, True
+    assert quality(found) >= quality(best) - 1e-9
+    # every community holds together
+    for c in set(found.values()):
+        reached, open_ = set(), [c]
+        while open_:
+            n = open_.pop()
+            if n not in reached:
+                reached.add(n)
+                open_ += [b if a == n else a for a, b, _ in edges if n in (a, b) and found[a] == found[b]]
+        assert reached == {n for n, x in found.items() if x == c}
 
 
 def test_projection_matches_numpy(spark):
