@@ -7,8 +7,10 @@ page, neighbours on other paths counting half, and fused into one value. Paths
 whose fused value reaches a threshold are content. The element that holds most
 of their weight is the page's main part, whatever it is called; in it, what is
 beside content goes with it, and divisions without any content path go. Tags
-and class names that mark menus, notices, adverts and the like exclude their
-whole subtree from the start.
+of menus, forms and the like exclude their whole subtree from the start, and so
+do names that say nothing else than that they mark an advert or a notice. Names
+that say more, as in "legal-analysis", only vote: what they mark is content if
+the ratio of its path is, and does not go along with what is beside it.
 """
 
 from __future__ import annotations
@@ -46,6 +48,15 @@ EXCLUDING = frozenset(
     "side aside footer header masthead toolbar comment comments commentlist disqus replies reply respond discussion related recommended "
     "recommendations share sharing social tags tagcloud pagination pager widget widgets copyright legal disclaimer search form hidden toc contentinfo complementary".split()
 )
+#: Words that say nothing about what a part of a page is for: beside them an excluding word still stands alone.
+STRUCTURAL = frozenset(
+    "area bar block bottom box btn button card col column container content flex frame grid group holder inner item items left level li link links list row "
+    "main mobile module outer panel pane primary region right secondary section site slot small sticky title top unit wrap wrapper zone js id the".split()
+)
+#: Words that say that a part belongs to the text, whatever stands beside them.
+OF_THE_TEXT = frozenset("article post entry story body text abstract chapter lede paragraph heading headline".split())
+#: Words that mean something else on a heading.
+ON_HEADINGS = frozenset(("header", "side", "alert", "notice"))
 #: Elements that say that they hold the main part; what they hold weighs more when it is chosen.
 CONTAINERS = ("article", "main")
 CONTAINED_WEIGHT = 3.0
@@ -71,12 +82,13 @@ WINDOW = np.exp(-0.5 * np.arange(-2, 3) ** 2)
 
 @dataclass
 class Block:
-    """One run of text: its innermost block element, the number of its path, and whether an ancestor is excluded."""
+    """One run of text: its innermost block element, the number of its path, and whether an ancestor is excluded or doubted."""
 
     node: int
     path: int
     contained: bool
     excluded: bool
+    doubted: bool = False
     linked: int = 0
     parts: list[str] = field(default_factory=list)
     text: str = ""
@@ -104,6 +116,7 @@ class _Open:
     path: int
     contained: bool
     excluded: bool
+    doubted: bool = False
     at: int = 0
     depth: int = 0
 
@@ -156,24 +169,37 @@ class _Stack:
                 top = self.items[-1]
                 for x in inside:
                     if x.tag in INLINE and len(self.open[x.tag]) < 3:
-                        self.push(_Open(x.tag, top.node, top.path, top.contained, x.excluded))
+                        self.push(_Open(x.tag, top.node, top.path, top.contained, x.excluded, x.doubted))
                 return
             if here.tag in scope:
                 return
 
 
-def _excluded(tag: str, attributes: str, contained: bool) -> bool:
+def _named(tag: str, value: str) -> int:
+    """What the names of an element say: 2 if one excludes it, 1 if one casts doubt on it."""
+    most = 0
+    for name in value.split():
+        words = {w for w in re.split(r"[^a-z]+", name) if w}
+        against = words & EXCLUDING - (ON_HEADINGS if re.fullmatch("h[1-6]", tag) else frozenset())
+        if against and not words & OF_THE_TEXT:
+            most = max(most, 1 if words - against - STRUCTURAL else 2)
+    return most
+
+
+def _excluded(tag: str, attributes: str, contained: bool) -> int:
+    """2 if an element goes with all it holds, 1 if ratios have to speak for it."""
+    most = 0
     if tag in EXCLUDED and not (contained and tag in IN_CONTAINER):
-        return True
+        return 2
     if attributes and "=" in attributes or "hidden" in attributes:
         for name, value in ATTRIBUTE.findall(attributes):
             value = value.strip("\"'").lower()
             name = name.lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-            if name in ("class", "id", "role") and tag not in ("html", "body", *CONTAINERS) and not EXCLUDING.isdisjoint(re.split(r"[^a-z]+", value)):
-                return True
-    return False
+                return 2
+            if name in ("class", "id", "role") and tag not in ("html", "body", *CONTAINERS):
+                most = max(most, _named(tag, value))
+    return most
 
 
 def blocks(page: str) -> tuple[list[Block], Tree]:
@@ -189,14 +215,12 @@ def blocks(page: str) -> tuple[list[Block], Tree]:
         if not raw:
             return
         top = stack.items[-1]
+        if top.excluded and not (stack.blocks and stack.blocks[-1].excluded):
+            # an excluded element inside a line: its text is no part of the block, wherever it stands
+            return
         if now is None:
-            now = Block(top.node, top.path, top.contained, top.excluded)
+            now = Block(top.node, top.path, top.contained, top.excluded, bool(stack.blocks and stack.blocks[-1].doubted))
             found.append(now)
-        elif top.excluded != now.excluded:
-            # an excluded element inside a line: its text is no part of the block
-            if top.excluded:
-                return
-            now.excluded = False
         said = entities.unescape(raw)
         now.parts.append(said)
         if links:
@@ -241,13 +265,14 @@ def blocks(page: str) -> tuple[list[Block], Tree]:
         if tag == "a":
             links += 1
         outer = stack.items[-1]
-        excluded = outer.excluded or _excluded(tag, m[3] or "", outer.contained)
+        said = _excluded(tag, m[3] or "", outer.contained)
+        excluded, doubted = outer.excluded or said == 2, outer.doubted or said > 0
         if tag in INLINE:
             if not (m[3] or "").endswith("/"):
-                stack.push(_Open(tag, outer.node, outer.path, outer.contained, excluded))
+                stack.push(_Open(tag, outer.node, outer.path, outer.contained, excluded, doubted))
         else:
             path = paths.setdefault((outer.path, tag), len(paths) + 1)
-            stack.push(_Open(tag, tree.add(tag, outer.node), path, outer.contained or tag in CONTAINERS, excluded))
+            stack.push(_Open(tag, tree.add(tag, outer.node), path, outer.contained or tag in CONTAINERS, excluded, doubted))
     for b in found:
         b.text = " ".join("".join(b.parts).split())
     return [b for b in found if b.text], tree
@@ -282,21 +307,25 @@ def content(found: list[Block], tree: Tree) -> list[bool]:
     usual = np.average(ratio[free], weights=length[free])
     limit = min(max(ratio.std(), CONTENT_SHARE * usual), ratio[free].max())
     picked = free & (ratio >= limit)
-    # weight and number of content blocks in each element; parents come before their children
-    weight, picks = np.zeros(len(tree.tags)), np.zeros(len(tree.tags), dtype=np.int64)
+    # weight and number of content blocks in each element, and of all and other blocks than headings; parents come before children
+    weight, picks, titles, others = np.zeros(len(tree.tags)), *np.zeros((3, len(tree.tags)), dtype=np.int64)
     np.add.at(weight, node, np.where(picked, ratio * length * np.where([b.contained for b in found], CONTAINED_WEIGHT, 1.0), 0.0))
     np.add.at(picks, node, picked)
+    heading = np.array([bool(re.fullmatch("h[1-6]", tree.tags[b.node])) for b in found])
+    np.add.at(titles, node, free & heading)
+    np.add.at(others, node, free & ~heading)
     for x in range(len(tree.tags) - 1, 0, -1):
         weight[tree.parents[x]] += weight[x]
-        picks[tree.parents[x]] += picks[x]
+        for count in (picks, titles, others):
+            count[tree.parents[x]] += count[x]
     # the innermost division that holds most of the weight: those that do are one inside the other
     main = max((x for x, tag in enumerate(tree.tags) if weight[x] >= MAIN_SHARE * weight[0] and (tag in DIVISIONS or not x)), default=0)
-    # an element is kept if it is in the main part and no division between the two is without content
+    # an element is kept if it is in the main part and every division between the two has content or just headings
     kept = [False] * len(tree.tags)
     kept[main] = True
     for x in range(main + 1, len(tree.tags)):
-        kept[x] = kept[tree.parents[x]] and (tree.tags[x] not in DIVISIONS or picks[x] > 0)
-    out = [bool(ok and kept[b.node] and (p or b.linked < LINK_SHARE * len(b.text))) for b, ok, p in zip(found, free, picked, strict=True)]
+        kept[x] = kept[tree.parents[x]] and (tree.tags[x] not in DIVISIONS or picks[x] > 0 or titles[x] > 0 == others[x])
+    out = [bool(ok and kept[b.node] and (p or not b.doubted and b.linked < LINK_SHARE * len(b.text))) for b, ok, p in zip(found, free, picked, strict=True)]
     return _with_heading(found, tree, main, out)
 
 
@@ -323,7 +352,10 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(id, url, text)`` of every row from its whole page. Null and empty pages and pages without content have empty texts. Repeated rows stay."""
+    """``(id, url, text)`` of every row from its whole page. Null and empty pages and pages without content have empty texts.
+
+    Repeated rows stay. Other columns are ignored. An empty table gives no rows.
+    """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
 
     def run(batches):

@@ -545,6 +545,49 @@ def test_paths_decide_with_and_without_names(marked):
         assert html.main_text(page) == want
 
 
+def test_names_vote_and_lines_lose_only_what_is_excluded():
+    body = [prose(i, 60) + "." for i in range(4)]
+    p = ["<p>" + x + "</p>" for x in body]
+    whole = "\n".join(body)
+    text = lambda inner: html.main_text(f"<body><nav><a href=/>Menu</a></nav><article>{inner}</article><footer>x</footer>")
+    # excluded text in a line, at its start, inside and at its end, never shows
+    for tag, name in (("span", "ad"), ("small", "promo"), ("b", "ad-slot")):
+        ad = f'<{tag} class="{name}">Buy now</{tag}>'
+        for line in (f"{ad} Real text.", f"Real {ad} text.", f"Real text. {ad}"):
+            assert text(f"<p>{line}</p>" + "".join(p)) == "Real text.\n" + whole
+    assert text("".join(p) + '<p><span class="ad">Buy now</span></p>') == whole
+    # names that say more than that something is an advert or a header
+    assert text('<div class="article-header"><h1>T</h1></div>' + "".join(p)) == "T\n" + whole
+    assert text("".join(p[:2]) + '<section id="legal-analysis">' + "".join(p[2:]) + "</section>") == whole
+    assert text("".join(p[:2]) + '<div class="notice-period">' + p[2] + "</div>" + p[3]) == whole
+    assert text('<h2 class="header">T</h2>' + "".join(p)) == "T\n" + whole
+    # names that say just that
+    for name in ("ad", "ad-slot", "comments-area", "sidebar left", "cookie-banner", "social-share", "newsletter-box"):
+        assert text("".join(p) + f'<div class="{name}"><p>{body[0]}</p></div>') == whole
+    # doubted and without the ratio of content
+    assert text("".join(p) + '<div class="promo-summer"><p>Buy now</p></div>') == whole
+
+
+def test_text_of_random_pages_is_that_of_a_plain_reader():
+    """Articles of known elements, some excluded, against what was put in."""
+    r = random.Random(31)
+    for _ in range(60):
+        parts, want = [], []
+        for _ in range(r.randint(3, 9)):
+            said = prose(r.randrange(10**6), r.randint(30, 60)) + "."
+            kind = r.randrange(6)
+            if kind == 0:
+                parts.append(f'<div class="ad"><p>{said}</p></div>')
+            elif kind == 1:
+                parts.append(f"<aside><p>{said}</p></aside><script>{said}</script>")
+            else:
+                inner = said.replace(" ", r.choice([" ", " <b>", " <span class=ad>no</span> ", "\n\t", "&#32;"]), 1)
+                parts.append(f"<p>{inner}</b></p>" if "<b>" in inner else f"<{(t := r.choice(['p', 'li', 'blockquote']))}>{inner}</{t}>")
+                want.append(said)
+        page = f"<html><head><title>x</title></head><body><header>Site</header><article>{''.join(parts)}</article><div class=comments><p>{prose(5, 40)}</p></div></body>"
+        assert html.main_text(page) == "\n".join(want), page
+
+
 def test_main_parts_of_other_shapes():
     body = [prose(i, 60) + "." for i in range(6)]
     p = ["<p>" + x + "</p>" for x in body]
