@@ -13,78 +13,97 @@ from tessera.operators.folds import QUOTE_WORD, quote_ratio, verbatim_span
 
 #: Shorter sections go into the one before.
 LEAST_CHARS = 40
-SKIPPED = frozenset(("script", "style", "noscript", "template", "svg", "head"))
+# fixed values: elements without text of their own, and elements that end a run of text
+SKIPPED = frozenset({"script", "style", "noscript", "template", "svg", "canvas", "iframe"})
+BREAKS = frozenset(
+    {
+        "p", "div", "section", "article", "main", "aside", "nav", "header", "footer",
+        "li", "ul", "ol", "dl", "dt", "dd", "tr", "td", "th", "table",
+        "blockquote", "pre", "figure", "figcaption", "br", "hr", "form", "label",
+    }
+)
 HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
-BREAKS = frozenset("p div section article li ul ol table tr td th br hr blockquote pre header footer nav main aside figure figcaption form dl dt dd".split())
 SECTIONS = "array<struct<heading:string,text:string>>"
 
 
+def _line(text: str) -> str:
+    return re.sub("[ \t\u00a0]+", " ", text).strip()
+
+
+def _lines(text: str) -> str:
+    return "\n".join(x for x in map(_line, text.split("\n")) if x)
+
+
 class _Sections(HTMLParser):
-    """Headings open sections; blocks break lines; scripts and the like are no text."""
+    """Where each run of text goes: to the title, to the heading that is open, or to the section of the last one.
+
+    A heading ends at its end tag, at the next heading and at any block, so one that is never closed does not take the
+    page's text along. Runs of white space alone are nothing.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.title, self.out, self.skipped, self.in_title, self.heading = "", [["", [""]]], 0, False, None
+        self.title, self.found, self.skipped, self.titled, self.heading = "", [("", [])], 0, False, None
 
     def handle_starttag(self, tag, attrs):
-        if tag == "title":
-            self.in_title = True
-        elif tag in SKIPPED and tag != "head":
+        if tag in SKIPPED:
             self.skipped += 1
-        elif tag in HEADINGS:
-            self.heading = []
-        elif tag in BREAKS:
-            self.out[-1][1].append("")
+        elif self.skipped:
+            return
+        elif tag == "title":
+            self.titled = True
+        elif tag in HEADINGS or tag in BREAKS:
+            self.end_heading()
+            if tag in HEADINGS:
+                self.heading = []
+            else:
+                self.found[-1][1].append("\n")
 
     def handle_endtag(self, tag):
-        if tag == "title":
-            self.in_title = False
-        elif tag in SKIPPED and tag != "head":
+        if tag in SKIPPED:
+            # an end tag without a start takes nothing away
             self.skipped = max(0, self.skipped - 1)
-        elif tag in HEADINGS and self.heading is not None:
-            self._open()
+        elif self.skipped:
+            return
+        elif tag == "title":
+            self.titled = False
+        elif tag in HEADINGS:
+            self.end_heading()
         elif tag in BREAKS:
-            self.out[-1][1].append("")
-
-    def _open(self):
-        said = " ".join("".join(self.heading).split())
-        self.heading = None
-        if said:
-            self.out.append([said, [""]])
+            self.found[-1][1].append("\n")
 
     def handle_data(self, data):
-        if self.in_title:
-            self.title += data
-        elif self.skipped:
+        if self.skipped or not data.strip():
             return
-        elif self.heading is not None:
-            self.heading.append(data)
+        if self.titled:
+            self.title = _line(f"{self.title} {data}")
         else:
-            self.out[-1][1][-1] += data
+            (self.found[-1][1] if self.heading is None else self.heading).append(data)
+
+    def end_heading(self):
+        said = _line("".join(self.heading or []))
+        self.heading = None
+        if said:
+            self.found.append((said, []))
 
     def close(self):
+        self.end_heading()
         super().close()
-        # a heading that is never closed is one all the same
-        if self.heading:
-            self._open()
 
 
 def sections_of(body: str | None, html: bool = True) -> tuple[str, list[tuple[str, str]]]:
-    """Title and ``(heading, text)`` of a page or plain text; the title falls back to the first heading."""
-    title, found = "", []
+    """Title and ``(heading, text)`` of a page or plain text, empty for none; without a title the first section's heading is one."""
+    title = ""
     if html:
         parser = _Sections()
         parser.feed(body or "")
         parser.close()
-        title = " ".join(parser.title.split())
-        for heading, lines in parser.out:
-            text = "\n".join(x for x in (" ".join(line.split()) for line in lines) if x)
-            if heading or text:
-                found.append((heading, text))
+        title = parser.title
+        found = [(heading, _lines("".join(parts))) for heading, parts in parser.found]
     else:
-        found = [("", x) for x in (" ".join(b.split()) for b in re.split(r"\n\s*\n", body or "")) if x]
-    found = merged_short(found)
-    return title or next((h for h, _ in found if h), ""), found
+        found = [("", _lines(block)) for block in re.split(r"\n\s*\n", body or "")]
+    found = merged_short([x for x in found if any(x)])
+    return title or (found[0][0] if found else ""), found
 
 
 def merged_short(found: list[tuple[str, str]], least: int = LEAST_CHARS) -> list[tuple[str, str]]:

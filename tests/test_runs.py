@@ -74,7 +74,14 @@ def test_sections_of_pages(spark):
     title, found = documents.sections_of(page)
     assert title == "A page" and [h for h, _ in found][0] == "One" and "no" not in found[0][1].split()
     assert documents.sections_of("<p>a</p></div></p>")[1] == [("", "a")]
+    long = "word " * 12
+    # headings that are never closed, elements without text, breaks and runs of blanks
+    assert documents.sections_of(f"<h1>A<h2>B</h2>{long}")[1] == [("A", ""), ("B", long.strip())]
+    assert documents.sections_of(f"<h2>Title<p>{long}") == ("Title", [("Title", long.strip())])
+    assert documents.sections_of(f"<p>{long}<iframe>no</iframe><canvas>no</canvas><svg><title>no</title></svg></script>yes")[1] == [("", long + "yes")]
+    assert documents.sections_of("<p>a\u00a0 b\n\n c<br>d<label>e</label>f <b>g</b> <i>h</i>")[1] == [("", "a b\nc\nd\ne\nf gh")]
     assert documents.sections_of("one\n\n" + "two " * 20 + "\n \n x", html=False)[1] == [("", "one"), ("", ("two " * 20).strip() + "\nx")]
+    assert documents.sections_of("one\n two  three\n\n", html=False) == ("", [("", "one\ntwo three")])
     assert documents.merged_short([("a", "x"), ("b", "y")]) == [("a", "x\nb\ny")]
     pages = spark.createDataFrame([(1, page), (2, None), (3, "")], "id long, body string")
     rows = documents.sections(pages, "id", "body").collect()
