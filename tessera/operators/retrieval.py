@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
-from tessera.operators.checkpoints import checkpointed
+from tessera.operators import postings
+from tessera.operators.checkpoints import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -24,46 +25,54 @@ def ranked(scored: DataFrame, score: str, tie: str, k: int, by: str = "query_id"
 
 
 def lexical_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc, dl, term, tf)``, written once for all that reads it; documents without tokens have no row."""
-    each = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("t"))
-    rows = each.where(F.size("t") > 0).select("doc", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return checkpointed(rows.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf")))
+    """The documents' posting lists, written once for all that reads them; documents without tokens are in none."""
+    return written(postings.inverted(docs, id_col, text_col))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """``(query_id, term, qtf)``: a word that a query repeats counts as often."""
-    return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+def _bm25_hits(index: DataFrame, queries: DataFrame, k: int, k1: float, b: float, epsilon: float, spread: DataFrame | None = None) -> DataFrame:
+    n, words = postings.totals(index)
+    wanted = postings.query_terms(queries)
+    rarity = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    raw = postings.frequencies(index).select("term", rarity.alias("idf"))
+    spread = postings.spread_of(index) if spread is None else spread
+    mean = spread.agg((F.sum(F.col("terms") * rarity) / F.sum("terms") * epsilon).alias("floor"))
+    weights = wanted.join(raw, "term").crossJoin(mean).select("query_id", "term", (F.col("qtf") * F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))).alias("weight"))
+    average = words / n if n else 1.0
+    return postings.best(index, weights, k, lambda tf, length, squares: tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average)), 4)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 30, k1: float = K1, b: float = B, epsilon: float = EPSILON, index: DataFrame | None = None) -> DataFrame:
+def _cosine_hits(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    wanted = postings.query_terms(queries)
+    own = wanted.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qnorm"))
+    weights = wanted.join(own, "query_id").select("query_id", "term", (F.col("qtf") / F.col("qnorm")).alias("weight"))
+    return postings.best(index, weights, k, lambda tf, length, squares: tf / np.sqrt(squares), 6)
+
+
+def bm25(docs: DataFrame | None, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 30, k1: float = K1, b: float = B, epsilon: float = EPSILON, index: DataFrame | None = None, spread: DataFrame | None = None) -> DataFrame:
     """``(query_id, doc, score, rank)`` by Okapi BM25; ``queries`` has ``query_id`` and ``text``.
 
     A negative inverse document frequency becomes ``epsilon`` times the mean one. A hit shares at least one word with
     the query, whatever its score; scores are rounded to four places, ties go by document id. ``index`` is the
-    documents' :func:`lexical_index`, if there is one.
+    documents' :func:`lexical_index`, or a kept one, if there is one; if it holds some terms only, ``spread`` is that of
+    all terms.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     index = lexical_index(docs, id_col, text_col) if index is None else index
-    wanted = query_terms(queries)
-    sizes = index.agg(F.count_distinct("doc").alias("n"), F.sum("tf").alias("words")).select("n", (F.col("words") / F.col("n")).alias("avgdl"))
-    raw = index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(sizes).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg((F.avg("idf") * epsilon).alias("floor"))
-    idf = raw.join(wanted.select("term").distinct(), "term", "left_semi").crossJoin(mean).select("term", "avgdl", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    weight = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = index.join(wanted.join(idf, "term"), "term").groupBy("query_id", "doc").agg(F.round(F.sum(weight), 4).alias("score"))
-    return ranked(scored, "score", "doc", k)
+    return ranked(_bm25_hits(index, queries, k, k1, b, epsilon, spread), "score", "doc", k)
 
 
-def term_cosine(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 30, index: DataFrame | None = None) -> DataFrame:
+def term_cosine(docs: DataFrame | None, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 30, index: DataFrame | None = None) -> DataFrame:
     """``(query_id, doc, score, rank)`` by the cosine of term counts: a dense stand-in that needs no model."""
     index = lexical_index(docs, id_col, text_col) if index is None else index
-    norms = index.groupBy("doc").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    wanted = query_terms(queries)
-    own = wanted.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qnorm"))
-    dots = index.join(wanted, "term").groupBy("query_id", "doc").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
-    scored = dots.join(norms, "doc").join(own, "query_id").select("query_id", "doc", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
-    return ranked(scored, "score", "doc", k)
+    return ranked(_cosine_hits(index, queries, k), "score", "doc", k)
+
+
+def both_lists(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``(query_id, list, doc, score, rank)``: list 0 by BM25 and list 1 by the cosine, ranked together so that one shuffle serves both."""
+    hits = _bm25_hits(index, queries, k, K1, B, EPSILON).withColumn("list", F.lit(0)).unionByName(_cosine_hits(index, queries, k).withColumn("list", F.lit(1)))
+    order = Window.partitionBy("query_id", "list").orderBy(F.col("score").desc_nulls_last(), "doc")
+    return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "list", "doc", "score", "rank")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import metrics, retrieval
+from tessera.operators import metrics, postings, retrieval
+from tessera.operators.checkpoints import scratch
 from tessera.sources.tables import table
 
 #: One query in fifty rows, against all rows.
@@ -23,16 +24,24 @@ def bm25_search(spark, sf_dir):
     return retrieval.bm25(_docs(spark, sf_dir), _items(spark, sf_dir), k=10)
 
 
+def kept_index_search(spark, sf_dir):
+    """A kept index after a change: English documents come again with their source in front, short German ones go."""
+    docs = _docs(spark, sf_dir)
+    folder = scratch(spark, "index")
+    postings.save(postings.inverted(docs), folder, buckets=8)
+    postings.upsert(spark, folder, docs.where("lang = 'en'").withColumn("text", F.concat("source", F.lit(" "), "text")), buckets=8)
+    postings.delete(spark, folder, docs.where("lang = 'de' and n_chars < 400").select(F.col("doc_id").alias("doc")))
+    items = _items(spark, sf_dir)
+    return retrieval.bm25(None, items, k=10, index=postings.load(spark, folder, items, buckets=8), spread=postings.kept_spread(spark, folder))
+
+
 def cosine_search(spark, sf_dir):
     return retrieval.term_cosine(_docs(spark, sf_dir), _items(spark, sf_dir), k=10)
 
 
 def _lists(spark, sf_dir, k=30):
     docs, items = _docs(spark, sf_dir), _items(spark, sf_dir)
-    index = retrieval.lexical_index(docs)
-    one = retrieval.bm25(docs, items, k=k, index=index).withColumn("list", F.lit(0))
-    two = retrieval.term_cosine(docs, items, k=k, index=index).withColumn("list", F.lit(1))
-    return one.unionByName(two)
+    return retrieval.both_lists(retrieval.lexical_index(docs), items, k)
 
 
 def fuse_rankings(spark, sf_dir):
@@ -145,7 +154,7 @@ def knn_degrees(spark, sf_dir):
     return _vectors(spark, sf_dir).select("vec_id").join(ends, "vec_id", "left").fillna(0, ["degree"])
 
 
-QUERIES = {f.__name__: f for f in (bm25_search, cosine_search, fuse_rankings, golden_pairs, retrieve_hybrid, ablation, ablation_delta, rerank_hits, diverse_sources, source_breadth, neighbour_expansion, compare_retrievers, dense_search, dense_with_floor, dense_by_label, knn_graph, knn_degrees)}
+QUERIES = {f.__name__: f for f in (bm25_search, kept_index_search, cosine_search, fuse_rankings, golden_pairs, retrieve_hybrid, ablation, ablation_delta, rerank_hits, diverse_sources, source_breadth, neighbour_expansion, compare_retrievers, dense_search, dense_with_floor, dense_by_label, knn_graph, knn_degrees)}
 
 _TOK = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
 LEXICAL = rf"""
@@ -199,6 +208,7 @@ edges AS (SELECT least(p, q) AS a, greatest(p, q) AS b, max(score) AS similarity
 
 ORACLE = {
     "bm25_search": f"WITH {LEXICAL} SELECT query_id, doc, score, rank FROM bm WHERE rank <= 10",
+    "kept_index_search": f"WITH changed AS (SELECT * REPLACE (CASE WHEN lang = 'en' THEN source || ' ' || text ELSE text END AS text) FROM documents WHERE NOT coalesce(lang = 'de' AND n_chars < 400, false)), {LEXICAL.replace('documents', 'changed')} SELECT query_id, doc, score, rank FROM bm WHERE rank <= 10",
     "cosine_search": f"WITH {LEXICAL} SELECT query_id, doc, score, rank FROM co WHERE rank <= 10",
     "fuse_rankings": f"WITH {LEXICAL} SELECT * FROM fused WHERE rank <= 10",
     "golden_pairs": f"WITH {LEXICAL} SELECT * FROM golden",
