@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import states_a_position
 from tessera.operators.checkpoints import checkpointed
+from tessera.operators.walks import within_capacity
 
 GATES = ("not_a_conflict", "minority_verdict", "unstated_axis", "quote_not_in_transcript", "quote_is_not_a_position", "duplicate_evidence")
 
@@ -14,23 +15,11 @@ GATES = ("not_a_conflict", "minority_verdict", "unstated_axis", "quote_not_in_tr
 def exclusive(pairs: DataFrame, left: str, right: str, position: str) -> DataFrame:
     """``pairs`` with ``won``: what a walk in the order of ``position`` takes if each end can be used once.
 
-    A pair that comes first at both of its ends is taken, and all that touch it are lost; this repeats until none is
-    open. The result is the walk's, without a walk: each round is a few aggregations and joins, and the first open
-    pair always settles. ``position`` must be unique.
+    Each end is a key that takes one pair, see :func:`tessera.operators.walks.within_capacity`. ``position`` must be unique.
     """
-    open_, won = checkpointed(pairs.select(F.col(position).alias("p"), F.col(left).alias("a"), F.col(right).alias("b"))), None
-    while open_.limit(1).count():
-        ends = open_.select("p", F.explode(F.array("a", "b")).alias("end"))
-        first = ends.groupBy("end").agg(F.min("p").alias("p"))
-        wins = first.join(open_.select("p", F.when(F.col("a").eqNullSafe(F.col("b")), 1).otherwise(2).alias("need")), "p").groupBy("p", "need").count().where("count = need").select("p")
-        wins = checkpointed(wins)
-        spent = ends.join(wins, "p", "left_semi").select("end").distinct()
-        lost = ends.join(spent, "end", "left_semi").select("p").distinct()
-        won = wins if won is None else won.unionByName(wins)
-        open_ = checkpointed(open_.join(lost, "p", "left_anti"))
-    if won is None:
-        return pairs.withColumn("won", F.lit(False))
-    return pairs.join(won.select(F.col("p").alias(position), F.lit(True).alias("won")), position, "left").withColumn("won", F.coalesce("won", F.lit(False)))
+    ends = pairs.select(position, F.explode(F.array(left, right)).alias("key"), F.lit(1).alias("cap"))
+    won = within_capacity(ends, position).withColumn("won", F.lit(True))
+    return pairs.join(won, position, "left").withColumn("won", F.coalesce("won", F.lit(False)))
 
 
 def conflict_gates(judged: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def filtered_evaluation(spark, sf_dir):
 
 
 def conflict_layer(spark, sf_dir):
-    candidates = _judged(spark, sf_dir).where("position < 5000").drop("votes", "repeats").withColumn("pair", F.col("position") % 997)
+    candidates = _judged(spark, sf_dir).drop("votes", "repeats").withColumn("pair", F.col("position") % 997)
     return co.conflict_layer(candidates, _votes(spark, sf_dir)).select("position", "votes", "repeats", F.when(F.col("gate") != "duplicate_evidence", F.col("gate")).alias("early"))
 
 
@@ -83,7 +83,7 @@ def frontier(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     gaps = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("gap"), F.col("embedding").alias("vector"))
     rows = v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return co.frontier_round(gaps, rows.where("id % 20 = 3"), rows.where("id % 3 = 0"), 3)
+    return co.frontier_round(gaps, rows, rows.where("id % 3 = 0"), 3)
 
 
 def runner_requests(spark, sf_dir):
@@ -125,7 +125,7 @@ ORACLE = {
     "line_claims": "SELECT 'claim:' || substr(sha256(doc_id || chr(10) || x), 1, 16) AS claim, doc_id::VARCHAR AS chunk, source AS video FROM (SELECT DISTINCT doc_id, source, trim(x) AS x FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS x FROM documents)) WHERE x <> ''",
     "entry_evaluation": f"WITH {LEXICAL}, {_EVAL} SELECT * FROM {_evaluated('hv', 5)}",
     "filtered_evaluation": f"WITH {LEXICAL}, {_EVAL} SELECT arm, round(avg(recall), 4) AS recall, round(avg(video_recall), 4) AS video_recall, count(*) FILTER (answered) AS answered FROM (SELECT *, 'all' AS arm FROM {_evaluated('hv', 10)} UNION ALL SELECT *, 'english' FROM {_evaluated(_ENGLISH, 10)}) GROUP BY arm",
-    "conflict_layer": f"""WITH {_VOTES}, t AS (SELECT pair, (count(*) FILTER (verdict = 'conflict'))::INT AS votes, count(*)::INT AS repeats FROM votes GROUP BY pair), j AS (SELECT o_orderkey AS k, coalesce(votes, 0)::INT AS votes, coalesce(repeats, 0)::INT AS repeats FROM orders LEFT JOIN t ON pair = o_orderkey % 997 WHERE o_orderkey < 5000)
+    "conflict_layer": f"""WITH {_VOTES}, t AS (SELECT pair, (count(*) FILTER (verdict = 'conflict'))::INT AS votes, count(*)::INT AS repeats FROM votes GROUP BY pair), j AS (SELECT o_orderkey AS k, coalesce(votes, 0)::INT AS votes, coalesce(repeats, 0)::INT AS repeats FROM orders LEFT JOIN t ON pair = o_orderkey % 997)
       SELECT k AS position, votes, repeats, CASE WHEN votes = 0 THEN 'not_a_conflict' WHEN 2 * votes <= repeats THEN 'minority_verdict' WHEN k % 5 = 0 THEN 'unstated_axis' WHEN k % 6 = 0 THEN 'quote_not_in_transcript' WHEN k % 7 = 1 THEN 'quote_is_not_a_position' END AS early FROM j""",
     "calibration_probes": f"WITH {_VOTES}, t AS (SELECT pair, 2 * count(*) FILTER (verdict = 'conflict') > count(*) AS carried FROM votes GROUP BY pair) SELECT range AS pair, CASE WHEN range % 2 = 0 THEN 'conflict' ELSE 'unrelated' END AS expected, carried, coalesce((range % 2 = 0) = carried, false) AS ok FROM range(1000) LEFT JOIN t ON pair = range",
     "replayed_choices": "SELECT run, criterion, choice, n IS NULL AS missing FROM (SELECT range % 5 AS run, range // 5 AS criterion FROM range(1250)) LEFT JOIN (SELECT user_id % 5 AS run, user_id % 200 AS criterion, min(event_id) FILTER (event_type = 'click') AS choice, count(*) AS n FROM events GROUP BY ALL) USING (run, criterion)",
@@ -135,7 +135,7 @@ ORACLE = {
     "rescored_run": f"SELECT cell, 0.1::DOUBLE AS stored, criteria_recall AS now, criteria_recall IS NOT DISTINCT FROM 0.1 AS same FROM (SELECT DISTINCT c_custkey % 500 AS cell FROM customer) LEFT JOIN ({cq.ORACLE['critique_scores']}) USING (cell)",
     "answer_pairs": """WITH a AS (SELECT vec_id // 4 AS question, vec_id % 4 AS s, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE (vec_id // 4) % 9 > 0 OR vec_id % 4 <> 1)
       SELECT question, unnest(['one|two', 'one|three']) AS pair, unnest([round(list_cosine_similarity(max(v) FILTER (s = 0), max(v) FILTER (s = 1)), 6), round(list_cosine_similarity(max(v) FILTER (s = 0), max(v) FILTER (s = 2)), 6)]) AS likeness FROM a GROUP BY question""",
-    "frontier": f"""WITH RECURSIVE {_DENSE}, n AS (SELECT query_id, list(vec_id) AS items FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY {_SIM} DESC, vec_id) AS r FROM q, e WHERE vec_id % 20 = 3 AND vec_id % 3 > 0) WHERE r <= 3 GROUP BY query_id),
+    "frontier": f"""WITH RECURSIVE {_DENSE}, n AS (SELECT query_id, list(vec_id) AS items FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY {_SIM} DESC, vec_id) AS r FROM q, e WHERE vec_id % 3 > 0) WHERE r <= 3 GROUP BY query_id),
       o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY query_id) AS n FROM n),
       w AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS used, false AS ok UNION ALL SELECT n, CASE WHEN new THEN list_concat(used, items) ELSE used END, new FROM (SELECT o.n, items, used, NOT list_has_all(used, items) AS new FROM w JOIN o ON o.n = w.n + 1))
       SELECT query_id AS gap, unnest(items) AS chunk FROM o JOIN w USING (n) WHERE ok""",

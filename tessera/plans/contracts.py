@@ -79,7 +79,7 @@ def finding_contract(spark, sf_dir):
 
 
 def golden_candidates(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").where("item_id < 200")
+    items = table(spark, sf_dir, "benchmark")
     chunks = F.when(F.col("item_id") % 4 > 0, F.array(F.col("item_id") % 5, F.col("item_id") % 5, F.lit(7).cast("long"))).otherwise(F.array().cast("array<long>"))
     out = ct.candidate_records(items.select(F.col("item_id").alias("position"), F.concat(F.lit(" "), "text").alias("question"), F.lit(None).cast("string").alias("answer"), chunks.alias("chunks")))
     return out.withColumn("chunks", F.array_join(F.transform("chunks", lambda x: x.cast("string")), ","))
@@ -163,7 +163,7 @@ ORACLE = {
       SELECT unit, unnest(range(1, len(l) + 1)) AS position, unnest(l) AS question FROM p""",
     "finding_contract": """WITH f AS (SELECT o_orderkey AS cell, CASE WHEN o_orderkey % 3 > 0 THEN 'f1' END AS one, CASE WHEN o_orderkey % 3 > 0 THEN 'f2' ELSE 'f1' END AS two, o_orderkey AS k FROM orders)
       SELECT cell, one AS finding, 'c' || k % 10 AS criterion, k % 2 = 0 AS contested, (k % 4)::INT AS citations FROM f WHERE one IS NOT NULL UNION ALL SELECT cell, two, 'last', false, 1 FROM f""",
-    "golden_candidates": "SELECT 'g' || lpad((row_number() OVER (ORDER BY item_id))::VARCHAR, 3, '0') AS id, trim(text) AS question, '' AS answer, item_id % 5 || ',7' AS chunks FROM benchmark WHERE item_id < 200 AND item_id % 4 > 0",
+    "golden_candidates": "SELECT 'g' || lpad((row_number() OVER (ORDER BY item_id))::VARCHAR, 3, '0') AS id, trim(text) AS question, '' AS answer, item_id % 5 || ',7' AS chunks FROM benchmark WHERE item_id % 4 > 0",
     "chat_log": "SELECT 'chat:' || substr(sha256(turn || chr(10) || text), 1, 16) AS entry, turn AS asked_at, CASE WHEN conv_id % 3 > 0 AND trim(text) <> '' THEN 'answer' ELSE 'failed' END AS kind FROM conversations WHERE role = 'user'",
     "run_descriptions": f"SELECT * FROM {_CELLS}",
     "newest_run": f"SELECT * FROM {_CELLS} ORDER BY run DESC LIMIT 1",

@@ -10,7 +10,7 @@ from tessera.sources.tables import table
 
 
 def pair_caps(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 8 = 0")
+    o = table(spark, sf_dir, "orders")
     pairs = o.select(F.col("o_orderkey").alias("position"), F.col("o_custkey").alias("chunk_a"), (F.col("o_orderkey") % 997 + 100000).alias("chunk_b"), (F.col("o_custkey") % 7).alias("source_a"), (F.col("o_orderkey") % 5).alias("source_b"))
     return walks.capped_pairs(pairs, 40, 2, 600).select("position")
 
@@ -52,7 +52,7 @@ def sweep_outcomes(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (pair_caps, novel_evidence, distinct_rules, followup_choice, chunk_windows, section_choice, sweep_outcomes)}
 
 ORACLE = {
-    "pair_caps": """WITH RECURSIVE o AS MATERIALIZED (SELECT o_orderkey AS position, o_custkey AS a, o_orderkey % 997 + 100000 AS b, least(o_custkey % 7, o_orderkey % 5) * 10 + greatest(o_custkey % 7, o_orderkey % 5) AS s, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 8 = 0),
+    "pair_caps": """WITH RECURSIVE o AS MATERIALIZED (SELECT o_orderkey AS position, o_custkey AS a, o_orderkey % 997 + 100000 AS b, least(o_custkey % 7, o_orderkey % 5) * 10 + greatest(o_custkey % 7, o_orderkey % 5) AS s, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders),
       w AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS c, []::BIGINT[] AS t, false AS ok UNION ALL SELECT n, CASE WHEN free THEN list_concat(c, [a, b]) ELSE c END, CASE WHEN free THEN list_append(t, s) ELSE t END, free
         FROM (SELECT o.n, a, b, s, c, t, len(list_filter(c, lambda x: x = a)) < 2 AND len(list_filter(c, lambda x: x = b)) < 2 AND len(list_filter(t, lambda x: x = s)) < 40 AS free FROM w JOIN o ON o.n = w.n + 1))
       SELECT position FROM o JOIN w USING (n) WHERE ok ORDER BY position LIMIT 600""",
