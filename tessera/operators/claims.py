@@ -78,13 +78,39 @@ def entities_listed(entities: DataFrame, limit: int = 2000) -> DataFrame:
     return entities.orderBy(F.desc("mentions"), "entity").limit(limit)
 
 
+def _grams(text: Column, n: int) -> Column:
+    """The distinct runs of ``n`` characters of a text."""
+    cut = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n)))
+    return F.when(F.length(text) >= n, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
+
+
+def holding(names: DataFrame, terms: DataFrame, q: int = 3) -> DataFrame:
+    """``names`` joined with the ``terms`` (query_id, term) that their ``said`` holds, whatever the case.
+
+    Both sides meet on one run of ``q`` characters of the term, the one that fewest names have, and are then compared:
+    an equality join, however many names and terms there are. Shorter terms meet on their whole. Empty terms are none.
+    """
+    asked = terms.where("term <> ''").select("query_id", F.lower("term").alias("__term")).distinct()
+    size = F.least(F.length("__term"), F.lit(q)).alias("n")
+    # one to q
+    sizes = sorted(r["n"] for r in asked.select(size).distinct().collect())
+    low = names.withColumn("__low", F.lower("said"))
+    if not sizes:
+        return low.drop("__low").crossJoin(asked.select("query_id").limit(0))
+    held = low.withColumn("__gram", F.explode(F.flatten(F.array(*(_grams(F.col("__low"), n) for n in sizes)))))
+    runs = asked.select("*", F.explode(F.coalesce(*(F.when(size == n, _grams(F.col("__term"), n)) for n in sizes))).alias("__gram"))
+    counts = held.join(runs.select("__gram").distinct(), "__gram", "left_semi").groupBy("__gram").agg(F.count("*").alias("__n"))
+    rarest = runs.join(counts, "__gram", "left").groupBy("query_id", "__term").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)), "__gram"))["__gram"].alias("__gram"))
+    return held.join(rarest, "__gram").where(F.contains("__low", "__term")).drop("__low", "__gram", "__term")
+
+
 def resolved(entities: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
     """``(query_id, entity, mentions, rank)``: entities whose name or an alias holds a term of the query, whatever the case.
 
-    ``terms`` has ``query_id, term`` and is small: a question's words. It goes to every task.
+    ``terms`` has ``query_id, term``.
     """
     names = entities.select("entity", "mentions", F.explode(F.concat(F.array("name"), "aliases")).alias("said"))
-    hits = names.join(F.broadcast(terms.where("term <> ''")), F.contains(F.lower("said"), F.lower("term"))).select("query_id", "entity", "mentions").distinct()
+    hits = holding(names, terms).select("query_id", "entity", "mentions").distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("mentions"), "entity")
     return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)
 

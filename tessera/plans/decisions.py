@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import documents as dc
-from tessera.operators import gates
+from tessera.operators import adjudication, gates
+from tessera.operators.checkpoints import scratch
 from tessera.sources import landing
 from tessera.sources.tables import table
 
@@ -75,7 +76,21 @@ def interleaved_lists(spark, sf_dir):
     return gates.interleave(docs.select("doc_id", (-F.col("n_chars")).alias("rank")), docs.select("doc_id", F.col("doc_id").alias("rank")), "doc_id", "rank", 40)
 
 
-QUERIES = {f.__name__: f for f in (document_kinds, composite_scores, listing_window, reference_numbers, conflict_gates, near_misses, interleaved_lists)}
+def _verdict(a: str, b: str, attempt: int) -> str:
+    if b == "P":
+        raise RuntimeError("no answer")
+    return "conflict" if (len(a) + attempt) % 3 else "unrelated"
+
+
+def kept_verdicts(spark, sf_dir):
+    """Votes on all orders after a run of two looks that goes on with a third: the first two are not asked again."""
+    pairs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk_a"), F.col("o_custkey").alias("chunk_b"), F.col("o_orderpriority").alias("text_a"), F.col("o_orderstatus").alias("text_b"))
+    folder = scratch(spark, "verdicts")
+    adjudication.adjudicated(pairs, 2, _verdict, folder, "run", commits=2)
+    return adjudication.votes(adjudication.adjudicated(pairs, 3, _verdict, folder, "run", commits=2))
+
+
+QUERIES = {f.__name__: f for f in (kept_verdicts, document_kinds, composite_scores, listing_window, reference_numbers, conflict_gates, near_misses, interleaved_lists)}
 
 
 def _any(text: str, signals: tuple[str, ...]) -> str:
@@ -98,6 +113,7 @@ _TURNS = """WITH RECURSIVE l AS (SELECT list(doc_id ORDER BY n_chars DESC, doc_i
 w AS (SELECT -1 AS position, NULL::BIGINT AS doc_id, []::BIGINT[] AS taken UNION ALL
   SELECT position + 1, x, list_append(taken, x) FROM (SELECT position, taken, CASE WHEN (position + 1) % 2 = 0 THEN list_filter(a[1:80], lambda k: NOT list_contains(taken, k))[1] ELSE list_filter(b[1:80], lambda k: NOT list_contains(taken, k))[1] END AS x FROM w, l, m WHERE position < 39))"""
 ORACLE = {
+    "kept_verdicts": """SELECT o_orderkey AS chunk_a, o_custkey AS chunk_b, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE (SELECT count(*) FROM range(3) t(i) WHERE (length(o_orderpriority) + i) % 3 > 0)::INT END AS votes, 3::INT AS repeats, CASE WHEN o_orderstatus = 'P' THEN 3 ELSE 0 END::INT AS errors FROM orders""",
     "conflict_gates": f"{_WALK} SELECT position, CASE WHEN gate IS NOT NULL THEN gate WHEN NOT won THEN 'duplicate_evidence' END AS gate FROM j LEFT JOIN (SELECT position, won FROM o JOIN w USING (n)) USING (position)",
     "interleaved_lists": f"{_TURNS} SELECT position::INT AS position, doc_id FROM w WHERE position >= 0",
     "document_kinds": f"""SELECT doc_id, kind, CASE WHEN kind = 'document' THEN 'no criteria' END AS warning
