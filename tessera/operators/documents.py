@@ -1,4 +1,4 @@
-"""Web documents as titled, ordered sections, and quotes snapped to their sources."""
+"""Web documents as titled, ordered sections."""
 
 from __future__ import annotations
 
@@ -6,11 +6,9 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.folds import QUOTE_WORD, quote_ratio, verbatim_span
-
 #: Shorter sections go into the one before.
 LEAST_CHARS = 40
 # fixed values: elements without text of their own, and elements that end a run of text
@@ -126,35 +124,3 @@ def sections(pages: DataFrame, id_col: str, body_col: str, html: bool = True) ->
         return pd.DataFrame({"title": [t for t, _ in made], "sections": [[{"heading": h, "text": x} for h, x in s] for _, s in made]})
 
     return pages.select(F.col(id_col), run(F.col(body_col)).alias("d")).select(id_col, "d.title", F.posexplode("d.sections").alias("index", "s")).select(id_col, "title", "index", "s.heading", "s.text")
-
-
-def snapped(quote: Column, source: Column, most: int = 3, spare: int = 4) -> Column:
-    """The source's own words for a quote that it holds to four fifths; null if the span is more than three times as long as the quote."""
-
-    @F.pandas_udf("string")
-    def run(q: pd.Series, s: pd.Series) -> pd.Series:
-        def one(said, whole):
-            span = verbatim_span(said, whole, 1)
-            return span if span is not None and len(QUOTE_WORD.findall(span.lower())) <= most * len(QUOTE_WORD.findall(said.lower())) + spare else None
-
-        return pd.Series([one(x, y) for x, y in zip(q, s, strict=True)], dtype="object")
-
-    return run(quote, source)
-
-
-def evidence_reconciled(evidence: DataFrame, excerpts: DataFrame, least: float = 0.8) -> DataFrame:
-    """``(rule, chunk, span, at, ratio)``: quotes joined with the excerpt that their number names, kept if it holds enough of them, each chunk and span of a rule once.
-
-    ``evidence`` has ``rule, number, quote``; ``excerpts`` has ``number`` (from 1), ``chunk, text, start, end``. The time
-    of a quote is as far into its excerpt as its first word is into the text.
-    """
-
-    @F.pandas_udf("span string, ratio double")
-    def run(q: pd.Series, s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(verbatim_span(x, y, 1, least), round(quote_ratio(x, y), 6)) for x, y in zip(q, s, strict=True)], columns=["span", "ratio"])
-
-    met = evidence.join(excerpts, "number").withColumn("f", run("quote", "text"))
-    good = met.where(F.col("f.span").isNotNull()).select("rule", "chunk", F.col("f.span").alias("span"), F.col("f.ratio").alias("ratio"), "text", "start", "end")
-    at = F.col("start") + (F.col("end") - F.col("start")) * (F.expr("instr(text, span)") - 1) / F.greatest(F.length("text"), F.lit(1))
-    first = good.withColumn("at", F.round(at, 3)).withColumn("n", F.row_number().over(Window.partitionBy("rule", "chunk", "span").orderBy(F.desc("ratio"), "at")))
-    return first.where("n = 1").select("rule", "chunk", "span", "at", "ratio")

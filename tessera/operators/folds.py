@@ -1,16 +1,12 @@
-"""Order-dependent folds within one document or group: chunks, windows, budgets, round robins and quotes."""
+"""Order-dependent folds within one document or group: chunks and round robins."""
 
 from __future__ import annotations
 
-import difflib
-import re
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = "chunk_index int, text string, start_segment int, end_segment int"
-QUOTE_WORD = re.compile(r"[a-z0-9']+")
 
 
 def chunk_segments(segments: list[str], target: int = 1200, overlap: int = 150) -> list[tuple[int, str, int, int]]:
@@ -45,34 +41,6 @@ def chunks(docs: DataFrame, id_col: str, segments_col: str, target: int = 1200,
     return docs.select(F.col(id_col), F.explode(cut(F.col(segments_col))).alias("c")).select(id_col, "c.*")
 
 
-def centred_window(texts: list[str], at: int, budget: int) -> tuple[int, int]:
-    """First and last neighbour around ``at``: sides grow in turn, before first, while a whole one fits; a side stops for good at its first misfit."""
-    low = high = at
-    left, right, room = True, True, budget - len(texts[at])
-    while left or right:
-        if left:
-            left = low > 0 and len(texts[low - 1]) <= room
-            if left:
-                low -= 1
-                room -= len(texts[low])
-        if right:
-            right = high + 1 < len(texts) and len(texts[high + 1]) <= room
-            if right:
-                high += 1
-                room -= len(texts[high])
-    return low, high
-
-
-def select_within(sizes: list[int], order: list[int], budget: int) -> list[int]:
-    """Positions taken in ``order`` while they fit; what doesn't fit is skipped, the first is always taken; in original order."""
-    taken, room = [], budget
-    for i in order:
-        if not taken or sizes[i] <= room:
-            taken.append(i)
-            room -= sizes[i]
-    return sorted(taken)
-
-
 def round_robin(rows: DataFrame, group: str, member: str, order: str, limit: int) -> DataFrame:
     """Up to ``limit`` rows of each group: the first of each member, then the second of each, members with more rows first, then by name."""
     sizes = rows.groupBy(group, member).agg(F.count("*").alias("__n"))
@@ -81,56 +49,3 @@ def round_robin(rows: DataFrame, group: str, member: str, order: str, limit: int
     deep = first.withColumn("depth", F.col("depth").cast("long")).join(sizes, [group, member])
     place = F.row_number().over(Window.partitionBy(group).orderBy("depth", F.col("__n").desc(), member))
     return deep.withColumn("position", place).where(F.col("position") <= limit).withColumn("position", F.col("position").cast("long")).drop("__n")
-
-
-def quote_ratio(quote: str | None, source: str | None) -> float:
-    """Share of the quote's words in matching blocks with the source, found longest first."""
-    a, b = QUOTE_WORD.findall((quote or "").lower()), QUOTE_WORD.findall((source or "").lower())
-    if not a:
-        return 0.0
-    return sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()) / len(a)
-
-
-def verbatim_span(quote: str | None, source: str | None, least_words: int = 10, least_ratio: float = 0.8) -> str | None:
-    """The source's own words from the first to the last matching block; null if the quote is short or matches too little."""
-    a = QUOTE_WORD.findall((quote or "").lower())
-    spots = list(QUOTE_WORD.finditer((source or "").lower()))
-    if len(a) < least_words:
-        return None
-    blocks = [m for m in difflib.SequenceMatcher(None, a, [m[0] for m in spots], autojunk=False).get_matching_blocks() if m.size]
-    if sum(m.size for m in blocks) < least_ratio * len(a):
-        return None
-    return source[spots[blocks[0].b].start() : spots[blocks[-1].b + blocks[-1].size - 1].end()]
-
-
-def quote_ratios(quote: Column, source: Column) -> Column:
-    @F.pandas_udf("double")
-    def run(q: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([round(quote_ratio(x, y), 6) for x, y in zip(q, s, strict=True)])
-
-    return run(quote, source)
-
-
-def novel_first(sets: list[tuple[str, set]], seen: set | None = None) -> list[str]:
-    """Names admitted in order: those with something unseen; what an admitted one holds is seen from then on."""
-    known, kept = set(seen or ()), []
-    for name, items in sets:
-        if items - known:
-            kept.append(name)
-            known |= items
-    return kept
-
-
-def capped(pairs: list[tuple], per_pair: int = 12, per_chunk: int = 2, most: int = 600) -> list[tuple]:
-    """``(chunk a, chunk b, source a, source b, ...)`` in order, with limits for each pair of sources and each chunk."""
-    by_pair: dict = {}
-    by_chunk: dict = {}
-    kept = []
-    for p in pairs:
-        sources = tuple(sorted(map(str, p[2:4])))
-        if len(kept) < most and by_pair.get(sources, 0) < per_pair and by_chunk.get(p[0], 0) < per_chunk and by_chunk.get(p[1], 0) < per_chunk:
-            kept.append(p)
-            by_pair[sources] = by_pair.get(sources, 0) + 1
-            for c in p[:2]:
-                by_chunk[c] = by_chunk.get(c, 0) + 1
-    return kept

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import communities, folds, graph, joins, store
+from tessera.operators import communities, folds, graph, joins, quotes, store
 from tessera.sources.tables import table
 
 
@@ -154,10 +154,22 @@ def quote_support(spark, sf_dir):
 
     pairs = golden_pairs(spark, sf_dir)
     texts = pairs.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("quote")), "query_id").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"), "doc")
-    return texts.select("query_id", "doc", folds.quote_ratios(F.col("quote"), F.col("text")).alias("ratio"))
+    return texts.select("query_id", "doc", quotes.ratios(F.col("quote"), F.col("text")).alias("ratio"))
 
 
-QUERIES = {f.__name__: f for f in (citation_spans, nearest_reference, exclusive_evidence, best_criterion, greedy_one_to_one, orders_fully_retrieved, rubric_change, pack_members, latest_state, upsert_documents, stale_chunks, read_through, entity_edges, one_hop, graph_communities, conflict_candidates, vector_projection, document_chunks, plain_sections, representative_rows, quote_support)}
+def located_quotes(spark, sf_dir):
+    """All documents that have half of a benchmark item's runs of three words or more."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return quotes.located(items, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"))
+
+
+def quote_sources(spark, sf_dir):
+    """The document that holds most of an item, and its own words for it."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return quotes.best_sources(items, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"))
+
+
+QUERIES = {f.__name__: f for f in (located_quotes, quote_sources, citation_spans, nearest_reference, exclusive_evidence, best_criterion, greedy_one_to_one, orders_fully_retrieved, rubric_change, pack_members, latest_state, upsert_documents, stale_chunks, read_through, entity_edges, one_hop, graph_communities, conflict_candidates, vector_projection, document_chunks, plain_sections, representative_rows, quote_support)}
 
 _SPANS = "sp AS (SELECT user_id % 50 AS video, event_id, floor(epoch(ts)) AS start, floor(epoch(ts)) + round(value) AS stop, event_type FROM events)"
 _EDGES = """rel AS (SELECT 's' || l_suppkey AS src, 'm' || (l_partkey % 300) AS dst, l_linenumber AS type, max(l_discount::DOUBLE * 5) AS w FROM lineitem GROUP BY ALL),
@@ -177,7 +189,9 @@ w AS (SELECT doc_id, 0 AS chunk_index, 0::BIGINT AS a, {end0} AS z FROM e UNION
   SELECT doc_id, chunk_index, a, {end} AS z FROM (SELECT e.doc_id, chunk_index + 1 AS chunk_index, e.n, e.p, coalesce(list_min(list_filter(range(a + 1, z), lambda b: e.p[z + 1] - e.p[b + 1] + (z - b - 1) <= 150)), z) AS a FROM w JOIN e ON e.doc_id = w.doc_id AND w.z < e.n))
 SELECT doc_id, chunk_index::INT AS chunk_index, regexp_replace(array_to_string(l[a + 1:z], ' '), '^\s+|\s+$', '', 'g') AS text, a::INT AS start_segment, (z - 1)::INT AS end_segment FROM w JOIN e USING (doc_id)"""
 _END = "greatest({a} + 1, coalesce(list_max(list_filter(range({a} + 1, n + 1), lambda z: p[z + 1] - p[{a} + 1] + (z - {a} - 1) <= 1200)), 0))"
+_RUNS = "SELECT DISTINCT id, run FROM (SELECT id, i, n, concat_ws(' ', w, lead(w) OVER x, lead(w, 2) OVER x) AS run FROM (SELECT {id} AS id, unnest(t) AS w, generate_subscripts(t, 1) AS i, len(t) AS n FROM (SELECT {id}, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+') AS t FROM {table})) WINDOW x AS (PARTITION BY id ORDER BY i)) WHERE i <= greatest(n - 2, 1)"
 ORACLE = {
+    "located_quotes": f"WITH q AS ({_RUNS.format(id='item_id', table='benchmark')}), d AS ({_RUNS.format(id='doc_id', table='documents')}) SELECT query_id, doc, shared FROM (SELECT q.id AS query_id, d.id AS doc, round(count(*) / any_value(n), 6) AS shared FROM q JOIN d USING (run) JOIN (SELECT id, count(*) AS n FROM q GROUP BY id) s ON s.id = q.id GROUP BY q.id, d.id) WHERE shared >= 0.5",
     "greedy_one_to_one": f"{_GREEDY} SELECT run, l_suppkey, l_partkey, score FROM p JOIN w USING (run, n) WHERE took",
     "document_chunks": _CHUNKED.replace("{end0}", _END.replace("{a}", "0")).replace("{end}", _END.replace("{a}", "a")),
     "citation_spans": f"WITH {_SPANS} SELECT p.event_id AS citation, v.event_id AS chunk FROM sp p JOIN sp v ON p.video = v.video AND p.event_type = 'purchase' AND v.event_type = 'view' AND p.start BETWEEN v.start - 20 AND v.stop + 20",

@@ -127,20 +127,6 @@ def test_chunker():
     assert [(c[2], c[3]) for c in folds.chunk_segments(["aaaa", "bbbb", "cccc"], 9, 0)] == [(0, 1), (2, 2)]
 
 
-def test_windows_and_budgets():
-    assert folds.centred_window(["aa", "bbbb", "c", "dd", "eeeeee"], 2, 8) == (1, 3)
-    assert folds.select_within([50, 60, 5], [1, 0, 2], 66) == [1, 2]
-    assert folds.novel_first([("a", {1}), ("b", {1}), ("c", {1, 2})]) == ["a", "c"]
-    assert len(folds.capped([("c1", f"d{i}", "s", "t") for i in range(5)])) == 2
-
-
-def test_quotes():
-    assert folds.quote_ratio("a b c d", "x a b y c d") == 1.0 and folds.quote_ratio("", "x") == 0.0
-    said = "One, two three four five six seven eight nine TEN eleven"
-    assert folds.verbatim_span("two three four five six seven eight nine ten eleven", said) == said[5:]
-    assert folds.verbatim_span("two three", said) is None
-
-
 def test_communities_separate_cliques(spark):
     edges = [(a, b, 1.0) for base in (0, 10) for a in range(base, base + 5) for b in range(a + 1, base + 5)] + [(4, 10, 0.1), (2, 2, 1.0), (3, None, 9.0), (0, 14, 0.0), (7, 7, 2.0)]
     df = spark.createDataFrame(edges, "a long, b long, weight double")

@@ -61,10 +61,28 @@ def test_admission_and_distance_are_those_of_a_walk(spark):
     assert sorted(x.position for x in got.collect()) == kept
 
 
+def centred_window(texts: list[str], at: int, budget: int) -> tuple[int, int]:
+    """First and last neighbour around ``at``: sides grow in turn, before first, while a whole one fits; a side stops for good at its first misfit."""
+    low = high = at
+    left, right, room = True, True, budget - len(texts[at])
+    while left or right:
+        if left:
+            left = low > 0 and len(texts[low - 1]) <= room
+            if left:
+                low -= 1
+                room -= len(texts[low])
+        if right:
+            right = high + 1 < len(texts) and len(texts[high + 1]) <= room
+            if right:
+                high += 1
+                room -= len(texts[high])
+    return low, high
+
+
 def test_windows_and_sections_of_a_budget(spark):
     chunks = spark.createDataFrame([("v", i, s) for i, s in enumerate([5, 3, 4, 2, 9])], "video string, index long, size long")
     rows = {r["index"]: (r.low, r.high) for r in walks.windows(chunks, 10).collect()}
-    assert rows == {i: folds.centred_window(["x" * s for s in [5, 3, 4, 2, 9]], i, 10) for i in range(5)}
+    assert rows == {i: centred_window(["x" * s for s in [5, 3, 4, 2, 9]], i, 10) for i in range(5)}
     sections = spark.createDataFrame([(1, 0, 2, 8), (1, 1, 0, 9), (1, 2, 1, 1), (2, 0, 0, 3)], "document long, index long, rank long, size long")
     assert sorted(tuple(r) for r in walks.selected_sections(sections, 10).collect()) == [(1, 1), (1, 2), (2, 0)]
 
@@ -88,16 +106,6 @@ def test_sections_of_pages(spark):
     assert {r.id for r in rows} == {1} and rows[0].title == "A page"
 
 
-def test_quotes_are_the_sources_own_words(spark):
-    source = "Well, they said: the quick brown fox jumps over the lazy dog, and then it slept all day long."
-    rows = spark.createDataFrame([("the quick brown fox jumps over a lazy dog", source), ("nothing of this is there at all", source), (None, source)], "q string, s string")
-    assert [r.x for r in rows.select(documents.snapped(F.col("q"), F.col("s")).alias("x")).collect()] == ["the quick brown fox jumps over the lazy dog", None, None]
-    evidence = spark.createDataFrame([("r", 1, "the quick brown fox"), ("r", 1, "The quick brown fox!"), ("r", 2, "the quick brown fox"), ("r", 9, "x")], "rule string, number long, quote string")
-    excerpts = spark.createDataFrame([(1, "c1", source, 0.0, 100.0), (2, "c2", "other words", 0.0, 1.0)], "number long, chunk string, text string, start double, end double")
-    (row,) = documents.evidence_reconciled(evidence, excerpts).collect()
-    assert (row.chunk, row.span, row.ratio) == ("c1", "the quick brown fox", 1.0) and row.at == pytest.approx(100 * source.index("the quick") / len(source), abs=1e-3)
-
-
 def test_well_separated_groups_are_clusters(spark):
     rng = np.random.default_rng(3)
     centres = np.eye(6)[:3]
