@@ -14,6 +14,8 @@ from tessera.operators.checkpoints import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
+#: Components of questions that are sent to every task at most: 32 MB as doubles.
+SENT_VALUES = 4_000_000
 #: Rows of either side in one block of a vector search, on average.
 BLOCK_ROWS = 8192
 
@@ -87,7 +89,8 @@ def dense(
 ) -> DataFrame:
     """``(query_id, id, score, rank)``: the exact ``k`` nearest by cosine of all rows, for ``queries`` of ``query_id`` and ``vector``.
 
-    Both sides are dealt into blocks of bounded size; each pair of blocks is one task, which keeps each query's best
+    Up to ``BLOCK_ROWS`` questions of ``SENT_VALUES`` components in all are sent to the tasks that read the rows. Beyond
+    that both sides are dealt into blocks of bounded size; each pair of blocks is one task, which keeps each query's best
     ``k`` of it, so nothing passes through the driver and a task holds two blocks at most. With ``groups="other"`` rows
     of the query's own group (column ``group_col`` of both sides) are left out before anything is cut, with ``"each"``
     the best ``k`` of each group are returned, with the ``group``. Null vectors are left out; vectors with values that
@@ -98,13 +101,20 @@ def dense(
     none = F.lit(None).cast("string")
     v = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), (F.col(group_col) if grouped else none).alias("group"))
     q = queries.where(F.col("vector").isNotNull()).select("query_id", "vector", (F.col(group_col) if groups == "other" else none).alias("group"))
-    blocks = [max(1, -(-x.count() // BLOCK_ROWS)) for x in (v, q)]
-    deal = lambda x, name, own, other: x.select("*", F.pmod(F.xxhash64(name, "vector"), F.lit(own)).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long"))).alias("met"))
-    rows = deal(v, "id", *blocks).withColumnsRenamed({"own": "vb", "met": "qb"})
-    asked = deal(q, "query_id", *reversed(blocks)).withColumnsRenamed({"own": "qb", "met": "vb"})
     kinds = {x.name: x.dataType for x in v.schema}
     schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, id {kinds['id'].simpleString()}, score double, group {kinds['group'].simpleString()}"
-    near = asked.groupBy("qb", "vb").cogroup(rows.groupBy("qb", "vb")).applyInArrow(_best(k, min_score, max_score, skip_self, groups), schema)
+    best = _best(k, min_score, max_score, skip_self, groups)
+    asked_rows, widest = q.agg(F.count("*"), F.max(F.size("vector"))).first()
+    if asked_rows <= BLOCK_ROWS and asked_rows * (widest or 0) <= SENT_VALUES:
+        # few questions go to the rows, which then stay where they are; each batch gives its best
+        sent = q.toArrow()
+        near = v.mapInArrow(lambda batches: (b for batch in batches for b in best(sent, pa.Table.from_batches([batch])).to_batches()), schema)
+    else:
+        blocks = [max(1, -(-v.count() // BLOCK_ROWS)), -(-asked_rows // BLOCK_ROWS)]
+        deal = lambda x, name, own, other: x.select("*", F.pmod(F.xxhash64(name, "vector"), F.lit(own)).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long"))).alias("met"))
+        rows = deal(v, "id", *blocks).withColumnsRenamed({"own": "vb", "met": "qb"})
+        asked = deal(q, "query_id", *reversed(blocks)).withColumnsRenamed({"own": "qb", "met": "vb"})
+        near = asked.groupBy("qb", "vb").cogroup(rows.groupBy("qb", "vb")).applyInArrow(best, schema)
     if groups != "each":
         return ranked(near.drop("group"), "score", "id", k)
     order = Window.partitionBy("query_id", "group").orderBy(F.col("score").desc(), "id")

@@ -71,5 +71,5 @@ ORACLE = {
       SELECT page_id, (part - 1)::INT AS index, '' AS heading, string_agg(s, chr(10) ORDER BY i) AS text, '' AS title FROM g GROUP BY page_id, part""",
     "layout": """WITH p AS (SELECT s_suppkey, s_acctbal::DOUBLE AS x, s_nationkey * 100.0::DOUBLE AS y FROM supplier), b AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM p)
       SELECT s_suppkey, round((x - (lx + hx) / 2) / greatest(hx - lx, hy - ly), 6) AS x, round((y - (ly + hy) / 2) / greatest(hx - lx, hy - ly), 6) AS y FROM p, b""",
-    "layout_digest": f"""SELECT * FROM (SELECT count(*) AS nodes, bit_xor({_MARK.format(x='s_suppkey::VARCHAR')}) AS node_mark FROM supplier), (SELECT count(*) AS edges, bit_xor({_MARK.format(x="a || '|' || b")}) AS edge_mark FROM (SELECT DISTINCT least(l_suppkey, l_partkey % 100) AS a, greatest(l_suppkey, l_partkey % 100) AS b FROM lineitem))""",
+    "layout_digest": f"""SELECT * FROM (SELECT count(*) AS nodes, (sum({_MARK.format(x='s_suppkey::VARCHAR')}) % 1152921504606846976)::BIGINT AS node_mark FROM supplier), (SELECT count(*) AS edges, (sum({_MARK.format(x="a || '|' || b")}) % 1152921504606846976)::BIGINT AS edge_mark FROM (SELECT DISTINCT least(l_suppkey, l_partkey % 100) AS a, greatest(l_suppkey, l_partkey % 100) AS b FROM lineitem))""",
 }
