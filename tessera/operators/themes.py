@@ -2,56 +2,66 @@
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
-from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import graph
-from tessera.operators.checkpoints import checkpointed
+from tessera.operators import mixtures
+from tessera.operators.checkpoints import written
 
 MEMBERSHIP = 0.1
 LEAST_ROWS = 4
 
 
-def information_criterion(log_likelihood: float, components: int, width: int, rows: int) -> float:
-    """BIC of a mixture with full covariances: smaller is better."""
-    free = components - 1 + components * width + components * width * (width + 1) // 2
-    return free * math.log(rows) - 2 * log_likelihood
+@dataclass(frozen=True)
+class Settings:
+    """Axes and components of the first pass and of those inside its components, rows that a cluster aims for, least posterior and size."""
 
+    axes: int = 10
+    most: int = 30
+    inner_axes: int = 8
+    inner_most: int = 30
+    target: int = 50
+    membership: float = MEMBERSHIP
+    least_rows: int = LEAST_ROWS
+    seed: int = 0
 
-def fitted(points: DataFrame, width: int, most: int, rows: int, seed: int = 0, steps: int = 50) -> GaussianMixtureModel | None:
-    """The mixture of 1 to ``most`` components, but fewer than rows, with the least BIC, over ``points`` with a vector ``v``."""
-    best, least = None, math.inf
-    for k in range(2, min(most, rows - 1) + 1):
-        model = GaussianMixture(k=k, featuresCol="v", probabilityCol="p", predictionCol="c", seed=seed, maxIter=steps).fit(points)
-        score = information_criterion(model.summary.logLikelihood, k, width, rows)
-        if score < least:
-            best, least = model, score
-    return best
 
+def soft_clusters(vectors: DataFrame, id_col: str, vector_col: str, settings: Settings = Settings()) -> DataFrame:
+    """``(id, cluster, weight)``: unit vectors in overlapping clusters, by two passes of mixtures whose number of components the BIC chooses.
 
-def soft_clusters(vectors: DataFrame, id_col: str, vector_col: str, width: int = 10, most: int = 30, membership: float = MEMBERSHIP) -> DataFrame:
-    """``(id, cluster, weight)``: unit vectors, reduced to their main axes, with each component that holds a tenth of them or more; a row can be in several clusters.
-
-    Clusters of fewer than four rows are left out. Fewer than four rows make one cluster of all.
+    The first pass reduces all vectors to their main axes and fits full covariances. Inside each of its components of
+    more than twice ``target`` rows a second pass does so again with the component's own axes and with variances only,
+    one component for each ``target`` rows at most and not more than ``inner_most``; all components are fitted together.
+    A row is in every cluster that has ``membership`` of it or more. Clusters of fewer than ``least_rows`` rows are left
+    out. Fewer rows than that make one cluster of all. Null vectors are left out, a zero vector stays zero.
     """
     size = F.sqrt(F.aggregate(vector_col, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    unit = vectors.where(F.col(vector_col).isNotNull()).select(id_col, F.transform(vector_col, lambda x: F.when(size > 0, x / size).otherwise(F.lit(0.0)).cast("double")).alias("u"))
+    unit = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: F.when(size > 0, x / size).otherwise(F.lit(0.0)).cast("double")).alias("x"))
+    unit = written(unit.withColumn("g", F.lit(0)))
     rows = unit.count()
-    if rows < LEAST_ROWS:
-        return unit.select(id_col, F.lit(0).alias("cluster"), F.lit(1.0).alias("weight"))
-    mean, axes = graph.principal_axes(unit, "u", min(width, rows - 1))
-    flat = graph.project(unit, id_col, "u", mean, axes)
-    points = checkpointed(flat.select(id_col, array_to_vector(F.array(*(f"x{i}" for i in range(len(axes))))).alias("v")))
-    model = fitted(points, len(axes), most, rows)
-    if model is None:
-        return unit.select(id_col, F.lit(0).alias("cluster"), F.lit(1.0).alias("weight"))
-    parts = model.transform(points).select(id_col, F.posexplode(vector_to_array("p")).alias("cluster", "weight")).where(F.col("weight") >= membership)
-    large = parts.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS)
-    return parts.join(large.select("cluster"), "cluster", "left_semi").select(id_col, "cluster", F.round("weight", 6).alias("weight"))
+    named = lambda df: df.select(F.col("id").alias(id_col), "cluster", F.round("weight", 6).alias("weight"))
+    whole = unit.withColumns({"cluster": F.lit(0), "weight": F.lit(1.0)})
+    if rows < settings.least_rows:
+        return named(whole)
+    points = written(mixtures.projected(unit, mixtures.axes(unit, settings.axes)))
+    top = mixtures.fitted(points, {0: settings.most}, True, settings.seed)
+    if not top:
+        return named(whole)
+    outer = written(mixtures.members(points, top, settings.membership).select(F.col("component").alias("g"), "id", "weight"))
+    sizes = {r["g"]: r["n"] for r in outer.groupBy("g").agg(F.count("*").alias("n")).collect()}
+    large = {g: min(settings.inner_most, max(2, n // settings.target)) for g, n in sizes.items() if n > 2 * settings.target}
+    found = outer.where(~F.col("g").isin([*large, -1])).select("g", F.lit(0).alias("component"), "id", "weight")
+    if large:
+        inside = written(outer.where(F.col("g").isin(list(large))).select("g", "id").join(unit.select("id", "x"), "id"))
+        near = written(mixtures.projected(inside, mixtures.axes(inside, settings.inner_axes)))
+        found = found.unionByName(mixtures.members(near, mixtures.fitted(near, large, False, settings.seed), settings.membership))
+    found = written(found)
+    # as many as there are components
+    kept = sorted((r["g"], r["component"]) for r in found.groupBy("g", "component").agg(F.count("*").alias("n")).where(F.col("n") >= settings.least_rows).collect())
+    numbers = vectors.sparkSession.createDataFrame([(g, c, i) for i, (g, c) in enumerate(kept)], "g int, component int, cluster int")
+    return named(found.join(F.broadcast(numbers), ["g", "component"]))
 
 
 def normalised_layout(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:

@@ -29,7 +29,7 @@ def layout_digest(spark, sf_dir):
 
 
 def soft_themes(spark, sf_dir):
-    return themes.soft_clusters(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", width=3, most=4)
+    return themes.soft_clusters(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
 QUERIES = {f.__name__: f for f in (page_sections, conversation_sections, layout, layout_digest, soft_themes)}

@@ -110,7 +110,7 @@ def test_well_separated_groups_are_clusters(spark):
     rng = np.random.default_rng(3)
     centres = np.eye(6)[:3]
     rows = [(i, (centres[i % 3] + rng.normal(scale=0.03, size=6)).tolist()) for i in range(90)]
-    out = themes.soft_clusters(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", width=2, most=4).collect()
+    out = themes.soft_clusters(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", themes.Settings(axes=2, most=4)).collect()
     groups = [{x.cluster for x in out if x.id % 3 == g and x.weight > 0.5} for g in range(3)]
     assert {x.id for x in out} == set(range(90)) and not groups[0] & groups[1] and not groups[1] & groups[2]
     few = themes.soft_clusters(spark.createDataFrame(rows[:2], "id long, v array<double>"), "id", "v").collect()
