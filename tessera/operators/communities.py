@@ -1,11 +1,15 @@
 """Communities by modularity: parallel local moves, refinement inside communities and contraction, level by level.
 
-All state is in tables that are written between rounds, so a lost executor costs part of one round. A round is joins and
+What a contraction has made small enough, by count, is walked by one task in one go. Until then all state is in tables that are written between rounds, so a lost executor costs part of one round. A round is joins and
 aggregations over edges; nodes and communities with any number of neighbours are combined before they are shuffled.
 """
 
 from __future__ import annotations
 
+import random
+from collections import Counter, defaultdict, deque
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from tessera.operators.checkpoints import written
 
 #: Gains below this are rounding.
 LEAST_GAIN = 1e-9
+#: Links, each in both directions, of a graph that one task walks.
+WALKED_LINKS = 1_000_000
 
 
 def communities(edges: DataFrame, nodes: DataFrame | None = None, seed: int = 0, most_levels: int = 30, most_rounds: int = 200) -> DataFrame:
@@ -37,6 +43,12 @@ def communities(edges: DataFrame, nodes: DataFrame | None = None, seed: int = 0,
     links, state = written(both), written(degree.select("node", "k", F.col("node").alias("label")))
     place = state.select("node", F.col("node").alias("at"))
     for level in range(most_levels + 1):
+        if links.count() + state.count() <= WALKED_LINKS:
+            kind = state.schema["node"].dataType.simpleString()
+            rows = links.withColumn("label", F.lit(None).cast(kind)).unionByName(state.select(F.col("node").alias("a"), F.lit(None).cast(kind).alias("b"), F.col("k").alias("w"), "label"))
+            ends = written(rows.repartition(1).sortWithinPartitions("a", "b").mapInArrow(_walk(total, seed), f"at {kind}, community {kind}"))
+            place = place.join(ends, "at").select("node", "community")
+            break
         if level == most_levels:
             raise RuntimeError(f"communities have not settled in {most_levels} levels")
         settled = _moved(links, state, total, f"{seed} {level}", most_rounds)
@@ -63,6 +75,70 @@ def communities(edges: DataFrame, nodes: DataFrame | None = None, seed: int = 0,
     return found if alone is None else found.unionByName(alone.select("node", F.col("node").alias("community")))
 
 
+def _walk(total: float, seed: int):
+    """Rows ``(a, b, w)`` of links and ``(node, null, k, label)`` of nodes to ``(at, community)``, by the same steps, one node after the other."""
+
+    def run(batches):
+        links, weight, label, kind = defaultdict(dict), {}, {}, None
+        for batch in batches:
+            kind = batch.schema.field("a").type
+            for row in batch.to_pylist():
+                if row["b"] is None:
+                    weight[row["a"]], label[row["a"]] = row["w"], row["label"]
+                else:
+                    links[row["a"]][row["b"]] = row["w"]
+        place, turn = {v: v for v in weight}, random.Random(seed)
+        while weight:
+            _gain(links, weight, label, total, turn)
+            part = {v: v for v in weight}
+            _gain(links, weight, part, total, turn, label)
+            if len(set(part.values())) == len(part):
+                break
+            label = {part[v]: x for v, x in label.items()}
+            heavier, closer = Counter(), defaultdict(Counter)
+            for v, k in weight.items():
+                heavier[part[v]] += k
+                for u, w in links[v].items():
+                    if part[u] != part[v]:
+                        closer[part[v]][part[u]] += w
+            weight, links, place = heavier, closer, {v: part[at] for v, at in place.items()}
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(list(place), kind), pa.array([label[at] for at in place.values()], kind)], ["at", "community"])
+
+    return run
+
+
+def _gain(links: dict, weight: dict, label: dict, total: float, turn: random.Random, within: dict | None = None) -> None:
+    """Moves nodes to the label beside them that gains most until none gains; with ``within``, nodes that are alone, along links inside."""
+    size, members = Counter(), Counter(label.values())
+    for v, x in label.items():
+        size[x] += weight[v]
+    order = sorted(weight)
+    turn.shuffle(order)
+    waiting, queued = deque(order), set(order)
+    while waiting:
+        v = waiting.popleft()
+        queued.discard(v)
+        own = label[v]
+        if within is not None and members[own] > 1:
+            continue
+        near = Counter()
+        for u, w in links[v].items():
+            if within is None or within[u] == within[v]:
+                near[label[u]] += w
+        worth = lambda x: near[x] - weight[v] * (size[x] - (weight[v] if x == own else 0)) / total  # noqa: B023, E731
+        best = max(sorted(near), key=worth, default=own)
+        if best != own and worth(best) > worth(own) + LEAST_GAIN:
+            size[own] -= weight[v]
+            size[best] += weight[v]
+            members[own] -= 1
+            members[best] += 1
+            label[v] = best
+            again = [u for u in links[v] if label[u] != best and u not in queued]
+            waiting.extend(again)
+            queued.update(again)
+
+
 def _options(links: DataFrame, state: DataFrame, total: float, salt: str, merging: bool, safe: bool) -> DataFrame:
     """``(node, k, label, inside, next, gain)``: each node with the weight of its edges inside and the move it would make, null for none."""
     turn = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(2)) == 0

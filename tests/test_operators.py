@@ -127,7 +127,9 @@ def test_chunker():
     assert [(c[2], c[3]) for c in folds.chunk_segments(["aaaa", "bbbb", "cccc"], 9, 0)] == [(0, 1), (2, 2)]
 
 
-def test_communities_separate_cliques(spark):
+@pytest.mark.parametrize("walked", [1_000_000, 0])
+def test_communities_separate_cliques(spark, monkeypatch, walked):
+    monkeypatch.setattr(communities, "WALKED_LINKS", walked)
     edges = [(a, b, 1.0) for base in (0, 10) for a in range(base, base + 5) for b in range(a + 1, base + 5)] + [(4, 10, 0.1), (2, 2, 1.0), (3, None, 9.0), (0, 14, 0.0), (7, 7, 2.0)]
     df = spark.createDataFrame(edges, "a long, b long, weight double")
     labels = communities.communities(df, spark.createDataFrame([(n,) for n in (0, 50, 51, None)], "node long"))
@@ -137,8 +139,10 @@ def test_communities_separate_cliques(spark):
     assert communities.communities(df.limit(0)).collect() == []
 
 
-def test_communities_are_as_modular_as_moves_one_by_one(spark):
-    r = random.Random(1)
+@pytest.mark.parametrize(("planted", "walked"), [(1, 1_000_000), (2, 1_000_000), (3, 1_000_000), (1, 0)])
+def test_communities_are_as_modular_as_moves_one_by_one(spark, monkeypatch, planted, walked):
+    monkeypatch.setattr(communities, "WALKED_LINKS", walked)
+    r = random.Random(planted)
     edges = [(a, b, float(r.choice([1, 2]))) for a in range(48) for b in range(a) if r.random() < (0.6 if a // 12 == b // 12 else 0.04)]
     found = {x.node: x.community for x in communities.communities(spark.createDataFrame(edges, "a long, b long, weight double"), seed=3).collect()}
 
