@@ -6,6 +6,8 @@ never fails the batch.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,14 +133,64 @@ def built_as(prefixes: DataFrame, digest: str) -> DataFrame:
     return prefixes.where(F.col("digest") == digest).agg(F.max("size").alias("size"))
 
 
-def public_address(host: Column) -> Column:
-    """Whether a dotted IPv4 address, given plain or mapped into IPv6, may be fetched: not private, loopback, link-local, shared, multicast, reserved or broadcast. Other texts: null."""
-    bare = F.regexp_replace(F.lower(host), r"^(?:::ffff:|64:ff9b::)", "")
-    parts = F.split(bare, r"\.")
-    n = [F.try_element_at(parts, F.lit(i)).cast("int") for i in (1, 2, 3, 4)]
-    valid = bare.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & (F.greatest(*n) <= 255)
+def _public_v4(n: list[Column]) -> Column:
+    """Whether four numbers are an address outside all closed blocks."""
     closed = (
         n[0].isin(0, 10, 127) | (n[0] >= 224) | ((n[0] == 100) & n[1].between(64, 127)) | ((n[0] == 169) & (n[1] == 254)) | ((n[0] == 172) & n[1].between(16, 31)) | ((n[0] == 192) & (n[1] == 168))
-        | ((n[0] == 192) & (n[1] == 0) & n[2].isin(0, 2)) | ((n[0] == 198) & n[1].isin(18, 19)) | ((n[0] == 198) & (n[1] == 51) & (n[2] == 100)) | ((n[0] == 203) & (n[1] == 0) & (n[2] == 113))
+        | ((n[0] == 192) & (n[1] == 0) & ((n[2] == 2) | (n[2] == 0) & ~n[3].isin(9, 10))) | ((n[0] == 198) & n[1].isin(18, 19)) | ((n[0] == 198) & (n[1] == 51) & (n[2] == 100)) | ((n[0] == 203) & (n[1] == 0) & (n[2] == 113))
     )
-    return F.when(valid, ~closed)
+    return ~closed
+
+
+def _given(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often it is named there."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+OCTET = r"(0|[1-9]\d?|1\d\d|2[0-4]\d|25[0-5])"
+
+
+def _groups(text: Column) -> Column:
+    """The eight numbers of an IPv6 address in small letters; null if it is none."""
+    tail = rf"^(.*:){OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
+    n = [F.regexp_extract(text, tail, i + 2).try_cast("int") for i in range(4)]
+    pair = lambda x, y: F.lower(F.hex(x * 256 + y))
+    plain = F.when(text.rlike(tail), F.concat(F.regexp_extract(text, tail, 1), pair(n[0], n[1]), F.lit(":"), pair(n[2], n[3]))).otherwise(text)
+
+    def split(plain: Column) -> Column:
+        gap = F.contains(plain, F.lit("::"))
+        side = lambda i: F.filter(F.split(F.substring_index(plain, "::", i), ":"), lambda x: x != "")
+        well = plain.rlike(r"^[0-9a-f:]+$") & ~plain.rlike(r":::|::.*::|^:[^:]|[^:]:$|[0-9a-f]{5}")
+        sides = F.struct(side(1).alias("left"), F.when(gap, side(-1)).otherwise(F.array().cast("array<string>")).alias("right"))
+
+        def whole(s: Column) -> Column:
+            missing = F.lit(8) - F.size(s["left"]) - F.size(s["right"])
+            full = F.concat(s["left"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), s["right"])
+            return F.when(well & F.when(gap, missing >= 1).otherwise(missing == 0), F.transform(full, lambda x: F.conv(x, 16, 10).cast("int")))
+
+        return _given(sides, whole)
+
+    return _given(plain, split)
+
+
+def public_address(host: Column) -> Column:
+    """Whether an IP address may be fetched: not private, loopback, link-local, shared, multicast, reserved or unspecified. Other texts: null.
+
+    IPv6 addresses that hold an IPv4 one, mapped or by the well-known prefix for translation, are judged by it.
+    """
+    text = F.lower(host)
+    numbers = F.transform(F.split(text, r"\."), lambda x: x.try_cast("int"))
+    v4 = _given(numbers, lambda n: _public_v4([F.get(n, F.lit(i)) for i in range(4)]))
+    return F.when(text.rlike(rf"^{OCTET}(\.{OCTET}){{3}}$"), v4).when(F.contains(text, F.lit(":")), _given(_groups(text), _public_v6))
+
+
+def _public_v6(groups: Column) -> Column:
+    g = [F.get(groups, F.lit(i)) for i in range(8)]
+    zeros = lambda a, b: reduce(lambda x, y: x & y, [g[i] == 0 for i in range(a, b)])
+    inner = [F.floor(g[6] / 256), g[6] % 256, F.floor(g[7] / 256), g[7] % 256]
+    holds_v4 = zeros(0, 5) & (g[5] == 0xFFFF) | (g[0] == 0x64) & (g[1] == 0xFF9B) & zeros(2, 6)
+    # blocks of 2000::/3 that are not for general use, and what of them is all the same
+    special = (g[0] == 0x2001) & (g[1] < 0x200)
+    open_ = (g[1] == 1) & zeros(2, 7) & g[7].isin(1, 2) | (g[1] == 3) | (g[1] == 4) & (g[2] == 0x112) | g[1].between(0x20, 0x3F)
+    closed = special & ~open_ | (g[0] == 0x2001) & (g[1] == 0xDB8) | (g[0] == 0x2002) | (g[0] == 0x3FFF) & (g[1] < 0x1000)
+    return F.when(holds_v4, _public_v4(inner)).otherwise(g[0].between(0x2000, 0x3FFF) & ~closed | g[0].between(0xFEC0, 0xFEFF))
