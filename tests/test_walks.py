@@ -50,3 +50,20 @@ def test_components(spark):
     found = {x.node: x.component for x in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {1: 1, 2: 1, 3: 1, 7: 7, 8: 8, 9: 8} | {i: 20 for i in range(20, 221)} | {i: 500 for i in (500, *range(600, 900))}
     assert components.connected(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_novel_rows_are_those_of_a_walk(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [(r.choice("ab"), p, r.randrange(25)) for p in range(60) for _ in range(r.randint(1, 4))] + [("c", i, j) for i in range(40) for j in (i, i + 1)] + [("d", 1, None), ("d", 2, None)]
+    table = spark.createDataFrame(rows + rows[:9], "group string, position int, item int")
+    want, used = [], {}
+    for g, p in sorted({(g, p) for g, p, _ in rows}):
+        items = {i for a, b, i in rows if (a, b) == (g, p)}
+        if items - used.setdefault(g, set()):
+            used[g] |= items
+            want.append((g, p))
+    found = lambda rows: sorted(tuple(x) for x in walks.admitted(rows).collect())
+    assert found(table) == want and found(table.limit(0)) == []
+    monkeypatch.setattr(walks, "WALKED", 70)
+    whole = table.where("item is not null")
+    assert found(whole) == [x for x in want if x[0] != "d"]
