@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from tessera.llm.runtime import checkpointed
 
 
-def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
+def connected_components(edges: DataFrame, src: str, dst: str, rows: int | None = None) -> DataFrame:
     """``(node, component)`` for every node of an edge; ``component`` is the smallest node reachable.
 
     Each step is an aggregation with a map-side combine and an equi-join, so a
     hub with any number of neighbours never gathers them in one row. The number
     of steps grows with the logarithm of the longest chain. No edges: no rows.
-    Null ends and loops are ignored.
+    Null ends and loops are ignored. ``rows`` is about how many edges there are;
+    with it each step writes files in proportion to its edges, not to partitions.
     """
     stars = (
         edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
@@ -22,10 +23,10 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    stars = checkpointed(stars)
+    stars = checkpointed(stars, rows)
     seen = _digest(stars)
     while seen[0]:
-        stars = checkpointed(_small_star(_large_star(stars)))
+        stars = checkpointed(_small_star(_large_star(stars)), None if rows is None else seen[0])
         now = _digest(stars)
         if now == seen:
             break

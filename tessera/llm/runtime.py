@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that one step of a Python operator turns into Python objects at once.
 SLICE_ROWS = 512
+#: Rows of a checkpoint's file, about, where their number is known.
+FILE_ROWS = 1 << 12
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -23,9 +25,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoints-"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, which outlives executors."""
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder, which outlives executors.
+
+    ``rows`` says how many rows there are, about: few rows then are few files, however many partitions they come in.
+    Each file costs its executor calls to the store; on a local disk without Hadoop's native library these are child
+    processes, which for a moment count as much memory as the executor itself.
+    """
     ensure_checkpoint_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     return df.checkpoint(eager=True)
 
 

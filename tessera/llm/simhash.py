@@ -342,9 +342,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _named(docs_fp, reps, links(reps, plan))
 
 
-def _named(docs_fp: DataFrame, reps: DataFrame, edges: DataFrame) -> DataFrame:
+def _named(docs_fp: DataFrame, reps: DataFrame, edges: DataFrame, rows: int | None = None) -> DataFrame:
     """``docs_fp`` with ``component_id``, the smallest id of each component of fingerprints."""
-    found = connected_components(edges, "a", "b").withColumnRenamed("node", "fp")
+    found = connected_components(edges, "a", "b", rows).withColumnRenamed("node", "fp")
     classes = reps.select("fp", "low").join(found, "fp", "left").withColumn("class", F.coalesce("component", "fp"))
     least = classes.groupBy("class").agg(F.min("low").alias("component_id"))
     # the hash makes Spark shuffle for this join alone, so that it can split a class that holds much of the input
@@ -415,9 +415,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts link if they share a band of minima and their sketches differ by at most ``NEAR_COPIES.key_limit`` bits. All
     blank texts, null ones too, are one component.
     """
+    return _near_copies(docs, id_col, text_col)[0]
+
+
+def _near_copies(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """``near_copies``, and how many rows it has."""
     sketched = checkpointed(_sketches(docs, id_col, text_col))
-    reps = checkpointed(sketched.groupBy("fp").agg(F.min("id").alias("low"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
-    return _named(sketched.select("id", "text_hash", "fp"), reps, copy_links(reps))
+    n = sketched.count()
+    reps = checkpointed(sketched.groupBy("fp").agg(F.min("id").alias("low"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), n)
+    return _named(sketched.select("id", "text_hash", "fp"), reps, copy_links(reps), n), n
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -427,14 +433,15 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     they have the same id and text. Two texts that share an id but are no copies both stay. Rows with a null id stay:
     nothing says which of them is first.
     """
-    found = checkpointed(near_copies(docs, id_col, text_col).where("id is not null").groupBy("component_id", "id", "text_hash").agg(F.count("*").alias("n")))
+    named, n = _near_copies(docs, id_col, text_col)
+    found = checkpointed(named.where("id is not null").groupBy("component_id", "id", "text_hash").agg(F.count("*").alias("n")), n)
     first = found.groupBy("component_id").agg(F.min(F.struct("id", "text_hash")).alias("first"))
     h = F.xxhash64("component_id").alias("h")
     ranked = found.select("*", h).join(first.select("*", h), ["component_id", "h"])
     goes = (F.col("id") > F.col("first.id")) | (F.col("text_hash") != F.col("first.text_hash"))
     # what is first but repeated goes too, and comes back once
     gone = ranked.where(goes | (F.col("n") > 1)).select(F.col("id").alias("key"), "text_hash")
-    twice = checkpointed(ranked.where(~goes & (F.col("n") > 1)).select(F.col("id").alias("key"), "text_hash"))
+    twice = checkpointed(ranked.where(~goes & (F.col("n") > 1)).select(F.col("id").alias("key"), "text_hash"), n)
     # the rows go along as one column, so that their names clash with none here
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
     kept = rows.join(gone, ["key", "text_hash"], "left_anti").select("row.*")

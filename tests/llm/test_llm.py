@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import pathlib
 import random
 import re
 import time
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import bpe, chat, components, decontaminate, html, imatch, quality, queries, secrets, sharding, simhash, urls
+from tessera.llm import bpe, chat, components, decontaminate, html, imatch, quality, queries, runtime, secrets, sharding, simhash, urls
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, fp string, id string, spans string, __row string"
 
@@ -129,6 +130,29 @@ def passages(r, n, similarity):
         yield w, changed
 
 
+def test_near_copies_write_files_by_rows_and_not_by_partitions(spark, monkeypatch):
+    many = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in many}
+    runtime.ensure_checkpoint_dir(spark)
+    folder = pathlib.Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    # a chain of copies, each an edit of the one before, and texts that are no copies
+    chain = [prose(7, 300).split()]
+    for i in range(12):
+        chain.append([*chain[-1][: 20 * i], f"edit{i}", *chain[-1][20 * i + 1 :]])
+    rows = docs(spark, [*map(" ".join, chain), *(prose(100 + i, 100) for i in range(20)), prose(100, 100)]).coalesce(2)
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        for size, most in ((runtime.FILE_ROWS, 20), (8, 60)):
+            monkeypatch.setattr(runtime, "FILE_ROWS", size)
+            old = set(folder.rglob("part-*"))
+            assert sorted(r.doc_id for r in simhash.keep_first(rows).collect()) == [0, *range(13, 33)]
+            assert 0 < len(set(folder.rglob("part-*")) - old) <= most
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_near_copies_at_the_limit_are_found_wherever_the_edits_are():
     r = random.Random(3)
     for similarity, least in ((0.8, 0.9), (0.85, 0.98), (0.9, 1.0)):
