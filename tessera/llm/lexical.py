@@ -24,6 +24,10 @@ from tessera.llm.runtime import checkpointed, slices
 
 #: Documents of a window: their scores take 32 KB.
 WINDOW = 4096
+#: Bytes of texts of a task, about, where they are fewer documents than a window.
+TASK_BYTES = 1 << 23
+#: Rows of what tasks send for each partition of the result, about, unless there are fewer partitions or more cores.
+RANKED_ROWS = 1 << 16
 BEST = 20
 #: Different terms of items, summed over items, that one pass over the documents serves. More are dealt to several passes.
 ITEM_TERMS = 1_000_000
@@ -58,6 +62,16 @@ def items_terms(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.groupBy("item").agg(F.flatten(F.collect_list("terms")).alias("terms"))
 
 
+def _gathered(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` with small partitions put together, to a window of documents or ``TASK_BYTES`` of texts, about, or one for each core; and how many they are at most.
+
+    Each partition becomes a file of a checkpoint and sends its best for every item, however few documents it has.
+    """
+    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // WINDOW), -(-(size or 0) // TASK_BYTES))
+    return rows.coalesce(parts), parts
+
+
 def _forward(numbers: dict[bytes, int]):
     """Rows ``(doc, n, terms, counts)``: of each document with any term its length and its counts of the numbered terms, packed."""
 
@@ -203,17 +217,20 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     different terms on average, the bound of what the driver and every task hold of them; each block is one pass.
     """
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    wanted = checkpointed(items_terms(items, item_col, item_text))
+    wanted = checkpointed(items_terms(items, item_col, item_text), items.count())
     kind = wanted.schema["item"].dataType
     size = wanted.agg(F.sum(F.size("terms"))).first()[0] or 0
     blocks = max(1, -(-size // block_terms))
-    found = None
+    rows, parts = _gathered(rows) if size else (rows, 0)
+    found, sent = None, 0
     for b in range(blocks):
         block = wanted.where((F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) & (F.size("terms") > 0)).collect()
         part = _best_of_block(rows, block, kind, best) if block else None
+        sent += parts * len(block) * best
         if part is not None:
             found = part if found is None else found.unionByName(part)
     if found is None:
         found = rows.sparkSession.createDataFrame([], StructType([StructField("item", kind), StructField("doc", rows.schema["doc"].dataType), StructField("score", LongType())]))
     order = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc").asc_nulls_last())
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best).select("item", "rank", "doc", "score")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best).select("item", "rank", "doc", "score")
+    return ranked.coalesce(max(ranked.sparkSession.sparkContext.defaultParallelism, -(-sent // RANKED_ROWS)))

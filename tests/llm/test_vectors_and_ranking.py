@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -9,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tessera.llm import codes, lexical, pivots
+from tessera.llm import codes, lexical, pivots, runtime
 
 VECTORS = "vec_id long, embedding array<float>, label int, node string, id string, `list` string, vector string"
 
@@ -239,3 +240,29 @@ def test_windows_end_anywhere(spark, monkeypatch):
 
 def test_ranking_of_odd_tables(spark):
     assert ranked(spark, [], [(1, "a")]) == [] and ranked(spark, [(1, "a")], []) == [] and ranked(spark, [(1, None)], [(1, "a")]) == []
+
+
+def test_ranking_writes_files_by_documents_and_not_by_partitions(spark, monkeypatch):
+    many = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in many}
+    runtime.ensure_checkpoint_dir(spark)
+    folder = pathlib.Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    docs = [(i * 31 % 997, f"w{i % 7} w{i % 11} common") for i in range(300)]
+    items = [(i, f"common w{i}") for i in range(12)]
+    want, cores = plain_ranking(docs, items, 20), spark.sparkContext.defaultParallelism
+    left, right = spark.createDataFrame(docs, "doc_id long, text string").repartition(64), spark.createDataFrame(items, "item_id long, text string")
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        # files of documents and items, partitions of the result; with less for each, more of them
+        for bounds, files, parts in (({}, cores + 1, cores), ({"TASK_BYTES": 100, "RANKED_ROWS": 500}, 42, 20), ({"TASK_BYTES": 1, "RANKED_ROWS": 1}, 65, 40)):
+            for k, v in bounds.items():
+                monkeypatch.setattr(lexical, k, v)
+            old = set(folder.rglob("part-*"))
+            found = lexical.search(left, right)
+            assert sorted(tuple(r) for r in found.collect()) == want
+            assert len(set(folder.rglob("part-*")) - old) <= files and found.rdd.getNumPartitions() <= parts
+        assert len(set(folder.rglob("part-*")) - old) == 65
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
