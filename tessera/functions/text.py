@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -177,8 +179,30 @@ def undecided(votes: Column, n: Column) -> Column:
     return (3 * votes >= n) & (3 * votes < 2 * n)
 
 
+def _log_factorial(n: Column) -> Column:
+    """Exact to a double's precision: from a table up to 20, by Stirling's series beyond."""
+    x = F.greatest(n, F.lit(20)).cast("double")
+    series = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
+
+
 def majority_chance(votes: Column, n: Column) -> Column:
-    """Chance that more than half of n draws with probability votes / n come out, for n of a few dozen."""
-    p = votes / n
-    term = lambda k: F.aggregate(F.sequence(F.lit(1), k), F.lit(1.0), lambda acc, i: acc * (n - k + i) / i) * F.pow(p, k) * F.pow(1 - p, n - k)
-    return F.aggregate(F.filter(F.sequence(F.lit(1), n), lambda k: 2 * k > n), F.lit(0.0), lambda acc, k: acc + term(k))
+    """Chance that more than half of n draws with probability votes / n come out; null for no draws.
+
+    The first term beyond the middle comes from logarithms, each other one from that before it, away from the mean, so
+    terms only fall: to less than 1e-40 of the first after seven roots of n, where a double's sum has long stood still.
+    """
+    p = F.try_divide(votes, n)
+    # the side that the mean is not on
+    low = F.least(p, 1 - p)
+    few = p <= 0.5
+    half = F.floor(n / 2).cast("int")
+    # the most draws of either kind on that side of the middle: more than half that come out, or half or more that don't
+    m = F.when(few, half + 1).otherwise(n - half).cast("int")
+    first = F.exp(_log_factorial(n) - _log_factorial(m) - _log_factorial(n - m) + m * F.log(low) + F.when(n > m, (n - m) * F.log(1 - low)).otherwise(0.0))
+    odds = low / (1 - low)
+    steps = F.sequence(F.lit(0), F.least(n - m, F.ceil(7 * F.sqrt(n))).cast("int"))
+    none = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum"))
+    total = F.aggregate(steps, none, lambda s, j: F.struct((s["term"] * (n - m - j) / (m + j + 1) * odds).alias("term"), (s["sum"] + s["term"]).alias("sum")))["sum"]
+    tail = F.when(low > 0, first * total).otherwise(0.0)
+    return F.when(n > 0, F.when(few, tail).otherwise(1 - tail))
