@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,17 +102,28 @@ def frontier_round(gaps: DataFrame, chunks: DataFrame, read: DataFrame, k: int)
 def single_flight(requests: DataFrame) -> DataFrame:
     """``(runner, request, started)``: requests ``(runner, request, at, takes)`` in order; one is refused while an accepted one is still running.
 
-    A runner's requests are folded as one array: an operator's queue, not a corpus.
+    A runner's requests are sorted and walked by one task, which holds only until when the runner is busy. Before a time
+    that is missing nothing is known, after an accepted request of unknown length neither.
     """
-    listed = requests.groupBy("runner").agg(F.array_sort(F.collect_list(F.struct("at", "request", "takes"))).alias("l"))
-    none = F.struct(F.lit(-(2**62)).cast("double").alias("until"), F.array().cast("array<boolean>").alias("ok"))
-
-    def step(state: Column, r: Column) -> Column:
-        free = r["at"] >= state["until"]
-        return F.struct(F.when(free, r["at"] + r["takes"]).otherwise(state["until"]).cast("double").alias("until"), F.array_append(state["ok"], free).alias("ok"))
-
-    done = listed.withColumn("ok", F.aggregate("l", none, step)["ok"])
-    return done.select("runner", F.explode(F.arrays_zip("l", "ok")).alias("x")).select("runner", F.col("x.l.request").alias("request"), F.col("x.ok").alias("started"))
+    rows = requests.select(F.xxhash64("runner").alias("h"), "runner", F.col("at").cast("double").alias("at"), "request", F.col("takes").cast("double").alias("takes"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    walk = rows.repartition("h").sortWithinPartitions("h", "runner", "at", "request", "takes")
+    return walk.mapInArrow(_flown, f"runner {kinds['runner']}, request {kinds['request']}, started boolean")
+
+
+def _flown(batches):
+    """Rows ``(h, runner, at, request, takes)`` come by runner and in order."""
+    now, until, first = None, None, True
+    for batch in batches:
+        ok = []
+        for runner, at, takes in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4)), strict=True):
+            if first or runner != now:
+                now, until, first = runner, float("-inf"), False
+            free = None if at is None or until is None else at >= until
+            if free:
+                until = None if takes is None else at + takes
+            ok.append(free)
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(3), pa.array(ok, pa.bool_())], ["runner", "request", "started"])
 
 
 def context_block(parts: DataFrame, budget: int) -> DataFrame:
