@@ -41,6 +41,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def deleted(spark: SparkSession, folder: str) -> None:
+    """Takes away a folder of :func:`scratch` that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def placed(rows: DataFrame, key: str) -> DataFrame:
     """``rows`` with ``place`` from 1 in the order of ``key``, by ranges: each range is numbered alone, after the rows of the ranges before it."""
     ranged = checkpointed(rows.repartitionByRange(key).withColumn("__p", F.spark_partition_id()))

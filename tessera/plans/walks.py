@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import retrieval, walks
+from tessera.operators import walks
 from tessera.plans.corpus import CHUNKS, chunk_rows
 from tessera.sources.tables import table
 
@@ -23,10 +23,7 @@ def novel_evidence(spark, sf_dir):
 
 def distinct_rules(spark, sf_dir):
     """Vectors in order of their ids without those at 0.3 or more to one kept before."""
-    v = table(spark, sf_dir, "embeddings")
-    queries = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    near = retrieval.dense(v, queries, "vec_id", "embedding", 1 << 30, 0.3, skip_self=True)
-    return walks.first_of_near(v.select(F.col("vec_id").alias("position")), near.select(F.col("query_id").alias("a"), F.col("id").alias("b")))
+    return walks.first_apart(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "position"), "position", "embedding", 0.3)
 
 
 def followup_choice(spark, sf_dir):
