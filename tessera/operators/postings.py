@@ -12,12 +12,15 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType
 
+from tessera.operators.checkpoints import written
+
 #: Documents of a chunk at most.
 CHUNK = 2048
 #: Different terms of queries, summed over queries, that one search pass holds on the driver and in each task.
@@ -26,6 +29,10 @@ QUERY_TERMS = 1_000_000
 BUCKETS = 64
 #: The folder of the chunks' own rows.
 OWN = -1
+#: Chunks whose marks of replaced documents are sent to all tasks, at most: 16 MB; more are joined.
+MARKED = 1 << 16
+#: Rows of an index that a task hands over at once.
+SENT_ROWS = 1 << 14
 
 # lower-cased text in UTF-8: all but ASCII letters and digits separate
 _TO_TERMS = bytes(b if 0x30 <= b < 0x3A or 0x61 <= b < 0x7B else 0x20 for b in range(256))
@@ -54,20 +61,24 @@ def inverted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
                 for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                     if tokens := text.translate(_TO_TERMS).split() if text else None:
                         held.append(i)
-                        said.append(np.array([numbers[t] for t in tokens], dtype=np.int64))
+                        said.append(np.fromiter(map(numbers.__getitem__, tokens), dtype=np.int32, count=len(tokens)))
                 if not held:
                     continue
                 lengths = np.array([len(x) for x in said])
-                pairs, tf = np.unique(np.concatenate(said) * CHUNK + np.repeat(np.arange(len(held)), lengths), return_counts=True)
+                pairs, tf = np.unique(np.concatenate(said, dtype=np.int64) * CHUNK + np.repeat(np.arange(len(held)), lengths), return_counts=True)
+                del said
                 at, n = pairs % CHUNK, len(numbers)
                 starts = np.concatenate(([0, 0], np.searchsorted(pairs, np.arange(1, n + 1) * CHUNK)))
                 lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(x, pa.int32())) for x in (at, tf)]
                 # the documents' row comes first
                 once = pa.array([0] + [len(held)] * (n + 1), pa.int32())
                 own = [batch.column(0).take(pa.array(held)), pa.array(lengths), pa.array(np.bincount(at, tf * tf).astype(np.int64))]
-                whole = [pa.ListArray.from_arrays(once, x) for x in own]
+                # of the other rows these are null: an empty list takes room
+                whole = [pa.ListArray.from_arrays(once, x, mask=pa.array(np.arange(n + 1) > 0)) for x in own]
                 named = pa.array([None, *(t.decode() for t in numbers)], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([base + nth] * (n + 1)), pa.array([segment] * (n + 1), pa.int32()), named, *lists, *whole], ["chunk", "segment", "term", "at", "tf", "docs", "length", "squares"])
+                found = pa.RecordBatch.from_arrays([pa.array([base + nth] * (n + 1)), pa.array([segment] * (n + 1), pa.int32()), named, *lists, *whole], ["chunk", "segment", "term", "at", "tf", "docs", "length", "squares"])
+                # in parts, as the JVM holds what comes at once
+                yield from (found.slice(at, SENT_ROWS) for at in range(0, n + 1, SENT_ROWS))
                 nth += 1
 
     return rows.mapInArrow(run, f"chunk long, segment int, term string, at array<int>, tf array<int>, docs array<{kind.simpleString()}>, length array<long>, squares array<long>")
@@ -91,7 +102,7 @@ def save(index: DataFrame, folder: str, buckets: int = BUCKETS, spread: int = 1)
 def _count(spark: SparkSession, folder: str) -> None:
     old = _table(spark, folder, "spread")
     version = 0 if old is None else old.agg(F.max("version")).first()[0] + 1
-    spread_of(load(spark, folder)).withColumn("version", F.lit(version)).coalesce(1).write.mode("append").partitionBy("version").parquet(f"{folder}/spread")
+    spread_of(load(spark, folder, columns=("chunk", "term", "at"))).withColumn("version", F.lit(version)).coalesce(1).write.mode("append").partitionBy("version").parquet(f"{folder}/spread")
 
 
 def kept_spread(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,15 +116,20 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
     return spark.read.parquet(f"{folder}/{name}") if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else None
 
 
-def load(spark: SparkSession, folder: str, queries: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """The kept index without documents that later segments replaced or deleted; with ``queries``, of the folders of their terms only."""
+def load(spark: SparkSession, folder: str, queries: DataFrame | None = None, buckets: int = BUCKETS, columns: tuple[str, ...] = ()) -> DataFrame:
+    """The kept index without documents that later segments replaced or deleted; with ``queries``, of the folders of their
+    terms only, and of no other terms if anything was replaced; with ``columns``, of an index that has no others."""
     index = spark.read.parquet(f"{folder}/postings")
+    dead = _table(spark, folder, "dead")
     if queries is not None:
         # as many values as there are folders, at most
-        terms = query_terms(queries).select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("b")).distinct()
-        index = index.where(F.col("bucket").isin([OWN, *(r["b"] for r in terms.collect())]))
-    dead = _table(spark, folder, "dead")
-    return without(index.drop("bucket"), dead) if dead is not None else index.drop("bucket")
+        terms = query_terms(queries).select("term").distinct()
+        numbers = terms.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("b")).distinct()
+        index = index.where(F.col("bucket").isin([OWN, *(r["b"] for r in numbers.collect())]))
+        if dead is not None:
+            index = index.where("term is null").unionByName(index.join(terms, "term", "left_semi"))
+    index = index.drop("bucket")
+    return index.select(*(columns or index.columns)) if dead is None else without(index, dead, columns)
 
 
 def upsert(spark: SparkSession, folder: str, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> None:
@@ -134,16 +150,41 @@ def _bury(ids: DataFrame, folder: str, before: int) -> None:
     ids.select("doc").distinct().withColumn("before", F.lit(before)).write.mode("append").parquet(f"{folder}/dead")
 
 
-def without(index: DataFrame, dead: DataFrame) -> DataFrame:
-    """``index`` without the documents of ``dead`` (doc, before) in earlier segments. Their places stay, with a null id."""
+def without(index: DataFrame, dead: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
+    """``index``, or these ``columns`` of it, without the documents of ``dead`` (doc, before) in earlier segments. Their places stay, with a null id.
+
+    A chunk's gone places are one bit each, which its rows get as a column; a posting looks up its own bit.
+    """
     own = index.where("term is null")
     gone = own.select("chunk", "segment", F.posexplode("docs").alias("place", "doc")).join(dead.groupBy("doc").agg(F.max("before").alias("before")), "doc").where("segment < before")
-    marks = gone.groupBy("chunk").agg(F.collect_set("place").alias("gone"))
-    marked = index.join(marks, "chunk", "left")
-    keep = lambda c: F.when(F.col("gone").isNull(), F.col(c)).otherwise(F.transform(F.filter(F.arrays_zip("at", "tf"), lambda x: ~F.array_contains("gone", x["at"])), lambda x: x[c]))
-    blank = lambda c: F.when(F.col("gone").isNull(), F.col(c)).otherwise(F.transform(c, lambda x, i: F.when(~F.array_contains("gone", i), x)))
-    found = marked.select("chunk", "segment", "term", keep("at").alias("at"), keep("tf").alias("tf"), *(blank(c).alias(c) for c in ("docs", "length", "squares")))
-    return found.where("term is null or size(at) > 0")
+    bit = F.col("place") + 1
+    marks = written(gone.groupBy("chunk").agg(F.substring(F.bitmap_construct_agg(F.bitmap_bit_position(bit)), 1, CHUNK // 8).alias("gone")))
+    rows = index.select(*(columns or index.columns))
+    marked = rows.join(F.broadcast(marks) if marks.limit(MARKED + 1).count() <= MARKED else marks, "chunk", "left").select(*rows.columns, "gone")
+    return marked.mapInArrow(_living, rows.schema)
+
+
+def _living(batches):
+    for batch in batches:
+        marks = batch.column(batch.num_columns - 1)
+        bits = np.frombuffer(b"".join(x or bytes(CHUNK // 8) for x in marks.to_pylist()), dtype=np.uint8).reshape(-1, CHUNK // 8)
+        columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names[:-1])}
+        sizes = columns["at"].value_lengths().fill_null(0).to_numpy()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        at = columns["at"].flatten().to_numpy()
+        stays = (bits[row, at >> 3] >> (at & 7)) & 1 == 0
+        ends = np.concatenate(([0], np.cumsum(np.bincount(row[stays], minlength=len(sizes))))).astype(np.int32)
+        for name, column in columns.items():
+            if name in ("at", "tf"):
+                columns[name] = pa.ListArray.from_arrays(pa.array(ends), column.flatten().filter(pa.array(stays)))
+            elif name in ("docs", "length", "squares"):
+                n = column.value_lengths().fill_null(0).to_numpy()
+                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                blank = (bits[np.repeat(np.arange(len(n)), n), place >> 3] >> (place & 7)) & 1 == 1
+                starts = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+                columns[name] = pa.ListArray.from_arrays(starts, pc.if_else(pa.array(blank), pa.scalar(None, column.type.value_type), column.flatten()))
+        left = pc.or_(columns["term"].is_null(), pa.array(np.diff(ends) > 0))
+        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns)).filter(left)
 
 
 # --- Search

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import metrics, postings, retrieval
-from tessera.operators.checkpoints import scratch
+from tessera.operators.checkpoints import scratch, written
 from tessera.sources.tables import table
 
 #: One query in fifty rows, against all rows.
@@ -32,7 +32,8 @@ def kept_index_search(spark, sf_dir):
     postings.upsert(spark, folder, docs.where("lang = 'en'").withColumn("text", F.concat("source", F.lit(" "), "text")), buckets=8)
     postings.delete(spark, folder, docs.where("lang = 'de' and n_chars < 400").select(F.col("doc_id").alias("doc")))
     items = _items(spark, sf_dir)
-    return retrieval.bm25(None, items, k=10, index=postings.load(spark, folder, items, buckets=8), spread=postings.kept_spread(spark, folder))
+    index = written(postings.load(spark, folder, items, buckets=8))
+    return retrieval.bm25(None, items, k=10, index=index, spread=postings.kept_spread(spark, folder))
 
 
 def cosine_search(spark, sf_dir):
